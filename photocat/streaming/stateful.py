@@ -1,0 +1,167 @@
+"""Streams whose state is a log of written micro-batches.
+
+Each micro-batch writes its own ``batch=N`` folder and reads only earlier
+ones, so a repeated batch replaces its own output and changes nothing else.
+``state_dir`` must be reachable by every executor.
+"""
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from photocat.functions.paths import RAW_EXTENSIONS
+from photocat.operators.edits import latest_by_key
+from photocat.operators.scan import scan
+from photocat.operators.stats import fresh_events
+from photocat.operators.sync import apply_sync, scan_diff
+from photocat.schema import ERROR, LABELS, MISSING
+from photocat.sources.index_store import read_index, write_index
+from photocat.streaming.folds import STARTED
+
+_STARTS = "job string, generation bigint, started_event_id bigint"
+_FRESH = "job string, id bigint, event_id bigint, kind string"
+_CHANGES = (
+    "id bigint, root string, old int, label int, ts timestamp_ntz, event_id bigint"
+)
+
+
+def _write(df: DataFrame, folder: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+
+def _read(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema + ", batch bigint").parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema + ", batch bigint")
+
+
+def stream_ingest_state(log: DataFrame, state_dir: str):
+    """Keeps results of the active generation only; returns a stream writer.
+
+    ``log`` carries ingest events and ``Started`` rows (their ``event_id`` is
+    where the generation begins), in event order across micro-batches.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        starts = batch.where(F.col("kind") == STARTED).select(
+            "job", "generation", F.col("event_id").alias("started_event_id")
+        )
+        _write(starts, f"{state_dir}/starts", batch_id)
+        known = _read(spark, f"{state_dir}/starts", _STARTS).where(F.col("batch") <= batch_id)
+        events = batch.where(F.col("kind") != STARTED).select(
+            "job", "generation", "event_id", "id", "kind"
+        )
+        fresh = fresh_events(events, known.drop("batch")).where("fresh")
+        _write(fresh.select("job", "id", "event_id", "kind"), f"{state_dir}/fresh", batch_id)
+
+    return log.writeStream.foreachBatch(on_batch).option(
+        "checkpointLocation", f"{state_dir}/checkpoint"
+    )
+
+
+def ingest_state(spark: SparkSession, state_dir: str) -> DataFrame:
+    """Latest outcome per (job, photo) seen so far."""
+    fresh = _read(spark, f"{state_dir}/fresh", _FRESH)
+    return fresh.groupBy("job", "id").agg(
+        F.max_by("kind", "event_id").alias("kind"), F.max("event_id").alias("event_id")
+    )
+
+
+def stream_tally(label_events: DataFrame, photos: DataFrame, state_dir: str):
+    """Live label counts; returns a stream writer, read with ``tally_now``.
+
+    A relabel takes a photo out of its old count and into the new one.  Each
+    micro-batch is first reduced to one row per photo, then compared with that
+    photo's last known label; only the changes and six-row deltas are written.
+    """
+    live = photos.where(F.col("status") != MISSING).select(
+        "id", "root", F.col("label").alias("_stored")
+    )
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        latest = latest_by_key(batch, ["id"], ["label", "ts", "event_id"], ["ts", "event_id"])
+        earlier = _read(spark, f"{state_dir}/changes", _CHANGES).where(
+            F.col("batch") < batch_id
+        )
+        before = latest_by_key(
+            earlier.join(latest.select("id"), "id", "left_semi"),
+            ["id"],
+            ["label", "ts", "event_id"],
+            ["ts", "event_id"],
+        ).select(
+            "id",
+            F.col("label").alias("_label"),
+            F.struct("ts", "event_id").alias("_at"),
+        )
+        newer = F.col("_at").isNull() | (F.struct("ts", "event_id") > F.col("_at"))
+        changes = (
+            latest.join(live, "id")
+            .join(before, "id", "left")
+            .where(newer)
+            .select(
+                "id",
+                "root",
+                F.coalesce("_label", "_stored").cast("int").alias("old"),
+                F.col("label").cast("int").alias("label"),
+                "ts",
+                "event_id",
+            )
+        )
+        _write(changes, f"{state_dir}/changes", batch_id)
+
+    return label_events.writeStream.foreachBatch(on_batch).option(
+        "checkpointLocation", f"{state_dir}/checkpoint"
+    )
+
+
+def tally_now(photos: DataFrame, state_dir: str) -> DataFrame:
+    """Counts per label and errors per root: stored labels plus streamed changes."""
+    spark = photos.sparkSession
+    live = photos.where(F.col("status") != MISSING)
+    one = F.lit(1).cast("bigint")
+    changes = _read(spark, f"{state_dir}/changes", _CHANGES)
+    moves = F.array(
+        F.struct(F.col("old").alias("label"), (-one).alias("n")),
+        F.struct(F.col("label").alias("label"), one.alias("n")),
+    )
+    moved = changes.select("root", F.inline(moves)).withColumn("errors", one * 0)
+    stored = live.select(
+        "root", "label", one.alias("n"), (F.col("status") == ERROR).cast("bigint").alias("errors")
+    )
+    counts = [
+        F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n_{name}")
+        for k, name in LABELS.items()
+    ]
+    return (
+        stored.unionByName(moved).groupBy("root").agg(*counts, F.sum("errors").alias("n_errors"))
+    )
+
+
+def stream_sync(
+    listings: DataFrame,
+    store: str,
+    checkpoint: str,
+    recursive: bool = True,
+    raw_exts=RAW_EXTENSIONS,
+):
+    """Syncs every arriving listing snapshot into an index store; returns a writer.
+
+    A micro-batch must hold the whole listing of each root it mentions, for
+    example one file per snapshot with ``maxFilesPerTrigger=1``.  A row with a
+    null path says that its root was scanned, which is how an empty root
+    reports itself.  A repeated micro-batch publishes nothing new.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        scanned = batch.select("root").distinct().withColumn("recursive", F.lit(recursive))
+        found = scan(batch.where(F.col("rel_path").isNotNull()), raw_exts=raw_exts, roots=scanned)
+        index = read_index(spark, store)
+        write_index(apply_sync(scan_diff(found, index, scanned)), store, batch_id)
+
+    return listings.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
