@@ -472,7 +472,7 @@ def _(fx):
        UNION ALL SELECT 'jpeg', root, count(jpeg_rel_path) FROM scope GROUP BY root""",
 )
 def _(fx):
-    scope = export.export_scope(labelled_view(fx), fx.photos, fx.selection)
+    scope = stage(export.export_scope(labelled_view(fx), fx.photos, fx.selection), "scope")
     parts = [
         stats.export_count(scope, m).select(F.lit(m).alias("mode"), "root", "n")
         for m in export.MODES
@@ -576,7 +576,7 @@ def _(fx):
        FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY ordinal) AS n FROM files) f GROUP BY root""",
 )
 def _(fx):
-    return stats.names_preview(export_files_of(fx), ["root"])
+    return stats.names_preview(stage(export_files_of(fx), "files"), ["root"])
 
 
 @query(
@@ -777,7 +777,7 @@ def _(fx):
        UNION ALL SELECT 'jpeg', root, ordinal, id, source, name FROM files WHERE ordinal % 2 = 1""",
 )
 def _(fx):
-    scope = export.export_scope(labelled_view(fx), fx.photos, fx.selection)
+    scope = stage(export.export_scope(labelled_view(fx), fx.photos, fx.selection), "scope")
     parts = [
         export.export_set(scope, export.parse_mode(text)).withColumn("mode", F.lit(mode))
         for mode, text in (("all", "nope"), ("raw", "raw"), ("jpeg", "jpeg"))
@@ -902,7 +902,7 @@ def _(fx):
     at = P.mtime_timestamp("mtime_ns")
     return fx.photos.select(
         "id",
-        F.to_timestamp_ntz(F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("at"),
+        F.convert_timezone(None, F.lit("UTC"), at.cast("timestamp_ntz")).alias("at"),
         P.timestamp_mtime(at).alias("back"),
     )
 
@@ -1032,7 +1032,7 @@ def _job_functions():
 @query(
     "ingest_job",
     """SELECT id, CASE WHEN failure IS NULL THEN 'ok' ELSE 'error' END AS kind, failure AS err_msg,
-         CASE WHEN failure IS NULL THEN CASE WHEN small THEN 160 ELSE 6000 END END AS width,
+         CAST(CASE WHEN failure IS NULL THEN CASE WHEN small THEN 160 ELSE 6000 END END AS bigint) AS width,
          CASE WHEN failure IS NULL THEN 'Acme ' || ext END AS camera
        FROM (SELECT id, rel_path LIKE '%CR3' OR rel_path LIKE '%7.%' AS small, regexp_extract(rel_path, '([^.]*)$', 1) AS ext,
                CASE WHEN rel_path LIKE '%4.NEF%' THEN 'header is damaged in ' || rel_path

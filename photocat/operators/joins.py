@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photocat.session import MAX_BROADCAST_ROWS, setting
+from photocat.session import as_small
 
 SALTS = 32
 
@@ -11,13 +11,13 @@ SALTS = 32
 def lookup(big: DataFrame, small: DataFrame, keys: list, how: str = "left") -> DataFrame:
     """Joins ``small`` (at most one row per key) to every row of ``big``.
 
-    A small side that is counted to be small is broadcast.  A larger one is
+    A small side that proves to be small is broadcast.  A larger one is
     repeated once per salt and ``big`` is spread over the salts, so one hot key
     never lands in a single task.
     """
-    limit = setting(big.sparkSession, MAX_BROADCAST_ROWS)
-    if small.limit(limit + 1).count() <= limit:
-        return big.join(F.broadcast(small), keys, how)
+    local = as_small(small)
+    if local is not None:
+        return big.join(local, keys, how)
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     return spread.join(small.withColumn("_salt", salts), [*keys, "_salt"], how).drop("_salt")

@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from photocat.functions import paths as P
-from photocat.session import broadcast_if_small
+from photocat.operators.joins import lookup
 
 
 def visible_files(listing: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def scan(
     else:
         scope = roots.select("root", F.col("recursive").alias("_deep"))
         files = (
-            files.join(broadcast_if_small(scope), "root")
+            lookup(files, scope, ["root"], "inner")
             .where(F.col("_deep") | P.is_direct_child("rel_path"))
             .drop("_deep")
         )

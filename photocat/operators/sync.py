@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from photocat.functions import paths as P
 from photocat.functions.display import bounded_error
+from photocat.operators.joins import lookup
 from photocat.operators.ordering import rank_rows
 from photocat.schema import (
     ERROR,
@@ -16,7 +17,7 @@ from photocat.schema import (
     PHOTOS_SCHEMA,
     SCHEMA_VERSION,
 )
-from photocat.session import broadcast_if_small, stage
+from photocat.session import stage
 
 PHOTO_COLUMNS = PHOTOS_SCHEMA.names
 
@@ -65,9 +66,7 @@ def scan_diff(scan: DataFrame, index: DataFrame, scanned_roots: DataFrame) -> Da
         F.lit(True).alias("_seen"),
     )
     scope = scanned_roots.select("root", F.col("recursive").alias("_deep"))
-    both = index.join(seen, ["root", "rel_path"], "full_outer").join(
-        broadcast_if_small(scope), "root", "left"
-    )
+    both = lookup(index.join(seen, ["root", "rel_path"], "full_outer"), scope, ["root"])
     in_scope = F.col("_deep") | P.is_direct_child("rel_path")
     action = (
         F.when(F.col("id").isNull(), "insert")
@@ -90,8 +89,7 @@ def missing_photos(scan: DataFrame, index: DataFrame, scanned_roots: DataFrame)
     """Live index rows inside the scan's depth scope that the scan did not see."""
     scope = scanned_roots.select("root", F.col("recursive").alias("_deep"))
     return (
-        index.where(F.col("status") != MISSING)
-        .join(broadcast_if_small(scope), "root")
+        lookup(index.where(F.col("status") != MISSING), scope, ["root"], "inner")
         .where(F.col("_deep") | P.is_direct_child("rel_path"))
         .drop("_deep")
         .join(scan.select("root", "rel_path"), ["root", "rel_path"], "left_anti")

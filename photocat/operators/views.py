@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from photocat.functions import paths as P
 from photocat.operators.edits import label_predicate
+from photocat.operators.joins import lookup
 from photocat.operators.ordering import following, rank_rows, shifted
 from photocat.schema import ERROR, MISSING, PENDING
-from photocat.session import broadcast_if_small
 
 ENTRY_COLUMNS = [
     "id", "root", "rel_path", "label", "status", "width", "height", "orientation",
@@ -83,7 +83,7 @@ def for_root(events: DataFrame, roots) -> DataFrame:
     ``roots`` is a list of roots or a DataFrame with a ``root`` column.
     """
     if isinstance(roots, DataFrame):
-        return events.join(broadcast_if_small(roots.select("root")), "root", "left_semi")
+        return lookup(events, roots.select("root").distinct(), ["root"], "left_semi")
     return events.where(F.col("root").isin(*roots))
 
 

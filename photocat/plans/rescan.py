@@ -10,7 +10,7 @@ from photocat.operators.stats import tally
 from photocat.operators.sync import apply_sync, record_ingest, scan_diff
 from photocat.operators.views import pending_queue
 from photocat.schema import PENDING
-from photocat.session import stage
+from photocat.session import as_small, stage
 
 
 def sync_roots(
@@ -20,6 +20,7 @@ def sync_roots(
     raw_exts=RAW_EXTENSIONS,
 ) -> DataFrame:
     """Scans the given roots and returns the next index snapshot."""
+    scanned_roots = as_small(scanned_roots) or scanned_roots
     found = scan(listing, raw_exts=raw_exts, roots=scanned_roots)
     return apply_sync(scan_diff(found, index, scanned_roots))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 MAX_WINDOW_ROWS = ("photocat.maxWindowRows", 1_000_000)
 # Largest table, in rows, that may be broadcast; the row count is checked first.
 MAX_BROADCAST_ROWS = ("photocat.maxBroadcastRows", 200_000)
+MAX_BROADCAST_BYTES = ("photocat.maxBroadcastBytes", 64 << 20)
 # Rows per block in operators that scan an ordered group block by block.
 BLOCK_ROWS = ("photocat.blockRows", 100_000)
 # Target rows per range partition when a large group is ranked.
@@ -74,11 +75,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Marks ``df`` for broadcast when counting proves it small.
+def as_small(df: DataFrame) -> DataFrame | None:
+    """``df`` as a local table marked for broadcast, or None when it is not small.
 
-    Otherwise it is returned as it is, and the join is left to Spark's own
-    choice, with adaptive skew splitting.
+    One job fetches at most one row beyond the allowed count, so the check and
+    the evaluation are the same work and ``df`` is not computed again.
     """
-    limit = setting(df.sparkSession, MAX_BROADCAST_ROWS)
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    spark = df.sparkSession
+    limit = setting(spark, MAX_BROADCAST_ROWS)
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit or rows.nbytes > setting(spark, MAX_BROADCAST_BYTES):
+        return None
+    return F.broadcast(spark.createDataFrame(rows, df.schema))
