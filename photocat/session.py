@@ -19,6 +19,7 @@ BLOCK_ROWS = ("photocat.blockRows", 100_000)
 RANGE_ROWS = ("photocat.rangeRows", 2_000_000)
 
 SPARK_CHECKPOINT_DIR = "spark.checkpoint.dir"
+_local_dirs: dict = {}
 
 
 def setting(spark: SparkSession, key_default) -> int:
@@ -47,16 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master, where driver and executors share one machine, gets a
     temporary folder when the setting is missing.
     """
-    found = spark.conf.get(SPARK_CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(
+    context = spark.sparkContext
+    found = spark.conf.get(SPARK_CHECKPOINT_DIR, None) or context.getConf().get(
         SPARK_CHECKPOINT_DIR
     )
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {SPARK_CHECKPOINT_DIR} to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set(SPARK_CHECKPOINT_DIR, made)
-    return made
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _local_dirs[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
