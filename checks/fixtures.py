@@ -5,24 +5,37 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from photocat.session import stage
+
 
 EXTS = ("nef", "cr3", "arw", "dng", "raf")
 
 
 class Fixtures:
-    """The views over one scale-factor folder; each is built on first use."""
+    """The views over one scale-factor folder; each is built on first use.
+
+    ``written=True`` writes every view as a parquet table first and reads that,
+    which is how a catalog user holds these inputs; the bench uses it so that
+    it times operators and not the derivation of their inputs.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
+    def __init__(self, spark: SparkSession, sf_dir: str, written: bool = False):
+        self.spark, self.sf_dir, self.written, self._made = spark, sf_dir, written, {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
 
+    def spread(self, df: DataFrame, key: str) -> DataFrame:
+        """Uses every core when a table is a single small file; else leaves it alone."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if len(df.inputFiles()) > 1 else df.repartition(cores, key)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in VIEWS:
             raise AttributeError(name)
         if name not in self._made:
-            self._made[name] = VIEWS[name](self)
+            view = VIEWS[name](self)
+            self._made[name] = stage(view, name) if self.written else view
         return self._made[name]
 
 
@@ -33,8 +46,9 @@ def listing(fx):
     kinds = F.array_compact(
         F.array(F.lit(0), kind(1, 3), kind(2, 30), kind(3, 42), kind(4, 50), kind(5, 10), kind(6, 100))
     )
+    orders = fx.table("orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return (
-        fx.table("orders")
+        fx.spread(orders, "o_orderkey")
         .selectExpr(
             "o_orderkey",
             "o_totalprice",
@@ -123,7 +137,8 @@ def stored_rows(fx):
 
 
 def exif_raw(fx):
-    return fx.table("orders").selectExpr(
+    orders = fx.spread(fx.table("orders").select("o_orderkey"), "o_orderkey")
+    return orders.selectExpr(
         "o_orderkey * 2 + 1 AS id",
         "CASE o_orderkey % 5 WHEN 0 THEN ' Canon ' WHEN 1 THEN 'NIKON CORPORATION' WHEN 2 THEN 'SONY'"
         " WHEN 3 THEN '' ELSE '  ' END AS make",

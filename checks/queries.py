@@ -18,13 +18,14 @@ from photocat.sources import events as event_sources
 from photocat.sources.index_store import read_index, write_index
 from photocat import streaming
 
-QUERIES, SQL = {}, {}
+QUERIES, SQL, ON_FIXTURES = {}, {}, {}
 LABELED = 0b111110
 DEST = "/cards/c1/day1"
 
 
 def query(name, sql=None):
     def register(fn):
+        ON_FIXTURES[name] = fn
         QUERIES[name] = lambda spark, sf_dir: fn(X.Fixtures(spark, sf_dir))
         if sql is not None:
             SQL[name] = with_ctes(sql)
@@ -33,7 +34,7 @@ def query(name, sql=None):
     return register
 
 
-def labelled_view(fx, *extra):
+def labelled_view(fx):
     """Live, labelled rows in file-name order."""
     return culled_view(fx.photos, LABELED, "filename")
 

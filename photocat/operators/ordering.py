@@ -36,12 +36,14 @@ def rank_rows(
     pos: str = "pos",
     total: str | None = None,
     bound: DataFrame | None = None,
+    sizes: tuple | None = None,
 ) -> DataFrame:
     """Adds the 0-based position of every row in its group.
 
     ``order`` must be a total order within a group.  ``total`` also adds the
-    group's row count.  ``bound`` is an optional cheaper DataFrame with at
-    least as many rows per group, used only for the size check.
+    group's row count.  The size check counts ``df``, or ``bound``, a cheaper
+    DataFrame with at least as many rows per group; ``sizes`` passes the result
+    of ``group_sizes`` when it is known already.
 
     Small groups use ``row_number``.  When the largest group exceeds
     ``photocat.maxWindowRows`` the rows are range-partitioned on (group, order)
@@ -49,7 +51,7 @@ def rank_rows(
     a table with one row per (group, partition) supplies the offsets.
     """
     spark = df.sparkSession
-    groups, largest, rows = group_sizes(df if bound is None else bound, group)
+    groups, largest, rows = sizes or group_sizes(df if bound is None else bound, group)
     if largest <= setting(spark, MAX_WINDOW_ROWS):
         whole = W.partitionBy(*group)
         out = df.withColumn(

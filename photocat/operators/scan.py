@@ -26,29 +26,45 @@ def jpeg_files(listing: DataFrame) -> DataFrame:
     return listing.where(P.file_ext("rel_path").isin(*P.JPEG_EXTENSIONS))
 
 
-def pair_raw_jpeg(files: DataFrame, raw_exts=P.RAW_EXTENSIONS) -> DataFrame:
+# Columns a scan is partitioned by, next to the root.
+PAIR_KEYS = ("_dir", "_stem")
+
+
+def pair_raw_jpeg(
+    files: DataFrame, raw_exts=P.RAW_EXTENSIONS, keep_keys: bool = False
+) -> DataFrame:
     """RAW rows with the companion JPEG of the same directory and stem.
 
     Several JPEGs: the smallest path is taken.  Several RAWs of one stem: the
     smallest path gets the JPEG.  JPEGs themselves disappear.  RAWs and JPEGs
     share one shuffle on (root, directory, stem); a file system holds at most
-    a few spellings of one stem, so these groups stay small.
+    a few spellings of one stem, so these groups stay small.  ``keep_keys``
+    leaves the partitioning columns in the result, for a join that reuses the
+    shuffle and, thanks to the window's order, the sort.
     """
-    w = W.partitionBy("root", "_dir", "_stem")
-    return (
+    w = (
+        W.partitionBy("root", *PAIR_KEYS)
+        .orderBy("rel_path")
+        .rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    )
+    path, raw = F.col("rel_path"), F.col("_raw")
+    paired = (
         files.withColumn("_ext", P.file_ext("rel_path"))
         .where(F.col("_ext").isin(*raw_exts, *P.JPEG_EXTENSIONS))
-        .withColumn("_raw", F.col("_ext").isin(*raw_exts))
-        .withColumn("_dir", P.parent_dir("rel_path"))
-        .withColumn("_stem", P.lowered_stem("rel_path"))
-        .withColumn("_jpeg", F.min(F.when(~F.col("_raw"), F.col("rel_path"))).over(w))
-        .withColumn("_first", F.min(F.when(F.col("_raw"), F.col("rel_path"))).over(w))
-        .where("_raw")
-        .withColumn(
-            "jpeg_rel_path", F.when(F.col("rel_path") == F.col("_first"), F.col("_jpeg"))
+        .withColumns(
+            {
+                "_raw": F.col("_ext").isin(*raw_exts),
+                "_dir": P.parent_dir("rel_path"),
+                "_stem": P.lowered_stem("rel_path"),
+            }
         )
-        .drop("_ext", "_raw", "_dir", "_stem", "_jpeg", "_first")
+        .withColumns({"_raw_path": F.when(raw, path), "_jpeg_path": F.when(~raw, path)})
+        .withColumns({"_first": F.min("_raw_path").over(w), "_jpeg": F.min("_jpeg_path").over(w)})
+        .where("_raw")
+        .withColumn("jpeg_rel_path", F.when(path == F.col("_first"), F.col("_jpeg")))
+        .drop("_ext", "_raw", "_raw_path", "_jpeg_path", "_first", "_jpeg")
     )
+    return paired if keep_keys else paired.drop(*PAIR_KEYS)
 
 
 def scan(
@@ -56,6 +72,7 @@ def scan(
     recursive: bool = False,
     raw_exts=P.RAW_EXTENSIONS,
     roots: DataFrame | None = None,
+    keep_keys: bool = False,
 ) -> DataFrame:
     """The scan: visible files in depth scope, RAW only, companions attached.
 
@@ -66,13 +83,12 @@ def scan(
     if roots is None:
         files = depth_filter(files, recursive)
     else:
-        scope = roots.select("root", F.col("recursive").alias("_deep"))
         files = (
-            lookup(files, scope, ["root"], "inner")
-            .where(F.col("_deep") | P.is_direct_child("rel_path"))
-            .drop("_deep")
+            lookup(files, roots, ["root"], "inner")
+            .where(F.col("recursive") | P.is_direct_child("rel_path"))
+            .drop("recursive")
         )
-    return pair_raw_jpeg(files, raw_exts)
+    return pair_raw_jpeg(files, raw_exts, keep_keys)
 
 
 def sorted_scan(scanned: DataFrame) -> DataFrame:

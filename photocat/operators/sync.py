@@ -7,6 +7,7 @@ from photocat.functions import paths as P
 from photocat.functions.display import bounded_error
 from photocat.operators.joins import lookup
 from photocat.operators.ordering import rank_rows
+from photocat.operators.scan import PAIR_KEYS
 from photocat.schema import (
     ERROR,
     INGEST_COLUMNS,
@@ -17,7 +18,7 @@ from photocat.schema import (
     PHOTOS_SCHEMA,
     SCHEMA_VERSION,
 )
-from photocat.session import stage
+from photocat.session import CO_PARTITION_ALL_KEYS, scoped_setting, stage
 
 PHOTO_COLUMNS = PHOTOS_SCHEMA.names
 
@@ -29,15 +30,17 @@ def upgrade_index(df: DataFrame, found_version: int) -> DataFrame:
             f"index version {found_version} is newer than supported {SCHEMA_VERSION}"
         )
     have = set(df.columns)
-    out = []
-    for field in PHOTOS_SCHEMA:
-        col = F.col(field.name) if field.name in have else F.lit(None)
-        col = col.cast(field.dataType)
-        if field.name in PHOTO_DEFAULTS:
-            default = F.lit(PHOTO_DEFAULTS[field.name]).cast(field.dataType)
-            col = F.coalesce(col, default)
-        out.append(col.alias(field.name))
-    return df.select(*out)
+
+    def value(field):
+        name, dtype = field.name, field.dataType.simpleString()
+        default = PHOTO_DEFAULTS.get(name)
+        if name not in have:
+            text = "NULL" if default is None else str(default)
+        else:
+            text = name if default is None else f"coalesce({name}, {default})"
+        return f"CAST({text} AS {dtype}) AS {name}"
+
+    return df.selectExpr(*[value(f) for f in PHOTOS_SCHEMA])
 
 
 def needs_refresh(status, mtime_ns, size, new_mtime_ns, new_size):
@@ -56,6 +59,10 @@ def scan_diff(scan: DataFrame, index: DataFrame, scanned_roots: DataFrame) -> Da
     how deep it went.  It cannot be inferred from the scan: a scanned root may
     hold no files at all.  Output: all index columns, ``new_mtime_ns``,
     ``new_size``, ``new_jpeg_rel_path`` and ``action``.
+
+    A scan made with ``keep_keys`` is joined on its pairing columns too, which
+    the path determines.  ``apply_sync`` plans that join so that it keeps the
+    scan's partitioning and sort order and shuffles only the index.
     """
     seen = scan.select(
         "root",
@@ -64,10 +71,16 @@ def scan_diff(scan: DataFrame, index: DataFrame, scanned_roots: DataFrame) -> Da
         F.col("size").alias("new_size"),
         F.col("jpeg_rel_path").alias("new_jpeg_rel_path"),
         F.lit(True).alias("_seen"),
+        *[c for c in PAIR_KEYS if c in scan.columns],
     )
-    scope = scanned_roots.select("root", F.col("recursive").alias("_deep"))
-    both = lookup(index.join(seen, ["root", "rel_path"], "full_outer"), scope, ["root"])
-    in_scope = F.col("_deep") | P.is_direct_child("rel_path")
+    keys = ["root", "rel_path"]
+    if set(PAIR_KEYS) <= set(scan.columns):
+        index = index.withColumns(
+            {"_dir": P.parent_dir("rel_path"), "_stem": P.lowered_stem("rel_path")}
+        )
+        keys = ["root", *PAIR_KEYS, "rel_path"]
+    both = lookup(index.join(seen, keys, "full_outer"), scanned_roots, ["root"])
+    in_scope = F.col("recursive") | P.is_direct_child("rel_path")
     action = (
         F.when(F.col("id").isNull(), "insert")
         .when(
@@ -78,20 +91,19 @@ def scan_diff(scan: DataFrame, index: DataFrame, scanned_roots: DataFrame) -> Da
             .when(~F.col("jpeg_rel_path").eqNullSafe(F.col("new_jpeg_rel_path")), "reattach")
             .otherwise("keep"),
         )
-        .when(F.col("_deep").isNull() | ~in_scope, "out_of_scope")
+        .when(F.col("recursive").isNull() | ~in_scope, "out_of_scope")
         .when(F.col("status") == MISSING, "still_missing")
         .otherwise("mark_missing")
     )
-    return both.withColumn("action", action).drop("_seen", "_deep")
+    return both.withColumn("action", action).drop("_seen", "recursive", *PAIR_KEYS)
 
 
 def missing_photos(scan: DataFrame, index: DataFrame, scanned_roots: DataFrame) -> DataFrame:
     """Live index rows inside the scan's depth scope that the scan did not see."""
-    scope = scanned_roots.select("root", F.col("recursive").alias("_deep"))
     return (
-        lookup(index.where(F.col("status") != MISSING), scope, ["root"], "inner")
-        .where(F.col("_deep") | P.is_direct_child("rel_path"))
-        .drop("_deep")
+        lookup(index.where(F.col("status") != MISSING), scanned_roots, ["root"], "inner")
+        .where(F.col("recursive") | P.is_direct_child("rel_path"))
+        .drop("recursive")
         .join(scan.select("root", "rel_path"), ["root", "rel_path"], "left_anti")
     )
 
@@ -103,46 +115,45 @@ def apply_sync(diff: DataFrame, staged: bool = False) -> DataFrame:
     and rotation; reattached rows change only their pairing; missing rows only
     their status.  New rows get ids above the highest known one, in path order.
 
-    The diff is read three times (highest id, new rows, other rows), so it is
+    The diff is read three times (highest id and count, new rows, other rows), so it is
     written to the shared folder first unless ``staged`` says it already is.
     """
     if not staged:
-        diff = stage(diff, "diff")
-    reset = F.col("action") == "reset"
-    known = diff.where(F.col("action") != "insert")
-
+        with scoped_setting(diff.sparkSession, CO_PARTITION_ALL_KEYS, "false"):
+            diff = stage(diff, "diff")
     def value(field):
-        name, old = field.name, F.col(field.name)
+        name = field.name
         if name in ("mtime_ns", "size"):
-            return F.when(reset, F.col(f"new_{name}")).otherwise(old)
-        if name == "jpeg_rel_path":
-            changed = F.col("action").isin("reset", "reattach")
-            return F.when(changed, F.col("new_jpeg_rel_path")).otherwise(old)
-        if name == "status":
-            return (
-                F.when(reset, F.lit(PENDING))
-                .when(F.col("action") == "mark_missing", F.lit(MISSING))
-                .otherwise(old)
+            text = f"CASE WHEN action = 'reset' THEN new_{name} ELSE {name} END"
+        elif name == "jpeg_rel_path":
+            text = f"CASE WHEN action IN ('reset', 'reattach') THEN new_{name} ELSE {name} END"
+        elif name == "status":
+            text = (
+                f"CASE action WHEN 'reset' THEN {PENDING} WHEN 'mark_missing' THEN {MISSING}"
+                " ELSE status END"
             )
-        if name == "orientation":
-            return F.when(reset, F.lit(1)).otherwise(old)
-        if name in INGEST_COLUMNS or name in ("err_msg", "ingested_at"):
-            return F.when(~reset, old)
-        return old
-
-    kept = known.select(
-        *[value(f).cast(f.dataType).alias(f.name) for f in PHOTOS_SCHEMA]
-    )
-    fresh = diff.where(F.col("action") == "insert").select(
+        elif name == "orientation":
+            text = f"CASE WHEN action = 'reset' THEN {PHOTO_DEFAULTS[name]} ELSE {name} END"
+        elif name in (*INGEST_COLUMNS, "err_msg", "ingested_at"):
+            text = f"CASE WHEN action <> 'reset' THEN {name} END"
+        else:
+            text = name
+        return f"CAST({text} AS {field.dataType.simpleString()}) AS {name}"
+
+    kept = diff.where("action <> 'insert'").selectExpr(*[value(f) for f in PHOTOS_SCHEMA])
+    top, new = diff.selectExpr(
+        "coalesce(max(id), 0L)", "count_if(action = 'insert')"
+    ).head()
+    fresh = diff.where("action = 'insert'").selectExpr(
         "root",
         "rel_path",
-        F.col("new_mtime_ns").alias("mtime_ns"),
-        F.col("new_size").alias("size"),
-        F.col("new_jpeg_rel_path").alias("jpeg_rel_path"),
+        "new_mtime_ns AS mtime_ns",
+        "new_size AS size",
+        "new_jpeg_rel_path AS jpeg_rel_path",
     )
-    fresh = rank_rows(fresh, [], [F.col("root"), P.path_key("rel_path")])
-    top = diff.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).head()[0]
-    fresh = fresh.withColumn("id", F.col("pos") + F.lit(top).cast("bigint") + 1).drop("pos")
+    order = [F.col("root"), P.path_key("rel_path")]
+    fresh = rank_rows(fresh, [], order, sizes=(1, new, new))
+    fresh = fresh.withColumn("id", F.expr(f"pos + {top}L + 1L")).drop("pos")
     return kept.unionByName(upgrade_index(fresh, SCHEMA_VERSION))
 
 
@@ -160,22 +171,17 @@ def record_ingest(photos: DataFrame, results: DataFrame, order: str = "ingested_
         F.max_by(bounded_error("err_msg"), F.when(failed, F.col(order))).alias("_err"),
         F.max(failed).alias("_failed"),
     )
-    had_ok = F.col("_info").isNotNull()
 
     def value(field):
-        name, old = field.name, F.col(field.name)
+        name = field.name
         if name == "status":
-            return (
-                F.when(F.col("_kind") == "ok", F.lit(OK))
-                .when(F.col("_kind") == "error", F.lit(ERROR))
-                .otherwise(old)
-            )
-        if name == "err_msg":
-            return F.when(F.col("_failed"), F.col("_err")).otherwise(old)
-        if name in INGEST_COLUMNS or name == "ingested_at":
-            return F.when(had_ok, F.col("_info")[name]).otherwise(old)
-        return old
-
-    return photos.join(folded, "id", "left").select(
-        *[value(f).cast(f.dataType).alias(f.name) for f in PHOTOS_SCHEMA]
-    )
+            text = f"CASE _kind WHEN 'ok' THEN {OK} WHEN 'error' THEN {ERROR} ELSE status END"
+        elif name == "err_msg":
+            text = "CASE WHEN _failed THEN _err ELSE err_msg END"
+        elif name in (*INGEST_COLUMNS, "ingested_at"):
+            text = f"CASE WHEN _info IS NOT NULL THEN _info.{name} ELSE {name} END"
+        else:
+            text = name
+        return f"CAST({text} AS {field.dataType.simpleString()}) AS {name}"
+
+    return photos.join(folded, "id", "left").selectExpr(*[value(f) for f in PHOTOS_SCHEMA])

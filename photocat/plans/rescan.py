@@ -21,7 +21,7 @@ def sync_roots(
 ) -> DataFrame:
     """Scans the given roots and returns the next index snapshot."""
     scanned_roots = as_small(scanned_roots) or scanned_roots
-    found = scan(listing, raw_exts=raw_exts, roots=scanned_roots)
+    found = scan(listing, raw_exts=raw_exts, roots=scanned_roots, keep_keys=True)
     return apply_sync(scan_diff(found, index, scanned_roots))
 
 

@@ -3,6 +3,8 @@
 import os
 import tempfile
 import uuid
+import weakref
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ RANGE_ROWS = ("photocat.rangeRows", 2_000_000)
 
 SPARK_CHECKPOINT_DIR = "spark.checkpoint.dir"
 _local_dirs: dict = {}
+# Frames made by ``as_small``; asking again about one of them costs nothing.
+_known_small: weakref.WeakSet = weakref.WeakSet()
 
 
 def setting(spark: SparkSession, key_default) -> int:
@@ -36,6 +40,7 @@ def build_session(master: str = "local[*]", **extra) -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
@@ -65,6 +70,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+# Off, a join may keep a child's partitioning on some of its keys.  That saves a
+# shuffle where those keys are fine-grained and is harmful where one of them is
+# a hot root, so it is switched off for single queries only.
+CO_PARTITION_ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+@contextmanager
+def scoped_setting(spark: SparkSession, key: str, value: str):
+    """Plans and runs what is inside with one session setting changed."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and returns the table read back.
 
@@ -83,9 +105,13 @@ def as_small(df: DataFrame) -> DataFrame | None:
     One job fetches at most one row beyond the allowed count, so the check and
     the evaluation are the same work and ``df`` is not computed again.
     """
+    if df in _known_small:
+        return df
     spark = df.sparkSession
     limit = setting(spark, MAX_BROADCAST_ROWS)
     rows = df.limit(limit + 1).toArrow()
     if rows.num_rows > limit or rows.nbytes > setting(spark, MAX_BROADCAST_BYTES):
         return None
-    return F.broadcast(spark.createDataFrame(rows, df.schema))
+    small = F.broadcast(spark.createDataFrame(rows, df.schema))
+    _known_small.add(small)
+    return small

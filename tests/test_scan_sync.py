@@ -6,6 +6,7 @@ from conftest import rows
 from photocat.operators import scan as S
 from photocat.operators import sync as Y
 from photocat.schema import PHOTOS_SCHEMA, SCHEMA_VERSION
+from photocat.session import CO_PARTITION_ALL_KEYS, scoped_setting
 
 LISTING = "root string, rel_path string, mtime_ns bigint, size bigint"
 SCAN = LISTING + ", jpeg_rel_path string"
@@ -144,6 +145,18 @@ def test_scanned_empty_root_marks_its_rows_missing(spark):
     assert rows(after, "id", "status") == [(1, 3), (2, 0)]
 
 
+def test_sync_shuffles_each_side_once(spark):
+    with scoped_setting(spark, CO_PARTITION_ALL_KEYS, "false"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = S.scan(listing(spark, "a.nef"), roots=scope(spark), keep_keys=True)
+        diff = Y.scan_diff(found, index(spark, {"id": 1, "rel_path": "a.nef"}), scope(spark))
+        plan = diff._jdf.queryExecution().executedPlan().toString()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Sort [") == 2
+    assert spark.conf.get(CO_PARTITION_ALL_KEYS) == "true"
+    assert rows(diff, "rel_path", "action") == [("a.nef", "keep")]
+
+
 def test_sync_first_load_of_an_empty_index(spark):
     after = Y.apply_sync(Y.scan_diff(scanned(spark, {"rel_path": "a.nef"}), index(spark), scope(spark)))
     assert rows(after, "id", "rel_path", "status", "label") == [(1, "a.nef", 0, 0)]
