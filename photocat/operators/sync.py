@@ -61,7 +61,7 @@ def scan_diff(scan: DataFrame, index: DataFrame, scanned_roots: DataFrame) -> Da
     ``new_size``, ``new_jpeg_rel_path`` and ``action``.
 
     A scan made with ``keep_keys`` is joined on its pairing columns too, which
-    the path determines.  ``apply_sync`` plans that join so that it keeps the
+    the path determines.  ``stage_diff`` plans that join so that it keeps the
     scan's partitioning and sort order and shuffles only the index.
     """
     seen = scan.select(
@@ -108,19 +108,32 @@ def missing_photos(scan: DataFrame, index: DataFrame, scanned_roots: DataFrame)
     )
 
 
-def apply_sync(diff: DataFrame, staged: bool = False) -> DataFrame:
+def changed_roots(diff: DataFrame) -> DataFrame:
+    """Roots in which a sync changes at least one row."""
+    same = ("keep", "still_missing", "out_of_scope")
+    return diff.where(~F.col("action").isin(*same)).select("root").distinct()
+
+
+def stage_diff(diff: DataFrame) -> DataFrame:
+    """Writes a diff, planned so that the join reuses the scan's partitioning."""
+    with scoped_setting(diff.sparkSession, CO_PARTITION_ALL_KEYS, "false"):
+        return stage(diff, "diff")
+
+
+def apply_sync(diff: DataFrame, staged: bool = False, highest_id: int | None = None) -> DataFrame:
     """The next snapshot of the index.
 
     Reset rows return to pending with cleared ingest columns but keep id, label
     and rotation; reattached rows change only their pairing; missing rows only
-    their status.  New rows get ids above the highest known one, in path order.
+    their status.  New rows get ids above the highest known one, in path order;
+    ``highest_id`` names it when the diff covers only a part of the index.
 
     The diff is read three times (highest id and count, new rows, other rows), so it is
     written to the shared folder first unless ``staged`` says it already is.
     """
     if not staged:
-        with scoped_setting(diff.sparkSession, CO_PARTITION_ALL_KEYS, "false"):
-            diff = stage(diff, "diff")
+        diff = stage_diff(diff)
+
     def value(field):
         name = field.name
         if name in ("mtime_ns", "size"):
@@ -144,6 +157,7 @@ def apply_sync(diff: DataFrame, staged: bool = False) -> DataFrame:
     top, new = diff.selectExpr(
         "coalesce(max(id), 0L)", "count_if(action = 'insert')"
     ).head()
+    top = max(top, highest_id or 0)
     fresh = diff.where("action = 'insert'").selectExpr(
         "root",
         "rel_path",

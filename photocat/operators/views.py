@@ -8,6 +8,7 @@ from photocat.operators.edits import label_predicate
 from photocat.operators.joins import lookup
 from photocat.operators.ordering import following, rank_rows, shifted
 from photocat.schema import ERROR, MISSING, PENDING
+from photocat.session import as_small
 
 ENTRY_COLUMNS = [
     "id", "root", "rel_path", "label", "status", "width", "height", "orientation",
@@ -78,13 +79,17 @@ def paired_only(photos: DataFrame) -> DataFrame:
 
 
 def for_root(events: DataFrame, roots) -> DataFrame:
-    """Events or results of the served roots; works on streams too.
+    """Rows of the served roots; works on streams too.
 
-    ``roots`` is a list of roots or a DataFrame with a ``root`` column.
+    ``roots`` is a list of roots or a DataFrame with a ``root`` column.  A short
+    list becomes a plain filter, which prunes partitions by root.
     """
-    if isinstance(roots, DataFrame):
+    if not isinstance(roots, DataFrame):
+        return events.where(F.col("root").isin(list(roots)))
+    small = as_small(roots)
+    if small is None:
         return lookup(events, roots.select("root").distinct(), ["root"], "left_semi")
-    return events.where(F.col("root").isin(*roots))
+    return events.where(F.col("root").isin([r.root for r in small.select("root").collect()]))
 
 
 def label_filter(df: DataFrame, mask: int) -> DataFrame:

@@ -7,10 +7,17 @@ from photocat.functions.paths import RAW_EXTENSIONS
 from photocat.operators.ingest import ingest_job
 from photocat.operators.scan import scan
 from photocat.operators.stats import tally
-from photocat.operators.sync import apply_sync, record_ingest, scan_diff
-from photocat.operators.views import pending_queue
+from photocat.operators.sync import (
+    apply_sync,
+    changed_roots,
+    record_ingest,
+    scan_diff,
+    stage_diff,
+)
+from photocat.operators.views import for_root, pending_queue
 from photocat.schema import PENDING
 from photocat.session import as_small, stage
+from photocat.sources.index_store import read_index, write_index
 
 
 def sync_roots(
@@ -25,6 +32,29 @@ def sync_roots(
     return apply_sync(scan_diff(found, index, scanned_roots))
 
 
+def sync_store(
+    listing: DataFrame,
+    store: str,
+    scanned_roots: DataFrame,
+    raw_exts=RAW_EXTENSIONS,
+    batch_id: int | None = None,
+) -> int:
+    """Syncs the scanned roots of a stored index and publishes the new version.
+
+    Only the scanned roots are read and only those with a change are written,
+    however large the rest of the index is.
+    """
+    spark = listing.sparkSession
+    scanned_roots = as_small(scanned_roots) or scanned_roots
+    index = read_index(spark, store)
+    highest = index.agg(F.max("id")).head()[0]
+    mine = for_root(index, scanned_roots)
+    found = scan(listing, raw_exts=raw_exts, roots=scanned_roots, keep_keys=True)
+    diff = stage_diff(scan_diff(found, mine, scanned_roots))
+    photos = apply_sync(diff, staged=True, highest_id=highest)
+    return write_index(photos, store, batch_id, changed_roots(diff))
+
+
 def rescan_summary(
     listing: DataFrame,
     index: DataFrame,

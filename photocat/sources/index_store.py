@@ -1,36 +1,58 @@
-"""Versioned index snapshots: parquet per version, one pointer to the current one."""
+"""Versioned index snapshots on any file system Spark can write.
 
-import json
+``photos/version=N/root=R`` holds the rows of root R as version N wrote them;
+``versions/version=N`` names, for every root of snapshot N, the version that
+holds it.  A sync of one card therefore writes that card only, and the other
+roots stay where they are.
+"""
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from photocat.operators.sync import upgrade_index
 from photocat.schema import PHOTOS_SCHEMA, SCHEMA_VERSION
+from photocat.session import as_small
 
-POINTER = "versions"
+_MANIFEST = "schema_version int, batch_id bigint, root string, held_by bigint, version bigint"
 
 
-def versions(spark: SparkSession, store: str) -> list:
-    """Published versions, oldest first, as (version, schema_version, batch_id)."""
-    schema = "version bigint, schema_version int, batch_id bigint"
+def _read(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table at ``path``, empty when nothing was ever written there."""
     try:
-        rows = spark.read.schema(schema).json(f"{store}/{POINTER}")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return []
-    return [tuple(r) for r in rows.orderBy("version").collect()]
+        return spark.createDataFrame([], schema)
+
+
+def _manifests(spark: SparkSession, store: str) -> DataFrame:
+    return _read(spark, f"{store}/versions", _MANIFEST)
+
 
+def versions(spark: SparkSession, store: str) -> list:
+    """Published versions, oldest first, as (version, schema_version, batch_id)."""
+    found = _manifests(spark, store).groupBy("version").agg(
+        F.max("schema_version"), F.max("batch_id")
+    )
+    return [tuple(r) for r in found.orderBy("version").collect()]
 
-def write_index(photos: DataFrame, store: str, batch_id: int | None = None) -> int:
+
+def write_index(
+    photos: DataFrame,
+    store: str,
+    batch_id: int | None = None,
+    changed_roots: DataFrame | None = None,
+) -> int:
     """Publishes a snapshot and returns its version.
 
-    The data goes to a new version folder first; the version row is appended
-    afterwards, so readers see the old or the new snapshot and nothing between.
-    With ``batch_id`` a repeated batch publishes nothing and returns the
-    version it already has.
+    With ``changed_roots(root)`` only those roots are written and every other
+    root keeps the rows of the version before; ``photos`` may then leave the
+    others out.  The manifest is written last and in one commit, so readers see
+    the old or the new snapshot and nothing between.  With ``batch_id`` a
+    repeated batch publishes nothing and returns the version it already has.
     """
     spark = photos.sparkSession
     known = versions(spark, store)
@@ -38,20 +60,30 @@ def write_index(photos: DataFrame, store: str, batch_id: int | None = None) -> i
         if batch_id is not None and done == batch_id:
             return version
     version = known[-1][0] + 1 if known else 1
-    # Rows are spread by root and id, so one huge root is written by many tasks
-    # while a small root still ends up in few files.
-    (
-        photos.select(*PHOTOS_SCHEMA.names)
-        .repartition("root", F.pmod("id", F.lit(16)))
-        .write.mode("overwrite")
-        .partitionBy("root")
-        .parquet(f"{store}/v{version}")
-    )
-    row = {"version": version, "schema_version": SCHEMA_VERSION}
-    if batch_id is not None:
-        row["batch_id"] = batch_id
-    line = spark.createDataFrame([(json.dumps(row),)], "value string").coalesce(1)
-    line.write.mode("append").text(f"{store}/{POINTER}")
+    rows = photos.select(*PHOTOS_SCHEMA.names)
+    kept = _manifests(spark, store).where(F.col("version") == version - 1)
+    kept = kept.where(F.col("root").isNotNull()).select("root", "held_by")
+    if changed_roots is None:
+        kept = kept.limit(0)
+    else:
+        changed = changed_roots.select("root").distinct()
+        changed = as_small(changed) or changed
+        rows = rows.join(changed, "root", "left_semi")
+        kept = kept.join(changed, "root", "left_anti")
+    # The rebalance hint lets Spark split a huge root over many writers and
+    # merge small roots into few, by the sizes it sees at run time.
+    data = f"{store}/photos/version={version}"
+    rows.hint("rebalance", "root").write.mode("overwrite").partitionBy("root").parquet(data)
+    written = _read(spark, data, PHOTOS_SCHEMA).select("root").distinct()
+    held = kept.unionByName(written.withColumn("held_by", F.lit(version).cast("bigint")))
+    # A row without a root publishes the version itself, also when it is empty.
+    marker = spark.createDataFrame([(None, version)], "root string, held_by bigint")
+    held.unionByName(marker).select(
+        F.lit(SCHEMA_VERSION).alias("schema_version"),
+        F.lit(batch_id).cast("bigint").alias("batch_id"),
+        "root",
+        "held_by",
+    ).coalesce(1).write.mode("overwrite").parquet(f"{store}/versions/version={version}")
     return version
 
 
@@ -64,5 +96,15 @@ def read_index(spark: SparkSession, store: str, version: int | None = None) -> D
     if not chosen:
         raise ValueError(f"no version {version} in {store}")
     number, schema_version, _ = chosen[-1]
-    rows = spark.read.schema(PHOTOS_SCHEMA).parquet(f"{store}/v{number}")
+    layout = T.StructType([*PHOTOS_SCHEMA, T.StructField("version", T.LongType())])
+    rows = _read(spark, f"{store}/photos", layout)
+    held = _manifests(spark, store).where((F.col("version") == number) & F.col("root").isNotNull())
+    held = held.select("root", F.col("held_by").alias("version"))
+    small = as_small(held)
+    if small is None:
+        rows = rows.join(held, ["root", "version"], "left_semi")
+    else:
+        # Over partition columns only, so folders are pruned before any task runs.
+        names = [f"{r.version}/{r.root}" for r in small.collect()]
+        rows = rows.where(F.concat_ws("/", "version", "root").isin(names))
     return upgrade_index(rows, schema_version)

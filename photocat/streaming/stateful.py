@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 
 from photocat.functions.paths import RAW_EXTENSIONS
 from photocat.operators.edits import latest_by_key
-from photocat.operators.scan import scan
 from photocat.operators.stats import fresh_events
-from photocat.operators.sync import apply_sync, scan_diff
+from photocat.plans.rescan import sync_store
 from photocat.schema import ERROR, LABELS, MISSING
-from photocat.sources.index_store import read_index, write_index
 from photocat.streaming.folds import STARTED
 
 _STARTS = "job string, generation bigint, started_event_id bigint"
@@ -158,10 +156,8 @@ def stream_sync(
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         scanned = batch.select("root").distinct().withColumn("recursive", F.lit(recursive))
-        found = scan(batch.where(F.col("rel_path").isNotNull()), raw_exts=raw_exts, roots=scanned)
-        index = read_index(spark, store)
-        write_index(apply_sync(scan_diff(found, index, scanned)), store, batch_id)
+        files = batch.where(F.col("rel_path").isNotNull())
+        sync_store(files, store, scanned, raw_exts, batch_id)
 
     return listings.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)

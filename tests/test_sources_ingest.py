@@ -9,7 +9,7 @@ from test_scan_sync import index
 from photocat.operators.ingest import NO_PREVIEW, ingest_job
 from photocat.operators.scan import scan
 from photocat.operators.views import pending_queue
-from photocat.plans.rescan import ingest_pending
+from photocat.plans.rescan import ingest_pending, sync_store
 from photocat.sources import index_store
 from photocat.sources.listing import asset_listing, delete_assets, photo_listing
 
@@ -84,12 +84,38 @@ def test_index_store_versions(spark, tmp_path):
         index_store.read_index(spark, store, version=9)
 
 
+def test_index_store_writes_changed_roots_only(spark, tmp_path):
+    store = str(tmp_path / "store")
+    index_store.write_index(
+        index(spark, {"id": 1, "rel_path": "a.nef"}, {"id": 2, "rel_path": "b.nef", "root": "/s"}, {"id": 3, "rel_path": "c.nef", "root": "/t"}),
+        store,
+    )
+    files = spark.createDataFrame(
+        [("/r", "a.nef", 1, 1), ("/s", "b.nef", 1, 1), ("/s", "new.nef", 1, 1)],
+        "root string, rel_path string, mtime_ns bigint, size bigint",
+    )
+    roots = spark.createDataFrame([("/r", True), ("/s", True)], "root string, recursive boolean")
+    assert sync_store(files, store, roots) == 2
+    assert sorted(p.name for p in (tmp_path / "store" / "photos" / "version=2").iterdir() if p.is_dir()) == ["root=%2Fs"]
+    now = index_store.read_index(spark, store)
+    assert rows(now, "id", "root", "rel_path") == [(1, "/r", "a.nef"), (2, "/s", "b.nef"), (3, "/t", "c.nef"), (4, "/s", "new.nef")]
+    assert sync_store(files, store, roots) == 3
+    assert rows(index_store.read_index(spark, store)) == rows(now)
+    # An emptied root stays, with its rows missing; nothing else is rewritten.
+    gone = spark.createDataFrame([("/t", True)], "root string, recursive boolean")
+    sync_store(files.limit(0), store, gone)
+    after = index_store.read_index(spark, store)
+    assert rows(after, "id", "status") == [(1, 0), (2, 0), (3, 3), (4, 0)]
+    assert rows(index_store.read_index(spark, store, version=2)) == rows(now)
+
+
 def test_index_reader_prunes_roots_and_columns(spark, tmp_path):
     store = str(tmp_path / "store")
     index_store.write_index(index(spark, {"id": 1, "rel_path": "a.nef"}, {"id": 2, "rel_path": "b.nef", "root": "/s"}), store)
     df = index_store.read_index(spark, store).where("root = '/s' AND status = 0").select("id")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(root" in plan
+    partition_filters = plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert "isnotnull(root" in partition_filters and "concat_ws" in partition_filters
     assert "ReadSchema: struct<id:bigint,status:int>" in plan
     assert [r.id for r in df.collect()] == [2]
 
