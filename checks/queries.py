@@ -1,9 +1,12 @@
 """Every registered query with the SQL that must give the same rows."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from checks import fixtures as X
 from checks.ctes import with_ctes
+from checks.files import new_folder, put_files
 from photocat.functions import display as D
 from photocat.functions import exif as E
 from photocat.functions import paths as P
@@ -16,6 +19,7 @@ from photocat.schema import PHOTOS_SCHEMA
 from photocat.session import new_path, stage
 from photocat.sources import events as event_sources
 from photocat.sources.index_store import read_index, write_index
+from photocat.sources.listing import asset_listing, photo_listing
 from photocat import streaming
 
 QUERIES, SQL, ON_FIXTURES = {}, {}, {}
@@ -52,6 +56,53 @@ def _(fx):
     return scan.scan(fx.listing, roots=fx.scanned_roots)
 
 
+@query(
+    "photo_listing",
+    "SELECT root, rel_path, mtime_ns, size FROM listing WHERE NOT (rel_path LIKE '.%' OR rel_path LIKE '%/.%')",
+)
+def _(fx):
+    folder = new_folder(fx.spark, "cards")
+    path = F.concat(F.lit(folder), "root", F.lit("/"), "rel_path")
+    put_files(fx.listing.select(path.alias("path"), "size", "mtime_ns"))
+    roots = [f"{folder}/cards/{name}" for name in os.listdir(f"{folder}/cards")]
+    found = photo_listing(fx.spark, roots, recursive=True)
+    return found.withColumn("root", F.substring("root", len(folder) + 1, 1000))
+
+
+@query(
+    "asset_listing",
+    "SELECT kind, hash, kind || 's/' || hash || '.jpg' AS path, bytes, last_used FROM cache_files WHERE id % 4 <> 2",
+)
+def _(fx):
+    folder = new_folder(fx.spark, "cache")
+    ends = F.expr("CASE id % 4 WHEN 2 THEN '.tmp' ELSE '.jpg' END")
+    path = F.concat(F.lit(f"{folder}/"), "kind", F.lit("s/"), "hash", ends)
+    put_files(
+        fx.cache_files.select(
+            path.alias("path"), F.col("bytes").alias("size"), F.col("last_used").alias("mtime_ns")
+        )
+    )
+    return asset_listing(fx.spark, folder)
+
+
+@query(
+    "export_files",
+    """SELECT root, ordinal, source, there AS ok,
+         CASE WHEN NOT there THEN 'No such file or directory (os error 2)' END AS reason
+       FROM (SELECT *, source IN (SELECT source FROM clashing WHERE id % 9 <> 1) AS there FROM clashing) c""",
+)
+def _(fx):
+    home, dest = new_folder(fx.spark, "originals"), new_folder(fx.spark, "out")
+    files = stage(clashing(fx), "files").withColumn("source", F.concat(F.lit(home), "source"))
+    there = files.where("id % 9 <> 1").select(
+        F.col("source").alias("path"), (F.col("id") % 100).alias("size"), F.col("id").alias("mtime_ns")
+    )
+    put_files(there)
+    plan = export.export_plan(files, fx.dest_files, dest)
+    done = export.export_files(plan, dest)
+    return done.withColumn("source", F.substring("source", len(home) + 1, 1000))
+
+
 @query("write_index", "SELECT root, count(*) AS n, max(id) AS top FROM photos GROUP BY root")
 def _(fx):
     store = new_path(fx.spark, "index")
