@@ -74,22 +74,19 @@ def effective_orientation(orientation="orientation", rot_cw="rot_cw") -> Column:
 def one_decimal(value) -> Column:
     """Non-negative number with one decimal, exact ties rounded to even.
 
-    ``rest`` is exact, and so is comparing ``20 * rest`` with an odd integer
-    ``k`` as ``4 * rest`` against ``k - 16 * rest``; so a binary value just
-    beside a decimal tie is never mistaken for the tie.
+    ``rest`` is exact, and so is the sign of ``20 * rest - k`` for an odd
+    integer ``k`` when taken as ``4 * rest - (k - 16 * rest)``; so a binary
+    value just beside a decimal tie is never mistaken for the tie.
     """
     value = _col(value).cast("double")
     whole = F.floor(value)
     rest = value - whole
     tenth = F.floor(rest * 10)
-    left, right = rest * 4, (tenth * 2 + 1).cast("double") - rest * 16
-    up = (left > right) | ((left == right) & (F.pmod(tenth, F.lit(2)) == 1))
-    tenths = whole * 10 + tenth + F.when(up, 1).otherwise(0)
-    return F.concat(
-        F.call_function("div", tenths, F.lit(10)).cast("string"),
-        F.lit("."),
-        F.pmod(tenths, F.lit(10)).cast("string"),
-    )
+    beyond = rest * 4 - ((tenth * 2 + 1).cast("double") - rest * 16)
+    # An odd tenth rounds up on the tie itself, an even one only beyond it.
+    up = (beyond > (tenth % 2).cast("double") * F.lit(-1e-300)).cast("int")
+    tenths = (whole * 10 + tenth + up).cast("decimal(20,0)")
+    return (tenths * F.lit("0.1").cast("decimal(1,1)")).cast("string")
 
 
 def trim_number(value) -> Column:

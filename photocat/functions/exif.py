@@ -60,17 +60,19 @@ def taken_at_of(original="date_time_original", created="create_date") -> Column:
 
 
 def format_seconds(seconds: Column) -> Column:
-    """``1/250 s`` below one second, ``2.5 s`` or ``30 s`` from one second up."""
-    seconds = _positive(seconds)
-    tenths = F.round(seconds * 10)
-    whole = F.floor(tenths / 10)
-    rest = (tenths - whole * 10).cast("int")
-    long_text = F.when(rest == 0, F.concat(whole.cast("string"), F.lit(" s"))).otherwise(
-        F.concat(whole.cast("string"), F.lit("."), rest.cast("string"), F.lit(" s"))
-    )
+    """``1/250 s`` below one second, ``2.5 s`` or ``30 s`` from one second up.
+
+    One decimal digit leaves one dot, so dropping ``.0`` only affects whole
+    seconds.  Zero, negative, infinite and undefined values give null.
+    """
+    tenths = F.least(_tenths(seconds), F.lit(float(2**64))).cast("decimal(38,1)")
+    long_text = F.replace(tenths.cast("string"), F.lit(".0"), F.lit(""))
     reciprocal = F.greatest(F.round(F.lit(1.0) / seconds), F.lit(1.0)).cast("bigint")
-    return F.when(seconds >= 1, long_text).when(
-        seconds < 1, F.concat(F.lit("1/"), reciprocal.cast("string"), F.lit(" s"))
+    return F.when(
+        (seconds >= 1) & (seconds < F.lit(float("inf"))), F.concat(long_text, F.lit(" s"))
+    ).when(
+        (seconds > 0) & (seconds < 1),
+        F.concat(F.lit("1/"), reciprocal.cast("string"), F.lit(" s")),
     )
 
 
@@ -92,10 +94,10 @@ def shutter_of(
     catalogs whose stored texts were produced that way.
     """
     apex = _ratio(apex_n, apex_d)
-    seconds = apex if apex_is_seconds else F.pow(F.lit(2.0), -apex)
-    return F.when(
-        _col(exposure_n).isNotNull(), format_shutter(exposure_n, exposure_d)
-    ).otherwise(format_seconds(seconds))
+    seconds = F.when(_col(exposure_n).isNotNull(), _ratio(exposure_n, exposure_d)).otherwise(
+        apex if apex_is_seconds else F.pow(F.lit(2.0), -apex)
+    )
+    return format_seconds(seconds)
 
 
 def aperture_of(
