@@ -112,7 +112,7 @@ def assign_shards(
     for i in range(len(dims)):
         bounds = _bounds(rows, f"_dim{i}", 1 << bits, scratch)
         cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
-        levels.append(F.size(F.filter(cuts, lambda b, c=f"_dim{i}": b <= F.col(c))))
+        levels.append(_cuts_below(cuts, F.col(f"_dim{i}")))
     # Sizes on a logarithmic scale, two levels to a doubling.
     levels.append(F.least(F.floor(F.log2("_size") * 2).cast("int"), F.lit((1 << bits) - 1)))
     names = [f"_level{i}" for i in range(len(levels))]
@@ -154,6 +154,10 @@ def write_shards(docs: DataFrame, shards: int, path: str, **kinds) -> None:
     ordered.select("_doc", F.col("_shard").alias("shard")).write.partitionBy("shard").parquet(path)
 
 
+def _cuts_below(cuts: Column, value: Column) -> Column:
+    return F.size(F.filter(cuts, lambda cut: cut <= value))
+
+
 def _bounds(rows, column, levels, scratch) -> list:
     """At most ``levels - 1`` values that cut the distinct values into runs of equal length."""
     found = numbered(rows.select(column).distinct(), [F.col(column).asc()], scratch, f"of{column}")
