@@ -7,9 +7,10 @@ emits its subsets of that size under the key (a, b, subset), and meeting in a ke
 
 Heavy sets scan inverted lists.  Lists of single shingles would hold every text
 with a common passage, so a list here belongs to a *part*: a set is split by
-hash into K parts, where two linked sets differ in at most d shingles and K > d, so
-at least K - d parts agree in full.  The lists that hold two different sets are
-scanned, and what they suggest is verified on the full sets.
+hash into K parts, and where two linked sets differ in at most d shingles, at
+least K - d parts agree in full.  So each set may leave out its K - d - 1 fullest
+lists, which are those of common passages, and linked sets still meet in one.
+What the other lists suggest is verified on the full sets.
 
 The boundary is the largest size up to which enumerating costs no more keys than the
 lists, counting the shingles that verification has to move (``light_limit``).
@@ -33,13 +34,17 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from photocat.llm.common import MAX_LOOKUP_ROWS, Scratch, components
 from photocat.llm.shingles import BASE, mix, shingle_set
 
-# Sizes of a class of heavy sets span this factor.
-CLASS_STEP = 1.5
+# Sizes of a class of heavy sets span this factor; small sets need finer classes.
+CLASS_STEP, FINE_STEP, FINE_BELOW = 1.5, 1.2, 60
+# Roles of keys: the smaller or equal side of a subset, the larger side, and from
+# PART on the class of a part.
+LOW, HIGH, PART = 1, 2, 10
 OUT_ROWS = 100_000
 
 
@@ -63,16 +68,22 @@ class Threshold:
 
     def class_of(self, n: int) -> int:
         while self.lows[-1] <= n:
-            self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * CLASS_STEP)))
+            last = self.lows[-1]
+            step = FINE_STEP if last < FINE_BELOW else CLASS_STEP
+            self.lows.append(max(last + 1, int(last * step)))
         return int(np.searchsorted(self.lows, n, "right")) - 1
 
     def parts(self, c: int) -> tuple:
-        """(K, slack) of pairs whose smaller set is of class ``c``; K - d = slack + 1."""
+        """(K, small, agreeing) for pairs whose smaller set is of class ``c``.
+
+        Of K parts each set may leave out up to ``small`` of its smallest, and two
+        linked sets still agree in at least ``agreeing`` parts that both list.
+        """
         self.class_of(self.lows[c])
         top = self.lows[c + 1] - 1
         d = (self.den - self.num) * (top + self.largest(top)) // (self.den + self.num)
-        slack = 1 + d // 10
-        return d + 1 + slack, slack
+        spare = 2 + d // 4
+        return d + 1 + spare, spare // 2, 1 + spare - spare // 2
 
 
 def light_cost(t: Threshold, n: int) -> int:
@@ -89,7 +100,7 @@ def light_limit(t: Threshold) -> int:
 
 
 def light_keys(tokens: np.ndarray, t: Threshold):
-    """(keys, roles) of a light set; role 1 is the smaller or equal side, 2 the larger."""
+    """(keys, roles) of a light set."""
     n, keys, roles = len(tokens), [], []
     mixed = mix(tokens * BASE)
     for other in range(max(1, t.smallest(n)), min(t.boundary, t.largest(n)) + 1):
@@ -98,22 +109,21 @@ def light_keys(tokens: np.ndarray, t: Threshold):
         subsets = np.array(list(combinations(range(n), kept)))
         sums = mixed[subsets].sum(axis=1, dtype=np.uint64)
         keys.append(mix(sums * BASE + np.uint64(low << 20 | high << 1 | 1)))
-        roles.append(np.full(len(subsets), 1 if n == low else 2, np.int8))
+        roles.append(np.full(len(subsets), LOW if n == low else HIGH, np.int16))
     return keys, roles
 
 
 def part_keys(tokens: np.ndarray, t: Threshold):
-    """Keys of the parts of a set, for pairs in which it is the smaller and the larger set.
+    """(keys, roles) of the parts of a set, for pairs in which it is the smaller or the larger set.
 
-    Small parts say little.  As K - d = slack + 1 parts agree, each set may leave out
-    its smallest parts while these are no more than ``slack``; the sizes left out
-    depend on the set, and of two sets one leaves out the most, so a part that
-    agrees remains on both sides.
+    Small parts say little.  Which sizes a set leaves out depends on how many it has
+    of them; of two linked sets the one that leaves out more decides for a part
+    that agrees, so no more than ``small`` of these are lost.
     """
     n = len(tokens)
-    out = []
-    for c in sorted({t.class_of(n), t.class_of(max(t.smallest(n), t.lows[0]))}):
-        k, slack = t.parts(c)
+    keys, roles = [], []
+    for c in range(t.class_of(max(t.smallest(n), t.lows[0])), t.class_of(n) + 1):
+        k, small, _ = t.parts(c)
         at = (mix(tokens ^ BASE) % np.uint64(k)).astype(np.int64)
         sizes = np.bincount(at, minlength=k)
         order = np.argsort(at, kind="stable")
@@ -121,20 +131,24 @@ def part_keys(tokens: np.ndarray, t: Threshold):
         present = np.flatnonzero(sizes)
         first = np.concatenate(([0], np.cumsum(sizes[present])[:-1]))
         sums[present] = np.add.reduceat(mix(tokens[order] * BASE), first)
-        upto = np.cumsum(np.bincount(sizes))
-        least = int(np.searchsorted(upto, slack, "right"))  # smallest size that stays
+        least = int(np.searchsorted(np.cumsum(np.bincount(sizes)), small, "right"))
         stay = np.flatnonzero(sizes >= least)
         tag = (stay.astype(np.uint64) << np.uint64(20)) | np.uint64(c << 1)
-        out.append(mix(sums[stay] * BASE + mix(tag + sizes[stay].astype(np.uint64) * BASE)))
-    return out
+        keys.append(mix(sums[stay] * BASE + mix(tag + sizes[stay].astype(np.uint64) * BASE)))
+        roles.append(np.full(len(stay), PART + c, np.int16))
+    return keys, roles
+
+
+def identity(tokens: np.ndarray) -> np.uint64:
+    return mix(tokens * BASE).sum(dtype=np.uint64) ^ np.uint64(len(tokens))
 
 
 def _set_rows(k):
     def rows(batches):
         for batch in batches:
             found = [shingle_set(x.as_py(), k) for x in batch.column(1)]
-            sid = [int(mix(s * BASE).sum(dtype=np.uint64)) ^ len(s) if len(s) else 0 for s in found]
-            check = [int(mix(s ^ BASE).sum(dtype=np.uint64)) for s in found]
+            sid = [identity(s) for s in found]
+            check = [mix(s ^ BASE).sum(dtype=np.uint64) for s in found]
             signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in found], pa.int64()), signed(sid), signed(check)],
@@ -167,10 +181,10 @@ def _key_rows(k, num, den):
                     continue
                 new_keys, new_roles = light_keys(tokens, t) if n <= t.boundary else ([], [])
                 if n >= t.lows[0]:
-                    parts = part_keys(tokens, t)
-                    new_keys += parts
-                    new_roles += [np.zeros(len(p), np.int8) for p in parts]
-                sid = mix(tokens * BASE).sum(dtype=np.uint64) ^ np.uint64(n)
+                    more_keys, more_roles = part_keys(tokens, t)
+                    new_keys += more_keys
+                    new_roles += more_roles
+                sid = identity(tokens)
                 for one, role in zip(new_keys, new_roles):
                     keys.append(one)
                     roles.append(role)
@@ -189,12 +203,15 @@ def _token_rows(k):
     def rows(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                found = [shingle_set(x.as_py(), k).view(np.int64) for x in part.column(1)]
+                found = [shingle_set(x.as_py(), k) for x in batch.column(0).slice(at, 200)]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                values = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
+                values = np.concatenate(found).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(ends, values)], names=["_sid", "_tokens"]
+                    [
+                        pa.array(np.array([identity(s) for s in found], np.uint64).view(np.int64)),
+                        pa.ListArray.from_arrays(ends, pa.array(values)),
+                    ],
+                    names=["_sid", "_tokens"],
                 )
 
     return rows
@@ -227,7 +244,8 @@ def jaccard_groups(
         ),
         "distinct",
     )
-    edges = _links(texts, distinct, k, num, den, scratch)
+    largest = sets.agg(F.coalesce(F.max("_n"), F.lit(0))).head()[0]
+    edges = _links(texts, distinct, k, Threshold(num, den), largest, scratch)
     label = components(edges, scratch, "whole")
     # Components are named by sets so far; name them by the smallest id instead.
     named = scratch.save(
@@ -256,34 +274,40 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return packed.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_doc.*")
 
 
-def _links(texts, distinct, k, num, den, scratch) -> DataFrame:
+def _links(texts, distinct, k, t, largest, scratch) -> DataFrame:
     """Edges between distinct sets that connect whatever is linked."""
-    spark = scratch.spark
     keys = texts.select("_text").mapInArrow(
-        _key_rows(k, num, den), "_key bigint, _sid bigint, _role tinyint"
+        _key_rows(k, t.num, t.den), "_key bigint, _sid bigint, _role smallint"
     )
     crowded = keys.groupBy("_key").agg(F.count("*").alias("_rows")).where("_rows > 1").select("_key")
     # Copies of a set fall together before the second aggregation finds real meetings.
     met = scratch.save(keys.join(crowded, "_key").groupBy("_key", "_sid", "_role").agg(F.lit(1).alias("_one")), "met")
     met = met.drop("_one")
-    real = met.groupBy("_key").agg(
-        F.min("_sid").alias("_min"),
-        F.max("_sid").alias("_max"),
-        F.min(F.when(F.col("_role") == 1, F.col("_sid"))).alias("_small"),
-        F.max("_role").alias("_top"),
-    ).where("_min < _max")
-    real = scratch.save(real, "real")
-    # Light: every member of a key is linked with the key's smaller sets.
+    real = scratch.save(
+        met.groupBy("_key").agg(
+            F.count("*").alias("_fill"), F.min(F.when(F.col("_role") == LOW, F.col("_sid"))).alias("_small")
+        ).where("_fill > 1"),
+        "real",
+    )
+    # Light: every set of a key is linked with the key's smaller sets.
     light = (
-        met.where("_role > 0")
-        .join(real.where("_top > 0 AND _small IS NOT NULL").select("_key", "_small"), "_key")
+        met.where(F.col("_role") < PART)
+        .join(real.where("_small IS NOT NULL").select("_key", "_small"), "_key")
         .where("_sid != _small")
         .select(F.col("_sid").alias("a"), F.col("_small").alias("b"))
         .distinct()
     )
     light = scratch.save(light, "light")
+    # Heavy: a set leaves out its fullest lists, as many as agreement allows.
+    top = t.class_of(max(largest, t.lows[0]))
+    agreeing = F.array(*[F.lit(t.parts(c)[2]) for c in range(top + 1)])
+    fullest = W.partitionBy("_sid", "_role").orderBy(F.desc("_fill"), F.desc("_key"))
     members = scratch.save(
-        met.where("_role = 0").join(real.where("_top = 0").select("_key"), "_key").select("_key", "_sid"),
+        met.where(F.col("_role") >= PART)
+        .join(real.select("_key", "_fill"), "_key")
+        .withColumn("_at", F.row_number().over(fullest))
+        .where(F.col("_at") >= F.get(agreeing, F.col("_role") - PART))
+        .select("_key", "_sid"),
         "members",
     )
     if members.limit(1).count() == 0:
@@ -305,7 +329,7 @@ def _links(texts, distinct, k, num, den, scratch) -> DataFrame:
         .agg(F.count("*").alias("_shared"))
     )
     asked = asked.groupBy("_sid").agg(F.max_by("_pivot", F.struct("_shared", "_pivot")).alias("_pivot"))
-    links = scratch.save(_verified(asked, tokens, num, den), "links0")
+    links = scratch.save(_verified(asked, tokens, t), "links0")
     tested = None
     step, edges = 0, links
     while True:
@@ -339,7 +363,7 @@ def _links(texts, distinct, k, num, den, scratch) -> DataFrame:
         asked = (
             rest.join(pivots, "_key").where("_comp != _pivot_comp").select("_sid", "_pivot").distinct()
         )
-        found = scratch.save(_verified(asked, tokens, num, den), f"links{step + 1}")
+        found = scratch.save(_verified(asked, tokens, t), f"links{step + 1}")
         edges = edges.union(found)
         used = pivots.select("_key", F.col("_pivot").alias("_sid"))
         tested = used if tested is None else tested.union(used)
@@ -352,13 +376,18 @@ def _tokens(texts, distinct, members, k, scratch) -> DataFrame:
         distinct.join(members.select("_sid").distinct(), "_sid").select("_sid", F.col("_first").alias("_id")),
         "wanted",
     )
-    small = wanted.count() <= MAX_LOOKUP_ROWS
-    rows = texts.join(F.broadcast(wanted) if small else wanted, "_id").select("_sid", "_text")
-    made = rows.mapInArrow(_token_rows(k), "_sid bigint, _tokens array<bigint>")
-    return scratch.save(made.dropDuplicates(["_sid"]), "tokens")
-
-
-def _verified(asked, tokens, num, den) -> DataFrame:
+    n, nulls = wanted.agg(F.count("*"), F.count_if(F.col("_id").isNull())).head()
+    ids = wanted.select("_id").distinct()
+    rows = texts.join(F.broadcast(ids) if n <= MAX_LOOKUP_ROWS else ids, "_id", "left_semi")
+    if nulls:
+        rows = rows.union(texts.where("_id IS NULL"))
+    # Rows may share an id, so the set decides whether a row was meant.
+    made = rows.select("_text").mapInArrow(_token_rows(k), "_sid bigint, _tokens array<bigint>")
+    made = scratch.save(made.dropDuplicates(["_sid"]), "tokens")
+    return made.join(wanted.select("_sid"), "_sid", "left_semi") if nulls else made
+
+
+def _verified(asked, tokens, t) -> DataFrame:
     """``asked(_sid, _pivot)`` that reach the threshold, as edges."""
     left = tokens.select("_sid", F.col("_tokens").alias("_a"))
     right = tokens.select(F.col("_sid").alias("_pivot"), F.col("_tokens").alias("_b"))
@@ -367,6 +396,6 @@ def _verified(asked, tokens, num, den) -> DataFrame:
     return (
         asked.join(right, "_pivot")
         .join(left, "_sid")
-        .where(both.cast("bigint") * den >= union.cast("bigint") * num)
+        .where(both.cast("bigint") * t.den >= union.cast("bigint") * t.num)
         .select(F.col("_sid").alias("a"), F.col("_pivot").alias("b"))
     )

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photocat.llm import exact_dedup, hilbert_sharding, warc_archive
+from photocat.llm import exact_dedup, hilbert_sharding, ngram_join, warc_archive
 from photocat.llm.common import Scratch, read_table
 
 SHARDS = 24
@@ -31,13 +31,24 @@ def op7_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return ngram_join.jaccard_groups(docs, k=4, num=85, den=100)
+
+
 def op10_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return exact_dedup.text_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES = {
-    f.__name__: f for f in (op5_hilbert_sharding, op7_content_addressed_warc, op10_block_naming_dedup)
+    f.__name__: f
+    for f in (
+        op5_hilbert_sharding,
+        op7_content_addressed_warc,
+        op9_heavy_light_jaccard,
+        op10_block_naming_dedup,
+    )
 }
 
 SQL = {
