@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photocat.llm import exact_dedup, hilbert_sharding, ngram_join, warc_archive
+from photocat.llm import exact_dedup, hilbert_sharding, multi_index, ngram_join, warc_archive
 from photocat.llm.common import Scratch, read_table
 
 SHARDS = 24
@@ -23,6 +23,10 @@ def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_groups(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "archive").path("warc")
     warc_archive.write_archive(read_table(spark, sf_dir, "pages"), path)
@@ -45,6 +49,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op5_hilbert_sharding,
+        op6_inverted_multi_index,
         op7_content_addressed_warc,
         op9_heavy_light_jaccard,
         op10_block_naming_dedup,
