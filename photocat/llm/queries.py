@@ -3,12 +3,27 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photocat.llm import exact_dedup, hilbert_sharding, multi_index, ngram_join, warc_archive
+from photocat.llm import (
+    exact_dedup,
+    hilbert_sharding,
+    html_text,
+    language_id,
+    multi_index,
+    ngram_join,
+    warc_archive,
+)
 from photocat.llm.common import Scratch, read_table
 
 SHARDS = 24
 
 
+def op1_block_rules_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return html_text.extract(pages, columns=["page_id", "url"]).select(
+        "page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars")
+    )
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return hilbert_sharding.assign_shards(docs, SHARDS).select(
@@ -35,6 +50,13 @@ def op7_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, teach=~language_id.held_out("doc_id"))
+    apart = docs.select("doc_id", "text", language_id.held_out("doc_id").alias("held_out"))
+    return language_id.predict(apart, model, ["doc_id", "held_out"])
+
+
 def op9_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return ngram_join.jaccard_groups(docs, k=4, num=85, den=100)
@@ -48,9 +70,11 @@ def op10_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_block_rules_html,
         op5_hilbert_sharding,
         op6_inverted_multi_index,
         op7_content_addressed_warc,
+        op8_hierarchical_language_id,
         op9_heavy_light_jaccard,
         op10_block_naming_dedup,
     )
