@@ -1,5 +1,7 @@
 """Registered queries of the operators, and their SQL where SQL can express them."""
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +12,18 @@ from photocat.llm import (
     language_id,
     multi_index,
     ngram_join,
+    piece_lattice,
+    preference_pairs,
+    source_mixing,
     warc_archive,
 )
 from photocat.llm.common import Scratch, read_table
 
 SHARDS = 24
+# The vocabulary file; any SentencePiece model does.
+PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+MIX = {"domain": {"src0": 4, "src1": 2}, "lang": {"en": 3, "de": 2}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 2, 7
 
 
 def op1_block_rules_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +33,35 @@ def op1_block_rules_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference_pairs.pairs_from_neighbours(read_table(spark, sf_dir, "conversations"))
+
+    def spans(column):
+        return F.array_join(F.transform(column, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+
+    return pairs.withColumns(
+        {"chosen_spans": spans("chosen_spans"), "rejected_spans": spans("rejected_spans")}
+    )
+
+
+def op3_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    encoded = piece_lattice.encode(docs, PIECES, columns=["doc_id"])
+    return encoded.select(
+        "doc_id",
+        F.size("ids").alias("n_pieces"),
+        F.md5(F.array_join("ids", " ")).alias("ids_md5"),
+        "score",
+        F.transform("other_ways", lambda w: w["score"]).alias("other_scores"),
+        "restored",
+    )
+
+
+def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return source_mixing.mix(docs, MIX_SHARE, MIX, MIX_EPOCHS, MIX_SEED).drop("text_hash")
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return hilbert_sharding.assign_shards(docs, SHARDS).select(
@@ -71,6 +109,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_block_rules_html,
+        op2_preference_format,
+        op3_nbest_pieces,
+        op4_hierarchical_mixing,
         op5_hilbert_sharding,
         op6_inverted_multi_index,
         op7_content_addressed_warc,
@@ -80,7 +121,95 @@ QUERIES = {
     )
 }
 
+def _divided(table: str, path: list, level: str) -> str:
+    """SQL of one level of the budget tree: children in the order in which they fill up."""
+    parents = path[:-1]
+    keys = ", ".join(path)
+    over = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    weight = "CASE " + level + "".join(f" WHEN '{v}' THEN {w}" for v, w in MIX.get(level, {}).items()) + " ELSE 1 END"
+    weight = weight if MIX.get(level) else "1"
+    given = f"JOIN {table} USING ({', '.join(parents)})" if parents else f"CROSS JOIN {table}"
+    return f"""
+        SELECT {keys}, (CASE WHEN fills THEN cap ELSE (given - sum(CASE WHEN fills THEN cap ELSE 0 END) OVER ({over}))
+                   * weight // sum(CASE WHEN fills THEN 0 ELSE weight END) OVER ({over}) END)::HUGEINT AS given
+        FROM (SELECT *, cap * (sum(weight) OVER ({over}) - before_weight) <= (given - before_cap) * weight AS fills
+              FROM (SELECT *, coalesce(sum(cap) OVER w, 0) AS before_cap, coalesce(sum(weight) OVER w, 0) AS before_weight
+                    FROM (SELECT {keys}, (sum(size) * {MIX_EPOCHS})::HUGEINT AS cap, any_value(given)::HUGEINT AS given,
+                                 ({weight})::HUGEINT AS weight
+                          FROM leaf {given} GROUP BY {keys})
+                    WINDOW w AS ({over} ORDER BY cap / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))"""
+
+
+MIX_SQL = f"""
+    WITH d AS (
+        SELECT doc_id, substr(coalesce(source, ''), 1, 4) AS domain, coalesce(lang, '') AS lang,
+               coalesce(source, '') AS source,
+               len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens
+        FROM documents
+    ), leaf AS (
+        SELECT domain, lang, source, sum(n_tokens) AS size FROM d GROUP BY ALL
+    ), root AS (
+        SELECT floor(coalesce(sum(size), 0)::DOUBLE * {MIX_SHARE})::HUGEINT AS given FROM leaf
+    ), domains AS ({_divided("root", ["domain"], "domain")}
+    ), langs AS ({_divided("domains", ["domain", "lang"], "lang")}
+    ), sources AS ({_divided("langs", ["domain", "lang", "source"], "source")}
+    ), bought AS (
+        SELECT domain, lang, source, given AS leaf_budget,
+               CASE WHEN size > 0 THEN given // size ELSE 0 END AS epochs,
+               CASE WHEN size > 0 THEN given % size ELSE 0 END AS rest
+        FROM leaf JOIN sources USING (domain, lang, source)
+    ), placed AS (
+        SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+                      ORDER BY md5(concat_ws(':', '{MIX_SEED}', epochs, coalesce(doc_id::VARCHAR, '')))
+                      ROWS UNBOUNDED PRECEDING) AS upto
+        FROM d JOIN bought USING (domain, lang, source)
+    )
+    SELECT doc_id, domain, lang, source, n_tokens, leaf_budget::BIGINT AS leaf_budget,
+           (epochs + CASE WHEN upto <= rest AND epochs < {MIX_EPOCHS} THEN 1 ELSE 0 END)::INTEGER AS copies
+    FROM placed WHERE epochs + CASE WHEN upto <= rest AND epochs < {MIX_EPOCHS} THEN 1 ELSE 0 END > 0"""
+
+PAIR_SQL = """
+    WITH t AS (
+        SELECT conv_id, role, text, row_number() OVER (
+                   PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), cut AS (
+        SELECT conv_id, max(pos) AS last_pos FROM t WHERE role = 'assistant' GROUP BY conv_id
+    ), answer AS (
+        SELECT conv_id, last_pos, text, row_number() OVER (ORDER BY conv_id) - 1 AS i, count(*) OVER () AS n
+        FROM cut JOIN t USING (conv_id) WHERE pos = last_pos
+    ), other AS (
+        SELECT a.conv_id, a.last_pos, b.text AS other FROM answer a JOIN answer b ON b.i = (a.i + 1) % a.n
+    ), sides AS (
+        SELECT conv_id, pos, last_pos, role, text AS chosen, CASE WHEN pos = last_pos THEN other ELSE text END AS rejected
+        FROM t JOIN other USING (conv_id) WHERE pos <= last_pos
+    ), parted AS (
+        SELECT *, coalesce(min(CASE WHEN chosen IS DISTINCT FROM rejected THEN pos END) OVER (PARTITION BY conv_id) - 1,
+                           last_pos) AS n_common
+        FROM sides
+    ), rendered AS (
+        SELECT *, '<|im_start|>' || coalesce(role, '') || chr(10) AS head,
+               coalesce(chosen, '') || '<|im_end|>' AS chosen_said, coalesce(rejected, '') || '<|im_end|>' AS rejected_said
+        FROM parted
+    ), placed AS (
+        SELECT *, coalesce(sum(CASE WHEN pos > n_common THEN length(head) + length(chosen_said) + 1 END) OVER w, 0) AS c_at,
+               coalesce(sum(CASE WHEN pos > n_common THEN length(head) + length(rejected_said) + 1 END) OVER w, 0) AS r_at
+        FROM rendered
+        WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    )
+    SELECT conv_id, any_value(n_common)::INTEGER AS n_common,
+           coalesce(string_agg(head || chosen_said || chr(10), '' ORDER BY pos) FILTER (pos <= n_common), '') AS prompt,
+           coalesce(string_agg(head || chosen_said || chr(10), '' ORDER BY pos) FILTER (pos > n_common), '') AS chosen,
+           coalesce(string_agg((c_at + length(head))::BIGINT || '-' || (c_at + length(head) + length(chosen_said))::BIGINT,
+                               ',' ORDER BY pos) FILTER (pos > n_common AND role = 'assistant'), '') AS chosen_spans,
+           coalesce(string_agg(head || rejected_said || chr(10), '' ORDER BY pos) FILTER (pos > n_common), '') AS rejected,
+           coalesce(string_agg((r_at + length(head))::BIGINT || '-' || (r_at + length(head) + length(rejected_said))::BIGINT,
+                               ',' ORDER BY pos) FILTER (pos > n_common AND role = 'assistant'), '') AS rejected_spans
+    FROM placed GROUP BY conv_id"""
+
 SQL = {
+    "op2_preference_format": PAIR_SQL,
+    "op4_hierarchical_mixing": MIX_SQL,
     "op7_content_addressed_warc": f"""
         WITH r AS (
             SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS h FROM pages
