@@ -15,11 +15,13 @@ What the other lists suggest is verified on the full sets.
 The boundary is the largest size up to which enumerating costs no more keys than the
 lists, counting the shingles that verification has to move (``light_limit``).
 
-A list of m sets is not expanded into m^2 pairs.  Its most central set is tested
-against all others first; sets linked by then need no test among each other.  What
-is left is tested against more and more further pivots, until every two sets of a
-list are tested or connected.  So no link between components is lost, whatever
-the size of a list, and equal sets take part once.
+A list of m sets is not expanded into m^2 pairs.  Shingles that no other listed set
+holds bound the overlap of a set with any other; sets that cannot reach the threshold
+leave, and so do pairs.  The most central set of a list is tested against all others
+first; sets linked by then need no test among each other.  What is left is tested
+against more and more further pivots, until every two sets of a list are tested,
+ruled out or connected.  So no link between components is lost, whatever the size of
+a list, and equal sets take part once.
 
 Nulls, ties and the like
     A null or empty text, or one without words, has size 0, links with nothing and
@@ -33,7 +35,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,9 +44,11 @@ from photocat.llm.shingles import BASE, mix, shingle_set
 
 # Sizes of a class of heavy sets span this factor; small sets need finer classes.
 CLASS_STEP, FINE_STEP, FINE_BELOW = 1.5, 1.2, 60
-# Roles of keys: the smaller or equal side of a subset, the larger side, and from
+# Pivots of a list grow by this factor from round to round.
+PIVOT_STEP = 64
+# Roles of rows: what a row of the input is about; and of keys: the smaller or equal side of a subset, the larger side, and from
 # PART on the class of a part.
-LOW, HIGH, PART = 1, 2, 10
+SET, LOW, HIGH, PART = 0, 1, 2, 10
 OUT_ROWS = 100_000
 
 
@@ -143,58 +147,54 @@ def identity(tokens: np.ndarray) -> np.uint64:
     return mix(tokens * BASE).sum(dtype=np.uint64) ^ np.uint64(len(tokens))
 
 
-def _set_rows(k):
-    def rows(batches):
-        for batch in batches:
-            found = [shingle_set(x.as_py(), k) for x in batch.column(1)]
-            sid = [identity(s) for s in found]
-            check = [mix(s ^ BASE).sum(dtype=np.uint64) for s in found]
-            signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), signed(sid), signed(check)],
-                names=["_id", "_n", "_sid", "_check"],
-            )
-
-    return rows
-
-
 def _key_rows(k, num, den):
+    """One row per text about its set, and the rows of its keys."""
+
     def rows(batches):
         t = Threshold(num, den)
-        keys, roles, sids, held = [], [], [], 0
-
-        def out():
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(keys).view(np.int64)),
-                    pa.array(np.concatenate(sids).view(np.int64)),
-                    pa.array(np.concatenate(roles)),
-                ],
-                names=["_key", "_sid", "_role"],
-            )
-
+        names = ["_key", "_sid", "_role", "_check", "_id"]
         for batch in batches:
-            for text in batch.column(0):
+            keys, roles, sids, checks, ids, held = [], [], [], [], [], 0
+
+            def out():
+                present = np.concatenate(roles)
+                lone = np.zeros(len(present), np.uint64)
+                lone[present == SET] = checks
+                at = np.full(len(present), -1, np.int64)
+                at[present == SET] = ids
+                take = pa.array(at, mask=at < 0)
+                return pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(keys).view(np.int64)),
+                        pa.array(np.concatenate(sids).view(np.int64)),
+                        pa.array(present),
+                        pa.array(lone.view(np.int64), mask=present != SET),
+                        batch.column(0).take(take),
+                    ],
+                    names=names,
+                )
+
+            for at, text in enumerate(batch.column(1)):
                 tokens = shingle_set(text.as_py(), k)
                 n = len(tokens)
-                if not n:
-                    continue
-                new_keys, new_roles = light_keys(tokens, t) if n <= t.boundary else ([], [])
+                new_keys, new_roles = light_keys(tokens, t) if 0 < n <= t.boundary else ([], [])
                 if n >= t.lows[0]:
                     more_keys, more_roles = part_keys(tokens, t)
                     new_keys += more_keys
                     new_roles += more_roles
-                sid = identity(tokens)
-                for one, role in zip(new_keys, new_roles):
-                    keys.append(one)
-                    roles.append(role)
-                    sids.append(np.full(len(one), sid))
-                    held += len(one)
+                sid = identity(tokens) if n else np.uint64(0)
+                keys += [np.array([n], np.uint64), *new_keys]
+                roles += [np.array([SET], np.int16), *new_roles]
+                checks.append(mix(tokens ^ BASE).sum(dtype=np.uint64))
+                ids.append(at)
+                added = 1 + sum(map(len, new_keys))
+                sids.append(np.full(added, sid))
+                held += added
                 if held >= OUT_ROWS:
                     yield out()
-                    keys, roles, sids, held = [], [], [], 0
-        if held:
-            yield out()
+                    keys, roles, sids, checks, ids, held = [], [], [], [], [], 0
+            if held:
+                yield out()
 
     return rows
 
@@ -229,8 +229,16 @@ def jaccard_groups(
     scratch = Scratch(docs.sparkSession, "ngram")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type = texts.schema["_id"].dataType.simpleString()
+    t = Threshold(num, den)
+    rows = scratch.save(
+        texts.mapInArrow(
+            _key_rows(k, num, den),
+            f"_key bigint, _sid bigint, _role smallint, _check bigint, _id {id_type}",
+        ),
+        "rows",
+    )
     sets = scratch.save(
-        texts.mapInArrow(_set_rows(k), f"_id {id_type}, _n bigint, _sid bigint, _check bigint"), "sets"
+        rows.where(F.col("_role") == SET).select("_id", F.col("_key").alias("_n"), "_sid", "_check"), "sets"
     )
     # One row per distinct set; a second checksum guards the 64-bit identity.
     distinct = scratch.save(
@@ -245,7 +253,8 @@ def jaccard_groups(
         "distinct",
     )
     largest = sets.agg(F.coalesce(F.max("_n"), F.lit(0))).head()[0]
-    edges = _links(texts, distinct, k, Threshold(num, den), largest, scratch)
+    keys = rows.where(F.col("_role") != SET).select("_key", "_sid", "_role")
+    edges = _links(texts, keys, distinct, k, t, largest, scratch)
     label = components(edges, scratch, "whole")
     # Components are named by sets so far; name them by the smallest id instead.
     named = scratch.save(
@@ -274,15 +283,13 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return packed.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_doc.*")
 
 
-def _links(texts, distinct, k, t, largest, scratch) -> DataFrame:
+def _links(texts, keys, distinct, k, t, largest, scratch) -> DataFrame:
     """Edges between distinct sets that connect whatever is linked."""
-    keys = texts.select("_text").mapInArrow(
-        _key_rows(k, t.num, t.den), "_key bigint, _sid bigint, _role smallint"
-    )
     crowded = keys.groupBy("_key").agg(F.count("*").alias("_rows")).where("_rows > 1").select("_key")
     # Copies of a set fall together before the second aggregation finds real meetings.
     met = scratch.save(keys.join(crowded, "_key").groupBy("_key", "_sid", "_role").agg(F.lit(1).alias("_one")), "met")
     met = met.drop("_one")
+    scratch.drop("rows")
     real = scratch.save(
         met.groupBy("_key").agg(
             F.count("*").alias("_fill"), F.min(F.when(F.col("_role") == LOW, F.col("_sid"))).alias("_small")
@@ -313,61 +320,116 @@ def _links(texts, distinct, k, t, largest, scratch) -> DataFrame:
     if members.limit(1).count() == 0:
         return light
     tokens = _tokens(texts, distinct, members, k, scratch)
+    members = scratch.save(
+        members.join(_capacities(tokens, scratch), "_sid").where(
+            F.col("_cap") * t.den >= F.col("_n") * t.num
+        ),
+        "able",
+    )
     # The most central set of a list: the one whose lists are the fullest.
     fill = members.groupBy("_key").agg(F.count("*").alias("_fill"))
     central = scratch.save(
         members.join(fill, "_key").groupBy("_sid").agg(F.sum("_fill").alias("_score")), "central"
     )
-    scored = members.join(central, "_sid")
-    pivot = scored.groupBy("_key").agg(
-        F.max("_score").alias("_score"), F.max_by("_sid", F.struct("_score", "_sid")).alias("_pivot")
+    best = members.join(central, "_sid").groupBy("_key").agg(
+        F.max_by(
+            F.struct(F.col("_sid").alias("_pivot"), F.col("_n").alias("_pivot_n"), F.col("_cap").alias("_pivot_cap")),
+            F.struct("_score", "_sid"),
+        ).alias("_best")
     )
     asked = (
-        members.join(pivot, "_key")
-        .where("_sid != _pivot")
+        members.join(best.select("_key", "_best.*"), "_key")
+        .where((F.col("_sid") != F.col("_pivot")) & _possible(t, "_n", "_cap", "_pivot_n", "_pivot_cap"))
         .groupBy("_sid", "_pivot")
         .agg(F.count("*").alias("_shared"))
     )
     asked = asked.groupBy("_sid").agg(F.max_by("_pivot", F.struct("_shared", "_pivot")).alias("_pivot"))
-    links = scratch.save(_verified(asked, tokens, t), "links0")
+    edges = scratch.save(_verified(asked, tokens, t), "links0")
     tested = None
-    step, edges = 0, links
+    step = 0
     while True:
         label = components(edges, scratch, f"comp{step}")
-        open_members = members.join(label.withColumnRenamed("node", "_sid"), "_sid", "left").select(
-            "_key", "_sid", F.coalesce("component", "_sid").alias("_comp")
-        )
+        left = members.join(label.withColumnRenamed("node", "_sid"), "_sid", "left").withColumn(
+            "_comp", F.coalesce("component", "_sid")
+        ).drop("component")
         if tested is not None:
-            open_members = open_members.join(tested, ["_key", "_sid"], "left_anti")
-        mixed_keys = open_members.groupBy("_key").agg(
-            F.min("_comp").alias("_a"), F.max("_comp").alias("_b")
-        ).where("_a < _b").select("_key")
-        rest = scratch.save(open_members.join(mixed_keys, "_key"), f"open{step}")
-        if not rest.limit(1).count():
-            return light.union(edges.select("a", "b"))
-        # Pivots come from outside the largest component of a list, four times as many each round.
-        blocks = rest.groupBy("_key", "_comp").agg(F.count("*").alias("_in"))
-        main = blocks.groupBy("_key").agg(
-            F.max_by("_comp", F.struct("_in", "_comp")).alias("_main"),
-            (F.sum("_in") - F.max("_in")).alias("_out"),
+            left = left.join(tested, ["_key", "_sid"], "left_anti")
+        left = scratch.save(left, f"left{step}")
+        # Open: a set that may still be linked with a set of another component in its list.
+        sizes = left.groupBy(F.col("_key").alias("_in"), F.col("_n").alias("_other_n")).agg(
+            F.max("_cap").alias("_other_cap"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high")
+        )
+        other = (F.col("_comp") != F.col("_low")) | (F.col("_comp") != F.col("_high"))
+        rest = scratch.save(
+            left.join(
+                sizes,
+                (F.col("_key") == F.col("_in")) & other & _possible(t, "_n", "_cap", "_other_n", "_other_cap"),
+                "left_semi",
+            ),
+            f"open{step}",
+        )
+        # Pivots come from outside the largest component of a list, more of them each round.
+        main = rest.groupBy("_key", "_comp").agg(F.count("*").alias("_size")).groupBy("_key").agg(
+            F.max_by("_comp", F.struct("_size", "_comp")).alias("_main"),
+            (F.sum("_size") - F.max("_size")).alias("_out"),
         )
         outer = scratch.save(rest.join(main, "_key").where("_comp != _main"), f"outer{step}")
-        first = outer.groupBy("_key").agg(F.min("_sid").alias("_least"))
-        share = F.pmod(F.xxhash64("_sid"), F.lit(1 << 30)) * F.col("_out") < F.lit((4**step) << 30)
+        # Both sets of a pair that is left are open, so it has one outside of that component.
+        if not outer.limit(1).count():
+            return light.union(edges.select("a", "b"))
+        least = outer.groupBy("_key").agg(F.min("_sid").alias("_least"))
+        step += 1
+        share = F.pmod(F.xxhash64("_sid"), F.lit(1 << 30)) * F.col("_out") < F.lit(float(PIVOT_STEP**step << 30))
         pivots = scratch.save(
-            outer.join(first, "_key").where(share | (F.col("_sid") == F.col("_least"))).select(
-                "_key", F.col("_sid").alias("_pivot"), F.col("_comp").alias("_pivot_comp")
+            outer.join(least, "_key").where(share | (F.col("_sid") == F.col("_least"))).select(
+                "_key",
+                F.col("_sid").alias("_pivot"),
+                F.col("_comp").alias("_pivot_comp"),
+                F.col("_n").alias("_pivot_n"),
+                F.col("_cap").alias("_pivot_cap"),
             ),
             f"pivots{step}",
         )
         asked = (
-            rest.join(pivots, "_key").where("_comp != _pivot_comp").select("_sid", "_pivot").distinct()
+            rest.withColumnRenamed("_key", "_in")
+            .join(
+                pivots,
+                (F.col("_in") == F.col("_key"))
+                & (F.col("_comp") != F.col("_pivot_comp"))
+                & _possible(t, "_n", "_cap", "_pivot_n", "_pivot_cap"),
+            )
+            .select(F.least("_sid", "_pivot").alias("_sid"), F.greatest("_sid", "_pivot").alias("_pivot"))
+            .distinct()
         )
-        found = scratch.save(_verified(asked, tokens, t), f"links{step + 1}")
-        edges = edges.union(found)
+        edges = edges.union(scratch.save(_verified(asked, tokens, t), f"links{step}"))
         used = pivots.select("_key", F.col("_pivot").alias("_sid"))
         tested = used if tested is None else tested.union(used)
-        step += 1
+
+
+def _possible(t, n, cap, other_n, other_cap) -> Column:
+    """The overlap that two sets need is no more than each can have with any other set."""
+    whole = t.num + t.den
+    need = F.call_function("div", (F.col(n) + F.col(other_n)) * t.num + (whole - 1), F.lit(whole))
+    return need <= F.least(F.col(cap), F.col(other_cap))
+
+
+def _capacities(tokens, scratch) -> DataFrame:
+    """``(_sid, _n, _cap)``: size, and how many shingles some other listed set holds too."""
+    lone = (
+        tokens.select("_sid", F.explode("_tokens").alias("_token"))
+        .groupBy("_token")
+        .agg(F.count("*").alias("_holders"), F.min("_sid").alias("_sid"))
+        .where("_holders = 1")
+        .groupBy("_sid")
+        .agg(F.count("*").alias("_lone"))
+    )
+    sizes = tokens.select("_sid", F.size("_tokens").cast("bigint").alias("_n"))
+    return scratch.save(
+        sizes.join(lone, "_sid", "left").select(
+            "_sid", "_n", (F.col("_n") - F.coalesce("_lone", F.lit(0))).alias("_cap")
+        ),
+        "capacities",
+    )
 
 
 def _tokens(texts, distinct, members, k, scratch) -> DataFrame:
