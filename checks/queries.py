@@ -88,7 +88,9 @@ def _(fx):
 @query(
     "export_files",
     """SELECT root, ordinal, source, there AS ok,
-         CASE WHEN NOT there THEN 'No such file or directory (os error 2)' END AS reason
+         CASE WHEN NOT there THEN 'No such file or directory (os error 2)' END AS reason,
+         CASE WHEN there AND row_number() OVER (PARTITION BY name, there ORDER BY root DESC, ordinal DESC) = 1
+              THEN 1 ELSE 0 END::BIGINT AS copies
        FROM (SELECT *, source IN (SELECT source FROM clashing WHERE id % 9 <> 1) AS there FROM clashing) c""",
 )
 def _(fx):
@@ -347,6 +349,11 @@ def _(fx):
     return sync_roots(fx.listing, fx.photos, fx.scanned_roots)
 
 
+@query("apply_sync_repeated_root", f"SELECT {', '.join(PHOTOS_SCHEMA.names)} FROM synced")
+def _(fx):
+    return sync_roots(fx.listing, fx.photos, fx.scanned_roots.unionByName(fx.scanned_roots))
+
+
 @query(
     "rescan_summary",
     """SELECT root, count(*) FILTER (WHERE label = 0 AND status <> 3) AS n_none,
@@ -356,7 +363,8 @@ def _(fx):
          count(*) FILTER (WHERE label = 4 AND status <> 3) AS n_blue,
          count(*) FILTER (WHERE label = 5 AND status <> 3) AS n_purple,
          count(*) FILTER (WHERE status = 2) AS n_errors, count(*) FILTER (WHERE status = 0) AS n_pending
-       FROM synced GROUP BY root HAVING count(*) FILTER (WHERE status <> 3) > 0""",
+       FROM synced GROUP BY root
+       UNION ALL SELECT root, 0, 0, 0, 0, 0, 0, 0, 0 FROM scanned_roots WHERE root NOT IN (SELECT root FROM synced)""",
 )
 def _(fx):
     return rescan_summary(fx.listing, fx.photos, fx.scanned_roots)
@@ -492,13 +500,16 @@ def _(fx):
 
 # --- aggregations -----------------------------------------------------------
 
-_TALLY = """SELECT root, count(*) FILTER (WHERE label = 0) AS n_none, count(*) FILTER (WHERE label = 1) AS n_red,
-  count(*) FILTER (WHERE label = 2) AS n_yellow, count(*) FILTER (WHERE label = 3) AS n_green,
-  count(*) FILTER (WHERE label = 4) AS n_blue, count(*) FILTER (WHERE label = 5) AS n_purple,
+_TALLY = """SELECT root, count(*) FILTER (WHERE label = 0 AND status <> 3) AS n_none,
+  count(*) FILTER (WHERE label = 1 AND status <> 3) AS n_red,
+  count(*) FILTER (WHERE label = 2 AND status <> 3) AS n_yellow,
+  count(*) FILTER (WHERE label = 3 AND status <> 3) AS n_green,
+  count(*) FILTER (WHERE label = 4 AND status <> 3) AS n_blue,
+  count(*) FILTER (WHERE label = 5 AND status <> 3) AS n_purple,
   count(*) FILTER (WHERE status = 2) AS n_errors FROM {} GROUP BY root"""
 
 
-@query("tally", _TALLY.format("live"))
+@query("tally", _TALLY.format("photos"))
 def _(fx):
     return stats.tally(fx.photos)
 
@@ -510,8 +521,9 @@ def _(fx):
 
 @query(
     "sheet_stats",
-    """SELECT root, count(*) AS total, count(*) FILTER (WHERE label BETWEEN 1 AND 5) AS shown,
-         count(*) FILTER (WHERE id IN (SELECT id FROM selection)) AS selected FROM live GROUP BY root""",
+    """SELECT root, count(*) FILTER (WHERE status <> 3) AS total,
+         count(*) FILTER (WHERE label BETWEEN 1 AND 5 AND status <> 3) AS shown,
+         count(*) FILTER (WHERE id IN (SELECT id FROM selection) AND status <> 3) AS selected FROM photos GROUP BY root""",
 )
 def _(fx):
     return stats.sheet_stats(fx.photos, LABELED, fx.selection)
@@ -1006,7 +1018,7 @@ def _(fx):
 
 @query(
     "label_name",
-    "SELECT id, list_extract(['none', 'red', 'yellow', 'green', 'blue', 'purple'], label + 1) AS label FROM photos",
+    "SELECT id, list_extract(['unlabeled', 'red', 'yellow', 'green', 'blue', 'purple'], label + 1) AS label FROM photos",
 )
 def _(fx):
     return fx.photos.select("id", D.label_name().alias("label"))
@@ -1088,7 +1100,7 @@ def _job_functions():
          CASE WHEN failure IS NULL THEN 'Acme ' || ext END AS camera
        FROM (SELECT id, rel_path LIKE '%CR3' OR rel_path LIKE '%7.%' AS small, regexp_extract(rel_path, '([^.]*)$', 1) AS ext,
                CASE WHEN rel_path LIKE '%4.NEF%' THEN 'header is damaged in ' || rel_path
-                    WHEN rel_path LIKE '%7.NEF%' THEN 'no embedded preview found in any fallback stage' END AS failure
+                    WHEN rel_path LIKE '%7.NEF%' THEN 'no stage returned a preview' END AS failure
              FROM photos WHERE status = 0) p""",
 )
 def _(fx):
@@ -1177,7 +1189,7 @@ def _(fx):
 @query(
     "stream_tally",
     _TALLY.format(
-        "(SELECT p.root, p.status, coalesce(l.label, p.label) AS label FROM live p "
+        "(SELECT p.root, p.status, coalesce(l.label, p.label) AS label FROM photos p "
         "LEFT JOIN labels_now l ON p.id = l.id) x"
     ),
 )
@@ -1187,6 +1199,19 @@ def _(fx):
     return streaming.tally_now(photos, state)
 
 
+@query("stream_sync_two", "SELECT root, rel_path, mtime_ns, size, jpeg_rel_path FROM scan_all")
+def _(fx):
+    """Two streams, each with its own checkpoint, publish into one store."""
+    store = new_path(fx.spark, "index")
+    rows = fx.listing.select("root", "rel_path", "mtime_ns", "size")
+    for name, part in (("low", "root <= '/cards/c2'"), ("high", "root > '/cards/c2'")):
+        arrivals = new_path(fx.spark, name)
+        rows.where(part).repartition(1, "root").write.parquet(arrivals)
+        listings = fx.spark.readStream.schema(rows.schema).parquet(arrivals)
+        _drain(streaming.stream_sync(listings, store, f"{store}-{name}"))
+    return read_index(fx.spark, store).select("root", "rel_path", "mtime_ns", "size", "jpeg_rel_path")
+
+
 @query("stream_sync", "SELECT root, rel_path, mtime_ns, size, jpeg_rel_path FROM scan_all")
 def _(fx):
     arrivals, store = new_path(fx.spark, "arrivals"), new_path(fx.spark, "index")

@@ -87,3 +87,13 @@ def label_mask_labels(mask: int) -> list:
 def label_predicate(mask: int, label: str = "label") -> Column:
     """``label IN (...)``, a form the parquet reader can push down."""
     return F.lit(True) if mask == 0 else F.col(label).isin(*label_mask_labels(mask))
+
+
+def stored_label_predicate(mask: int, label: str = "label") -> Column:
+    """``label_predicate`` before validation, which maps codes outside of 0 to 5 to 0."""
+    if mask == 0:
+        return F.lit(True)
+    given = label_predicate(mask, label)
+    if not mask & 1:
+        return given
+    return given | (F.col(label) < 0) | (F.col(label) > 5) | F.col(label).isNull()

@@ -124,7 +124,7 @@ _PROBED = (
     "root string, ordinal bigint, source string, dest_path string, "
     "ok boolean, reason string, same boolean"
 )
-_COPIED = "root string, ordinal bigint, ok boolean, reason string"
+_COPIED = "root string, ordinal bigint, dest_path string, ok boolean, reason string"
 
 
 def _file_workers():
@@ -161,7 +161,7 @@ def _file_workers():
         for pdf in batches:
             done = [copy_one(s, d) for s, d in zip(pdf["source"], pdf["dest_path"])]
             checks = pd.DataFrame(done, columns=["ok", "reason"], index=pdf.index)
-            yield pd.concat([pdf[["root", "ordinal"]], checks], axis=1)
+            yield pd.concat([pdf[["root", "ordinal", "dest_path"]], checks], axis=1)
 
     return probe, copy
 
@@ -169,16 +169,19 @@ def _file_workers():
 def export_files(plan: DataFrame, dest: str, tasks: int | None = None) -> DataFrame:
     """Copies the planned files into ``dest``; one result row per source.
 
+    ``copies`` counts how often a source was copied in full, once at most.
+
     ``dest`` must be an existing folder that every executor can reach.  A
     failing file never stops the others, and a file that already is its own
     destination counts as copied.  When several sources share a name the last
     readable one remains, as if they were copied one after the other: every
     source is opened in parallel, then only the remaining one of each name is
     copied, so tasks never write one destination twice.  If such a copy fails
-    the next-to-last source takes its place.
+    the next-to-last source takes its place; only names without a finished copy
+    are tried again.
     """
     if not os.path.isdir(dest):
-        raise NotADirectoryError(f"cannot export into `{dest}`")
+        raise NotADirectoryError(f"not a folder to export to: {dest}")
     spark = plan.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     probe, copy = _file_workers()
@@ -186,27 +189,38 @@ def export_files(plan: DataFrame, dest: str, tasks: int | None = None) -> DataFr
     results = stage(
         sources.repartition(tasks, "root", "ordinal").mapInPandas(probe, _PROBED), "probe"
     )
+    done, open_names = None, None
     while True:
-        best = (
-            results.where("ok")
-            .groupBy("dest_path")
-            .agg(F.max(F.struct("root", "ordinal", "source", "same")).alias("_b"))
-            .select("_b.*", "dest_path")
-        )
+        tried = results.where("ok")
+        if open_names is not None:
+            tried = tried.join(open_names, "dest_path", "left_semi")
+        best = tried.groupBy("dest_path").agg(
+            F.max(F.struct("root", "ordinal", "source", "same")).alias("_b")
+        ).select("_b.*", "dest_path")
         copied = stage(
             best.where("not same").repartition(tasks, "dest_path").mapInPandas(copy, _COPIED),
             "copied",
         )
-        failed = copied.where("not ok").select(
-            "root", "ordinal", F.col("reason").alias("_why")
-        )
+        finished = copied.where("ok").select("root", "ordinal")
+        done = finished if done is None else done.unionByName(finished)
+        failed = copied.where("not ok")
         if failed.isEmpty():
             break
+        why = failed.select("root", "ordinal", F.col("reason").alias("_why"))
         results = stage(
-            results.join(failed, ["root", "ordinal"], "left")
+            results.join(why, ["root", "ordinal"], "left")
             .withColumn("ok", F.col("ok") & F.col("_why").isNull())
             .withColumn("reason", F.coalesce("_why", "reason"))
             .drop("_why"),
             "probe",
         )
-    return results.select("root", "ordinal", "source", "ok", "reason")
+        open_names = failed.select("dest_path")
+    times = done.groupBy("root", "ordinal").agg(F.count("*").alias("copies"))
+    return results.join(times, ["root", "ordinal"], "left").select(
+        "root",
+        "ordinal",
+        "source",
+        "ok",
+        "reason",
+        F.coalesce("copies", F.lit(0)).alias("copies"),
+    )

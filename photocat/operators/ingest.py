@@ -11,7 +11,7 @@ from photocat.functions.display import bounded_error
 from photocat.functions.exif import normalize_exif
 from photocat.schema import EXIF_RAW_SCHEMA, INGEST_RESULT_SCHEMA
 
-NO_PREVIEW = "no embedded preview found in any fallback stage"
+NO_PREVIEW = "no stage returned a preview"
 
 _HEADER = EXIF_RAW_SCHEMA.names
 _JOB_SCHEMA = (

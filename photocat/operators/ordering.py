@@ -61,6 +61,11 @@ def rank_rows(
     return _rank_by_range(df, group, order, pos, total, groups, rows)
 
 
+def number_rows(df: DataFrame, order: list, rows: int, pos: str = "pos") -> DataFrame:
+    """Adds the 0-based position of every row in the whole table, without a one-task sort."""
+    return _rank_by_range(df, [], order, pos, None, 1, rows)
+
+
 def _rank_by_range(df, group, order, pos, total, groups, rows) -> DataFrame:
     spark = df.sparkSession
     parts = max(
@@ -91,7 +96,7 @@ def _rank_by_range(df, group, order, pos, total, groups, rows) -> DataFrame:
     if parts + groups <= setting(spark, MAX_BROADCAST_ROWS):
         slices = F.broadcast(slices)
     return (
-        table.join(slices, [*group, "_part"])
+        join_null_safe(table, slices, [*group, "_part"])
         .withColumn(pos, F.col("_base") + F.col("_at") - F.col("_first"))
         .drop("_part", "_at", "_first", "_base")
     )
@@ -128,81 +133,116 @@ def shifted(
     return copied.where(F.col("_block") == block).drop("_block")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list) -> DataFrame:
+    """Inner join in which a null key meets a null key; keys are kept once."""
+    names = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    condition = F.lit(True)
+    for key, name in names.items():
+        condition = condition & F.col(key).eqNullSafe(F.col(name))
+    return left.join(right.withColumnsRenamed(names), condition).drop(*names.values())
+
+
 def _with_block_table(df, group, aggs, carries) -> DataFrame:
     """Joins one row per (group, block), extended by ``carries``, to every row."""
     table = df.groupBy(*group, "_block").agg(*aggs)
     for name, column in carries.items():
         table = table.withColumn(name, column)
-    return df.join(table, [*group, "_block"])
+    return join_null_safe(df, table, [*group, "_block"])
+
+
+def _fits_window(df: DataFrame, group: list) -> bool:
+    """The largest group may be handled by one window."""
+    return group_sizes(df, group)[1] <= setting(df.sparkSession, MAX_WINDOW_ROWS)
+
+
+def _placed(df: DataFrame, group: list, order: str) -> DataFrame:
+    """``df`` with ``_at``, the position of each row in its group by ``order``.
+
+    Blocks are ranges of positions, so sparse order values make no more of them.
+    Written, since the block table and the rows both read it.
+    """
+    ranked = rank_rows(df, group, [F.col(order)], pos="_at")
+    return stage(ranked, "placed").withColumn("_block", block_of(df.sparkSession, "_at"))
 
 
-def following(df: DataFrame, group: list, pos: str, value: Column, out: str, first: str) -> DataFrame:
-    """Adds the next non-null ``value`` after each row and the group's first one."""
-    df = df.withColumn("_block", block_of(df.sparkSession, pos)).withColumn("_value", value)
+def following(df: DataFrame, group: list, order: str, value: Column, out: str, first: str) -> DataFrame:
+    """Adds the next non-null ``value`` after each row and the group's first one.
+
+    ``order`` is unique in a group.
+    """
+    df = df.withColumn("_value", value)
+    whole = W.partitionBy(*group).orderBy(F.col(order).desc())
+    if _fits_window(df, group):
+        past = whole.rowsBetween(W.unboundedPreceding, -1)
+        every = whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        return df.withColumns(
+            {
+                out: F.last("_value", ignorenulls=True).over(past),
+                first: F.last("_value", ignorenulls=True).over(every),
+            }
+        ).drop("_value")
     inside = (
         W.partitionBy(*group, "_block")
-        .orderBy(F.col(pos).desc())
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
-    later = (
-        W.partitionBy(*group)
-        .orderBy(F.col("_block").desc())
+        .orderBy(F.col("_at").desc())
         .rowsBetween(W.unboundedPreceding, -1)
     )
+    blocks = W.partitionBy(*group).orderBy(F.col("_block").desc())
+    later = blocks.rowsBetween(W.unboundedPreceding, -1)
+    every = blocks.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     rows = _with_block_table(
-        df,
+        _placed(df, group, order),
         group,
-        [F.min_by("_value", F.when(F.col("_value").isNotNull(), F.col(pos))).alias("_head")],
+        [F.min_by("_value", F.when(F.col("_value").isNotNull(), F.col("_at"))).alias("_head")],
         {
             "_later": F.last("_head", ignorenulls=True).over(later),
-            first: F.last("_head", ignorenulls=True).over(
-                W.partitionBy(*group)
-                .orderBy(F.col("_block").desc())
-                .rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-            ),
+            first: F.last("_head", ignorenulls=True).over(every),
         },
     )
     return rows.withColumn(
         out, F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_later"))
-    ).drop("_block", "_value", "_head", "_later")
+    ).drop("_at", "_block", "_value", "_head", "_later")
 
 
-def prior_sum(df: DataFrame, group: list, pos: str, value, out: str, total: str) -> DataFrame:
+def prior_sum(df: DataFrame, group: list, order: str, value, out: str, total: str) -> DataFrame:
     """Adds the sum of ``value`` over earlier rows of the group, and over all."""
-    df = df.withColumn("_block", block_of(df.sparkSession, pos))
-    inside = (
-        W.partitionBy(*group, "_block").orderBy(pos).rowsBetween(W.unboundedPreceding, -1)
-    )
+    zero = F.lit(0)
+    if _fits_window(df, group):
+        past = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return df.withColumns(
+            {
+                out: F.coalesce(F.sum(value).over(past), zero),
+                total: F.sum(value).over(W.partitionBy(*group)),
+            }
+        )
+    inside = W.partitionBy(*group, "_block").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     earlier = W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     rows = _with_block_table(
-        df,
+        _placed(df, group, order),
         group,
         [F.sum(value).alias("_sum")],
         {
-            "_before": F.coalesce(F.sum("_sum").over(earlier), F.lit(0)),
+            "_before": F.coalesce(F.sum("_sum").over(earlier), zero),
             total: F.sum("_sum").over(W.partitionBy(*group)),
         },
     )
     return rows.withColumn(
-        out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))
-    ).drop("_block", "_sum", "_before")
+        out, F.col("_before") + F.coalesce(F.sum(value).over(inside), zero)
+    ).drop("_at", "_block", "_sum", "_before")
 
 
 def running_max(df: DataFrame, group: list, order: str, value: str, out: str) -> DataFrame:
-    """Adds the largest ``value`` up to and including each row.
-
-    ``order`` is a unique integer column; blocks are ranges of it, so no
-    ranking is needed first.
-    """
-    df = df.withColumn("_block", block_of(df.sparkSession, order))
-    inside = W.partitionBy(*group, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    """Adds the largest ``value`` up to and including each row; ``order`` is unique in a group."""
+    if _fits_window(df, group):
+        upto = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumn(out, F.max(value).over(upto))
+    inside = W.partitionBy(*group, "_block").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
     earlier = W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     rows = _with_block_table(
-        df,
+        _placed(df, group, order),
         group,
         [F.max(value).alias("_top")],
         {"_before": F.max("_top").over(earlier)},
     )
     return rows.withColumn(
         out, F.greatest(F.max(value).over(inside), F.col("_before"))
-    ).drop("_block", "_top", "_before")
+    ).drop("_at", "_block", "_top", "_before")

@@ -8,17 +8,22 @@ from photocat.functions.paths import file_ext
 from photocat.operators.edits import label_predicate
 from photocat.operators.joins import lookup
 from photocat.operators.ordering import following, running_max
-from photocat.schema import ERROR, LABELS, MISSING
+from photocat.schema import ERROR, LABEL_COUNTS, MISSING
 
 
 def tally(photos: DataFrame) -> DataFrame:
-    """Photos per label, zero-filled, and errors, over all live rows of a root."""
-    counts = [F.count_if(F.col("label") == k).alias(f"n_{name}") for k, name in LABELS.items()]
-    return (
-        photos.where(F.col("status") != MISSING)
-        .groupBy("root")
-        .agg(*counts, F.count_if(F.col("status") == ERROR).alias("n_errors"))
-    )
+    """Photos per label, zero-filled, and errors, over the live rows of every root.
+
+    A root of which only missing rows are left has a row of zeros.
+    """
+    return photos.groupBy("root").agg(*tally_counts())
+
+
+def tally_counts() -> list:
+    """The counts of ``tally`` as aggregates."""
+    live = F.coalesce(F.col("status") != MISSING, F.lit(False))
+    counts = [F.count_if(live & (F.col("label") == k)).alias(n) for k, n in LABEL_COUNTS.items()]
+    return [*counts, F.count_if(F.col("status") == ERROR).alias("n_errors")]
 
 
 def status_counts(photos: DataFrame) -> DataFrame:
@@ -26,16 +31,19 @@ def status_counts(photos: DataFrame) -> DataFrame:
 
 
 def sheet_stats(photos: DataFrame, mask: int, selection: DataFrame) -> DataFrame:
-    """Per root: live rows, rows the filter shows, selected rows (also hidden ones)."""
+    """Per root: live rows, rows the filter shows, selected rows (also hidden ones).
+
+    A root of which only missing rows are left has a row of zeros.
+    """
     hits = selection.select("id").distinct().withColumn("_hit", F.lit(True))
+    live = F.col("status") != MISSING
     return (
-        photos.where(F.col("status") != MISSING)
-        .join(hits, "id", "left")
+        photos.join(hits, "id", "left")
         .groupBy("root")
         .agg(
-            F.count("*").alias("total"),
-            F.count_if(label_predicate(mask)).alias("shown"),
-            F.count_if("_hit").alias("selected"),
+            F.count_if(live).alias("total"),
+            F.count_if(live & label_predicate(mask)).alias("shown"),
+            F.count_if(live & F.col("_hit")).alias("selected"),
         )
     )
 

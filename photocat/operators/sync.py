@@ -1,12 +1,14 @@
 """Scan-versus-index differences and the next index snapshot."""
 
+import weakref
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photocat.functions import paths as P
 from photocat.functions.display import bounded_error
 from photocat.operators.joins import lookup
-from photocat.operators.ordering import rank_rows
+from photocat.operators.ordering import number_rows
 from photocat.operators.scan import PAIR_KEYS
 from photocat.schema import (
     ERROR,
@@ -18,7 +20,7 @@ from photocat.schema import (
     PHOTOS_SCHEMA,
     SCHEMA_VERSION,
 )
-from photocat.session import CO_PARTITION_ALL_KEYS, scoped_setting, stage
+from photocat.session import CO_PARTITION_ALL_KEYS, as_small, scoped_setting, stage
 
 PHOTO_COLUMNS = PHOTOS_SCHEMA.names
 
@@ -52,6 +54,31 @@ def needs_refresh(status, mtime_ns, size, new_mtime_ns, new_size):
     )
 
 
+def one_depth(scanned_roots: DataFrame) -> DataFrame:
+    """Each root once; a root that was scanned both ways is an error."""
+    if scanned_roots in _distinct_roots:
+        return scanned_roots
+    deep = F.min(F.coalesce("recursive", F.lit(False)))
+    both = F.concat(F.lit("scanned with and without subfolders: "), F.coalesce("root", F.lit("")))
+    return scanned_roots.groupBy("root").agg(
+        F.when(deep == F.max(F.coalesce("recursive", F.lit(False))), deep)
+        .otherwise(F.raise_error(F.max(both)))
+        .alias("recursive")
+    )
+
+
+# Frames that ``known_roots`` made; their roots are distinct.
+_distinct_roots: weakref.WeakSet = weakref.WeakSet()
+
+
+def known_roots(scanned_roots: DataFrame) -> DataFrame:
+    """``one_depth``, fetched where that proves small, so later joins need no check."""
+    once = one_depth(scanned_roots)
+    found = as_small(once) or once
+    _distinct_roots.add(found)
+    return found
+
+
 def scan_diff(scan: DataFrame, index: DataFrame, scanned_roots: DataFrame) -> DataFrame:
     """Every scanned or indexed row with what a sync does to it.
 
@@ -79,7 +106,7 @@ def scan_diff(scan: DataFrame, index: DataFrame, scanned_roots: DataFrame) -> Da
             {"_dir": P.parent_dir("rel_path"), "_stem": P.lowered_stem("rel_path")}
         )
         keys = ["root", *PAIR_KEYS, "rel_path"]
-    both = lookup(index.join(seen, keys, "full_outer"), scanned_roots, ["root"])
+    both = lookup(index.join(seen, keys, "full_outer"), one_depth(scanned_roots), ["root"])
     in_scope = F.col("recursive") | P.is_direct_child("rel_path")
     action = (
         F.when(F.col("id").isNull(), "insert")
@@ -101,76 +128,89 @@ def scan_diff(scan: DataFrame, index: DataFrame, scanned_roots: DataFrame) -> Da
 def missing_photos(scan: DataFrame, index: DataFrame, scanned_roots: DataFrame) -> DataFrame:
     """Live index rows inside the scan's depth scope that the scan did not see."""
     return (
-        lookup(index.where(F.col("status") != MISSING), scanned_roots, ["root"], "inner")
+        lookup(index.where(F.col("status") != MISSING), one_depth(scanned_roots), ["root"], "inner")
         .where(F.col("recursive") | P.is_direct_child("rel_path"))
         .drop("recursive")
         .join(scan.select("root", "rel_path"), ["root", "rel_path"], "left_anti")
     )
 
 
-def changed_roots(diff: DataFrame) -> DataFrame:
-    """Roots in which a sync changes at least one row."""
-    same = ("keep", "still_missing", "out_of_scope")
-    return diff.where(~F.col("action").isin(*same)).select("root").distinct()
+CHANGE_COLUMNS = ["id", "root", "rel_path", "new_mtime_ns", "new_size", "new_jpeg_rel_path", "action"]
 
 
-def stage_diff(diff: DataFrame) -> DataFrame:
-    """Writes a diff, planned so that the join reuses the scan's partitioning."""
+def stage_changes(diff: DataFrame) -> DataFrame:
+    """Writes the rows that a sync changes, with the seven columns it needs.
+
+    The join runs on these columns only and reuses the scan's partitioning; an
+    unchanged library leaves an empty table.
+    """
+    same = ("keep", "still_missing", "out_of_scope")
+    changes = diff.where(~F.col("action").isin(*same)).select(*CHANGE_COLUMNS)
     with scoped_setting(diff.sparkSession, CO_PARTITION_ALL_KEYS, "false"):
-        return stage(diff, "diff")
+        return stage(changes, "changes")
 
 
-def apply_sync(diff: DataFrame, staged: bool = False, highest_id: int | None = None) -> DataFrame:
-    """The next snapshot of the index.
+def apply_sync(diff: DataFrame) -> DataFrame:
+    """The next snapshot of the index, from a ``scan_diff`` of all of it.
 
     Reset rows return to pending with cleared ingest columns but keep id, label
     and rotation; reattached rows change only their pairing; missing rows only
-    their status.  New rows get ids above the highest known one, in path order;
-    ``highest_id`` names it when the diff covers only a part of the index.
-
-    The diff is read three times (highest id and count, new rows, other rows), so it is
-    written to the shared folder first unless ``staged`` says it already is.
+    their status.  New rows get ids above the highest known one, in path order.
     """
-    if not staged:
-        diff = stage_diff(diff)
+    index = diff.where("action <> 'insert'").select(*PHOTO_COLUMNS)
+    return apply_changes(index, stage_changes(diff))
 
-    def value(field):
-        name = field.name
-        if name in ("mtime_ns", "size"):
-            text = f"CASE WHEN action = 'reset' THEN new_{name} ELSE {name} END"
-        elif name == "jpeg_rel_path":
-            text = f"CASE WHEN action IN ('reset', 'reattach') THEN new_{name} ELSE {name} END"
-        elif name == "status":
-            text = (
-                f"CASE action WHEN 'reset' THEN {PENDING} WHEN 'mark_missing' THEN {MISSING}"
-                " ELSE status END"
-            )
-        elif name == "orientation":
-            text = f"CASE WHEN action = 'reset' THEN {PHOTO_DEFAULTS[name]} ELSE {name} END"
-        elif name in (*INGEST_COLUMNS, "err_msg", "ingested_at"):
-            text = f"CASE WHEN action <> 'reset' THEN {name} END"
-        else:
-            text = name
-        return f"CAST({text} AS {field.dataType.simpleString()}) AS {name}"
 
-    kept = diff.where("action <> 'insert'").selectExpr(*[value(f) for f in PHOTOS_SCHEMA])
-    top, new = diff.selectExpr(
-        "coalesce(max(id), 0L)", "count_if(action = 'insert')"
+def apply_changes(index: DataFrame, changes: DataFrame, highest_id: int | None = None) -> DataFrame:
+    """``index`` with staged ``changes``; see ``apply_sync``.
+
+    ``highest_id`` names the highest known id when ``index`` is a part only.
+    """
+    updates, new = changes.selectExpr(
+        "count_if(action <> 'insert')", "count_if(action = 'insert')"
     ).head()
-    top = max(top, highest_id or 0)
-    fresh = diff.where("action = 'insert'").selectExpr(
+    kept = index.select(*PHOTO_COLUMNS)
+    if updates:
+        changed = changes.where("action <> 'insert'").drop("root", "rel_path")
+        kept = lookup(kept, changed, ["id"]).selectExpr(*[_next_value(f) for f in PHOTOS_SCHEMA])
+    if not new:
+        return kept
+    top = highest_id
+    if top is None:
+        top = index.agg(F.max("id")).head()[0]
+    fresh = changes.where("action = 'insert'").selectExpr(
         "root",
         "rel_path",
         "new_mtime_ns AS mtime_ns",
         "new_size AS size",
         "new_jpeg_rel_path AS jpeg_rel_path",
     )
-    order = [F.col("root"), P.path_key("rel_path")]
-    fresh = rank_rows(fresh, [], order, sizes=(1, new, new))
-    fresh = fresh.withColumn("id", F.expr(f"pos + {top}L + 1L")).drop("pos")
+    fresh = number_rows(fresh, [F.col("root"), P.path_key("rel_path")], new)
+    fresh = fresh.withColumn("id", F.expr(f"pos + {top or 0}L + 1L")).drop("pos")
     return kept.unionByName(upgrade_index(fresh, SCHEMA_VERSION))
 
 
+def _next_value(field) -> str:
+    """SQL of a stored column after the row's ``action``; null means no change."""
+    name = field.name
+    if name in ("mtime_ns", "size"):
+        text = f"CASE WHEN action = 'reset' THEN new_{name} ELSE {name} END"
+    elif name == "jpeg_rel_path":
+        text = f"CASE WHEN action IN ('reset', 'reattach') THEN new_{name} ELSE {name} END"
+    elif name == "status":
+        text = (
+            f"CASE action WHEN 'reset' THEN {PENDING} WHEN 'mark_missing' THEN {MISSING}"
+            " ELSE status END"
+        )
+    elif name == "orientation":
+        text = f"CASE WHEN action = 'reset' THEN {PHOTO_DEFAULTS[name]} ELSE {name} END"
+    elif name in (*INGEST_COLUMNS, "err_msg", "ingested_at"):
+        text = f"CASE WHEN action = 'reset' THEN NULL ELSE {name} END"
+    else:
+        text = name
+    return f"CAST({text} AS {field.dataType.simpleString()}) AS {name}"
+
+
 def record_ingest(photos: DataFrame, results: DataFrame, order: str = "ingested_at") -> DataFrame:
     """Merges ingest results; rows without a result and unknown ids change nothing.
 

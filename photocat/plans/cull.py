@@ -1,10 +1,16 @@
 """Culling: fold edits into the index, then filter, sort and export."""
 
 from pyspark.sql import DataFrame
-
-from photocat.operators.edits import apply_labels, current_labels, current_rotation
+from pyspark.sql import functions as F
+
+from photocat.operators.edits import (
+    apply_labels,
+    current_labels,
+    current_rotation,
+    stored_label_predicate,
+)
 from photocat.operators.export import export_plan, export_scope, export_set
-from photocat.operators.views import entries, ordered_view, with_taken_at
+from photocat.operators.views import ENTRY_COLUMNS, ordered_view, validate_rows
 from photocat.schema import MISSING
 
 
@@ -18,10 +24,9 @@ def edited_photos(
 
 def culled_view(photos: DataFrame, mask: int = 0, sort: str = "filename") -> DataFrame:
     """Live rows of every root, filtered and in display order."""
-    live = photos.where(photos["status"] != MISSING)
-    rows = entries(live)
-    if sort == "taken_at":
-        rows = with_taken_at(rows, live)
+    # On stored columns, so that status and label filters reach the scan.
+    live = photos.where((F.col("status") != MISSING) & stored_label_predicate(mask))
+    rows = validate_rows(live.select(*ENTRY_COLUMNS, *(["taken_at"] if sort == "taken_at" else [])))
     return ordered_view(rows, mask, sort)
 
 

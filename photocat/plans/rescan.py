@@ -6,18 +6,18 @@ from pyspark.sql import functions as F
 from photocat.functions.paths import RAW_EXTENSIONS
 from photocat.operators.ingest import ingest_job
 from photocat.operators.scan import scan
-from photocat.operators.stats import tally
+from photocat.operators.stats import tally_counts
 from photocat.operators.sync import (
-    apply_sync,
-    changed_roots,
+    apply_changes,
+    known_roots,
     record_ingest,
     scan_diff,
-    stage_diff,
+    stage_changes,
 )
 from photocat.operators.views import for_root, pending_queue
-from photocat.schema import PENDING
-from photocat.session import as_small, stage
-from photocat.sources.index_store import read_index, write_index
+from photocat.schema import LABEL_COUNTS, PENDING
+from photocat.session import stage
+from photocat.sources.index_store import highest_id, read_index, write_index
 
 
 def sync_roots(
@@ -27,9 +27,9 @@ def sync_roots(
     raw_exts=RAW_EXTENSIONS,
 ) -> DataFrame:
     """Scans the given roots and returns the next index snapshot."""
-    scanned_roots = as_small(scanned_roots) or scanned_roots
+    scanned_roots = known_roots(scanned_roots)
     found = scan(listing, raw_exts=raw_exts, roots=scanned_roots, keep_keys=True)
-    return apply_sync(scan_diff(found, index, scanned_roots))
+    return apply_changes(index, stage_changes(scan_diff(found, index, scanned_roots)))
 
 
 def sync_store(
@@ -38,6 +38,7 @@ def sync_store(
     scanned_roots: DataFrame,
     raw_exts=RAW_EXTENSIONS,
     batch_id: int | None = None,
+    stream: str = "",
 ) -> int:
     """Syncs the scanned roots of a stored index and publishes the new version.
 
@@ -45,14 +46,12 @@ def sync_store(
     however large the rest of the index is.
     """
     spark = listing.sparkSession
-    scanned_roots = as_small(scanned_roots) or scanned_roots
-    index = read_index(spark, store)
-    highest = index.agg(F.max("id")).head()[0]
-    mine = for_root(index, scanned_roots)
+    scanned_roots = known_roots(scanned_roots)
+    mine = for_root(read_index(spark, store), scanned_roots)
     found = scan(listing, raw_exts=raw_exts, roots=scanned_roots, keep_keys=True)
-    diff = stage_diff(scan_diff(found, mine, scanned_roots))
-    photos = apply_sync(diff, staged=True, highest_id=highest)
-    return write_index(photos, store, batch_id, changed_roots(diff))
+    changes = stage_changes(scan_diff(found, mine, scanned_roots))
+    photos = apply_changes(mine, changes, highest_id(spark, store))
+    return write_index(photos, store, batch_id, changes.select("root").distinct(), stream)
 
 
 def rescan_summary(
@@ -61,12 +60,18 @@ def rescan_summary(
     scanned_roots: DataFrame,
     raw_exts=RAW_EXTENSIONS,
 ) -> DataFrame:
-    """Per root after a rescan: photos per label, errors, and how many to ingest."""
+    """Per root after a rescan: photos per label, errors, and how many to ingest.
+
+    A scanned root without any photo has a row of zeros.
+    """
+    scanned_roots = known_roots(scanned_roots)
     photos = sync_roots(listing, index, scanned_roots, raw_exts)
-    pending = photos.groupBy("root").agg(
-        F.count_if(F.col("status") == PENDING).alias("n_pending")
-    )
-    return tally(photos).join(pending, "root")
+    pending = F.count_if(F.col("status") == PENDING).alias("n_pending")
+    counts = photos.groupBy("root").agg(*tally_counts(), pending)
+    names = [*LABEL_COUNTS.values(), "n_errors", "n_pending"]
+    zero = [F.lit(0).cast("bigint").alias(n) for n in names]
+    unseen = scanned_roots.join(counts.select("root"), "root", "left_anti").select("root", *zero)
+    return counts.unionByName(unseen)
 
 
 def ingest_pending(photos: DataFrame, read_header, stages: list) -> DataFrame:

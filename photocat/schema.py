@@ -5,7 +5,8 @@ from pyspark.sql import types as T
 SCHEMA_VERSION = 3
 
 # Label and status codes as they are stored.
-LABELS = {0: "none", 1: "red", 2: "yellow", 3: "green", 4: "blue", 5: "purple"}
+LABELS = {0: "unlabeled", 1: "red", 2: "yellow", 3: "green", 4: "blue", 5: "purple"}
+LABEL_COUNTS = {code: f"n_{name}" for code, name in LABELS.items()} | {0: "n_none"}
 STATUSES = {0: "pending", 1: "ok", 2: "error", 3: "missing"}
 PENDING, OK, ERROR, MISSING = 0, 1, 2, 3
 

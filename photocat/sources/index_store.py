@@ -1,11 +1,17 @@
 """Versioned index snapshots on any file system Spark can write.
 
-``photos/version=N/root=R`` holds the rows of root R as version N wrote them;
-``versions/version=N`` names, for every root of snapshot N, the version that
+``photos/data=D/root=R`` holds rows of root R as one publication D wrote them;
+``versions/version=N`` names, for every root of snapshot N, the publication that
 holds it.  A sync of one card therefore writes that card only, and the other
 roots stay where they are.
+
+A publication has a folder of its own, so two writers never write into each other's
+data; the manifest of a version is written once, and the second writer of the same
+version fails.
 """
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +21,12 @@ from photocat.operators.sync import upgrade_index
 from photocat.schema import PHOTOS_SCHEMA, SCHEMA_VERSION
 from photocat.session import as_small
 
-_MANIFEST = "schema_version int, batch_id bigint, root string, held_by bigint, version bigint"
+_MANIFEST = (
+    "schema_version int, stream string, batch_id bigint, highest_id bigint, "
+    "root string, data string, version bigint"
+)
+# More folders than this are pruned by a join instead of a list of names.
+MAX_LISTED_FOLDERS = 1000
 
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -32,12 +43,21 @@ def _manifests(spark: SparkSession, store: str) -> DataFrame:
     return _read(spark, f"{store}/versions", _MANIFEST)
 
 
-def versions(spark: SparkSession, store: str) -> list:
-    """Published versions, oldest first, as (version, schema_version, batch_id)."""
-    found = _manifests(spark, store).groupBy("version").agg(
-        F.max("schema_version"), F.max("batch_id")
-    )
-    return [tuple(r) for r in found.orderBy("version").collect()]
+def _newest(spark: SparkSession, store: str) -> int:
+    """The newest published version, 0 before the first."""
+    return _manifests(spark, store).agg(F.coalesce(F.max("version"), F.lit(0))).head()[0]
+
+
+def _published_row(spark, store, version):
+    """What a version says about itself: its manifest row without a root."""
+    rows = _manifests(spark, store).where((F.col("version") == version) & F.col("root").isNull())
+    return rows.head()
+
+
+def highest_id(spark: SparkSession, store: str) -> int:
+    """The highest id that any published snapshot knew, without reading a snapshot."""
+    version = _newest(spark, store)
+    return (_published_row(spark, store, version).highest_id or 0) if version else 0
 
 
 def write_index(
@@ -45,6 +65,7 @@ def write_index(
     store: str,
     batch_id: int | None = None,
     changed_roots: DataFrame | None = None,
+    stream: str = "",
 ) -> int:
     """Publishes a snapshot and returns its version.
 
@@ -52,17 +73,21 @@ def write_index(
     root keeps the rows of the version before; ``photos`` may then leave the
     others out.  The manifest is written last and in one commit, so readers see
     the old or the new snapshot and nothing between.  With ``batch_id`` a
-    repeated batch publishes nothing and returns the version it already has.
+    repeated batch of the same ``stream`` publishes nothing and returns the version it
+    already has.  Rows without a root are refused.  If another writer publishes
+    the same version first, this one fails and can be repeated.
     """
     spark = photos.sparkSession
-    known = versions(spark, store)
-    for version, _, done in known:
-        if batch_id is not None and done == batch_id:
-            return version
-    version = known[-1][0] + 1 if known else 1
+    if batch_id is not None:
+        mine = (F.col("batch_id") == batch_id) & (F.col("stream") == stream)
+        done = _manifests(spark, store).where(mine).agg(F.max("version")).head()[0]
+        if done is not None:
+            return done
+    before = _newest(spark, store)
+    version = before + 1
     rows = photos.select(*PHOTOS_SCHEMA.names)
-    kept = _manifests(spark, store).where(F.col("version") == version - 1)
-    kept = kept.where(F.col("root").isNotNull()).select("root", "held_by")
+    kept = _manifests(spark, store).where((F.col("version") == before) & F.col("root").isNotNull())
+    kept = kept.select("root", "data")
     if changed_roots is None:
         kept = kept.limit(0)
     else:
@@ -72,39 +97,53 @@ def write_index(
         kept = kept.join(changed, "root", "left_anti")
     # The rebalance hint lets Spark split a huge root over many writers and
     # merge small roots into few, by the sizes it sees at run time.
-    data = f"{store}/photos/version={version}"
-    rows.hint("rebalance", "root").write.mode("overwrite").partitionBy("root").parquet(data)
-    written = _read(spark, data, PHOTOS_SCHEMA).select("root").distinct()
-    held = kept.unionByName(written.withColumn("held_by", F.lit(version).cast("bigint")))
+    data = uuid.uuid4().hex
+    folder = f"{store}/photos/data={data}"
+    rooted = F.when(F.col("root").isNull(), F.raise_error(F.lit("a photo without a root")))
+    rows = rows.withColumn("root", rooted.otherwise(F.col("root")))
+    rows.hint("rebalance", "root").write.partitionBy("root").parquet(folder)
+    written = _read(spark, folder, PHOTOS_SCHEMA)
+    held = kept.unionByName(written.select("root").distinct().withColumn("data", F.lit(data)))
+    # Ids of roots that were not written are covered by the version before.
+    top = written.agg(F.coalesce(F.max("id"), F.lit(0))).head()[0]
+    if before:
+        top = max(top, _published_row(spark, store, before).highest_id or 0)
     # A row without a root publishes the version itself, also when it is empty.
-    marker = spark.createDataFrame([(None, version)], "root string, held_by bigint")
+    marker = spark.createDataFrame([(None, None)], "root string, data string")
     held.unionByName(marker).select(
         F.lit(SCHEMA_VERSION).alias("schema_version"),
+        F.lit(stream).alias("stream"),
         F.lit(batch_id).cast("bigint").alias("batch_id"),
+        F.lit(top).cast("bigint").alias("highest_id"),
         "root",
-        "held_by",
-    ).coalesce(1).write.mode("overwrite").parquet(f"{store}/versions/version={version}")
+        "data",
+    ).write.mode("error").parquet(f"{store}/versions/version={version}")
     return version
 
 
 def read_index(spark: SparkSession, store: str, version: int | None = None) -> DataFrame:
     """The current snapshot, or an older version; empty before the first one."""
-    known = versions(spark, store)
-    if not known:
+    number = _newest(spark, store) if version is None else version
+    about = _published_row(spark, store, number)
+    if about is None:
+        if version is not None:
+            raise ValueError(f"no version {version} in {store}")
         return spark.createDataFrame([], PHOTOS_SCHEMA)
-    chosen = [v for v in known if version is None or v[0] == version]
-    if not chosen:
-        raise ValueError(f"no version {version} in {store}")
-    number, schema_version, _ = chosen[-1]
-    layout = T.StructType([*PHOTOS_SCHEMA, T.StructField("version", T.LongType())])
+    layout = T.StructType([*PHOTOS_SCHEMA, T.StructField("data", T.StringType())])
     rows = _read(spark, f"{store}/photos", layout)
     held = _manifests(spark, store).where((F.col("version") == number) & F.col("root").isNotNull())
-    held = held.select("root", F.col("held_by").alias("version"))
-    small = as_small(held)
-    if small is None:
-        rows = rows.join(held, ["root", "version"], "left_semi")
+    held = held.select("root", "data")
+    # Over partition columns only, so folders are pruned before any task runs:
+    # few by name, many by the filter that the join derives at run time.
+    few = held.limit(MAX_LISTED_FOLDERS + 1).collect()
+    if len(few) <= MAX_LISTED_FOLDERS:
+        rows = rows.where(F.concat_ws("/", "data", "root").isin([f"{r.data}/{r.root}" for r in few]))
     else:
-        # Over partition columns only, so folders are pruned before any task runs.
-        names = [f"{r.version}/{r.root}" for r in small.collect()]
-        rows = rows.where(F.concat_ws("/", "version", "root").isin(names))
-    return upgrade_index(rows, schema_version)
+        rows = rows.join(held, ["root", "data"], "left_semi")
+    return upgrade_index(rows, about.schema_version)
+
+
+def versions(spark: SparkSession, store: str) -> DataFrame:
+    """One row per published version: version, schema_version, stream, batch_id."""
+    about = _manifests(spark, store).where(F.col("root").isNull())
+    return about.select("version", "schema_version", "stream", "batch_id")

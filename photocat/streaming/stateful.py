@@ -13,7 +13,7 @@ from photocat.functions.paths import RAW_EXTENSIONS
 from photocat.operators.edits import latest_by_key
 from photocat.operators.stats import fresh_events
 from photocat.plans.rescan import sync_store
-from photocat.schema import ERROR, LABELS, MISSING
+from photocat.schema import ERROR, LABEL_COUNTS, MISSING
 from photocat.streaming.folds import STARTED
 
 _STARTS = "job string, generation bigint, started_event_id bigint"
@@ -120,7 +120,6 @@ def stream_tally(label_events: DataFrame, photos: DataFrame, state_dir: str):
 def tally_now(photos: DataFrame, state_dir: str) -> DataFrame:
     """Counts per label and errors per root: stored labels plus streamed changes."""
     spark = photos.sparkSession
-    live = photos.where(F.col("status") != MISSING)
     one = F.lit(1).cast("bigint")
     changes = _read(spark, f"{state_dir}/changes", _CHANGES)
     moves = F.array(
@@ -128,12 +127,16 @@ def tally_now(photos: DataFrame, state_dir: str) -> DataFrame:
         F.struct(F.col("label").alias("label"), one.alias("n")),
     )
     moved = changes.select("root", F.inline(moves)).withColumn("errors", one * 0)
-    stored = live.select(
-        "root", "label", one.alias("n"), (F.col("status") == ERROR).cast("bigint").alias("errors")
+    # Missing rows count nothing but keep their root in the result.
+    stored = photos.select(
+        "root",
+        "label",
+        (F.col("status") != MISSING).cast("bigint").alias("n"),
+        (F.col("status") == ERROR).cast("bigint").alias("errors"),
     )
     counts = [
-        F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n_{name}")
-        for k, name in LABELS.items()
+        F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(name)
+        for k, name in LABEL_COUNTS.items()
     ]
     return (
         stored.unionByName(moved).groupBy("root").agg(*counts, F.sum("errors").alias("n_errors"))
@@ -146,9 +149,13 @@ def stream_sync(
     checkpoint: str,
     recursive: bool = True,
     raw_exts=RAW_EXTENSIONS,
+    stream: str | None = None,
 ):
     """Syncs every arriving listing snapshot into an index store; returns a writer.
 
+    ``stream`` names the stream in the store and must change with the checkpoint, whose
+    batch numbers it qualifies; by default it is the checkpoint's path.
+
     A micro-batch must hold the whole listing of each root it mentions, for
     example one file per snapshot with ``maxFilesPerTrigger=1``.  A row with a
     null path says that its root was scanned, which is how an empty root
@@ -158,6 +165,6 @@ def stream_sync(
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         scanned = batch.select("root").distinct().withColumn("recursive", F.lit(recursive))
         files = batch.where(F.col("rel_path").isNotNull())
-        sync_store(files, store, scanned, raw_exts, batch_id)
+        sync_store(files, store, scanned, raw_exts, batch_id, stream or checkpoint)
 
     return listings.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)

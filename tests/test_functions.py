@@ -215,7 +215,7 @@ def test_turns_wrap(spark):
 
 def test_code_names(spark):
     got = values(spark, [(0, 0), (5, 3)], "label int, status int", a=D.label_name(), b=D.status_name())
-    assert got == [("none", "pending"), ("purple", "missing")]
+    assert got == [("unlabeled", "pending"), ("purple", "missing")]
 
 
 def test_error_text_is_bounded_in_characters(spark):

@@ -96,7 +96,11 @@ def test_index_store_writes_changed_roots_only(spark, tmp_path):
     )
     roots = spark.createDataFrame([("/r", True), ("/s", True)], "root string, recursive boolean")
     assert sync_store(files, store, roots) == 2
-    assert sorted(p.name for p in (tmp_path / "store" / "photos" / "version=2").iterdir() if p.is_dir()) == ["root=%2Fs"]
+    assert sorted(
+        sorted(p.name for p in data.iterdir() if p.is_dir())
+        for data in (tmp_path / "store" / "photos").iterdir()
+        if data.is_dir()
+    ).count(["root=%2Fs"]) == 1
     now = index_store.read_index(spark, store)
     assert rows(now, "id", "root", "rel_path") == [(1, "/r", "a.nef"), (2, "/s", "b.nef"), (3, "/t", "c.nef"), (4, "/s", "new.nef")]
     assert sync_store(files, store, roots) == 3
