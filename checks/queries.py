@@ -1,6 +1,7 @@
 """Every registered query with the SQL that must give the same rows."""
 
 import os
+from contextlib import ExitStack
 
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from photocat.operators.ordering import rank_rows
 from photocat.plans.cull import culled_view, edited_photos, planned_export
 from photocat.plans.rescan import rescan_summary, sync_roots
 from photocat.schema import PHOTOS_SCHEMA
-from photocat.session import new_path, stage
+from photocat.session import new_path, scoped_setting, stage
 from photocat.sources import events as event_sources
 from photocat.sources.index_store import read_index, write_index
 from photocat.sources.listing import asset_listing, photo_listing
@@ -765,6 +766,83 @@ def _(fx):
     return stats.progress_monotonic(fx.progress_ticks)
 
 
+# --- null groups and sparse ids, in both size regimes ------------------------
+
+# Limits under which every group is larger than a window may be.
+_RANGED = {"photocat.maxWindowRows": 1, "photocat.blockRows": 16, "photocat.rangeRows": 400}
+
+
+def both_regimes(name, sql):
+    """Registers the query as it is, and once more as for groups too large for a window."""
+
+    def register(fn):
+        def ranged(fx):
+            with ExitStack() as settings:
+                for key, value in _RANGED.items():
+                    settings.enter_context(scoped_setting(fx.spark, key, str(value)))
+                return fn(fx)
+
+        query(name, sql)(fn)
+        query(f"{name}_ranged", sql)(ranged)
+        return fn
+
+    return register
+
+
+@both_regimes(
+    "progress_sparse_null_job",
+    """SELECT CASE WHEN event_id % 3 <> 0 THEN job END AS job, event_id * 1000003 AS event_id, done,
+         max(done) OVER (PARTITION BY CASE WHEN event_id % 3 <> 0 THEN job END ORDER BY event_id
+           ROWS UNBOUNDED PRECEDING) AS shown FROM progress_ticks""",
+)
+def _(fx):
+    ticks = fx.progress_ticks.withColumns(
+        {"job": F.when(F.col("event_id") % 3 != 0, F.col("job")), "event_id": F.col("event_id") * 1000003}
+    )
+    return stats.progress_monotonic(ticks)
+
+
+@both_regimes(
+    "ordered_view_null_root",
+    """SELECT CASE WHEN root <> '/cards/c3' THEN root END AS root, id, pos FROM view_name""",
+)
+def _(fx):
+    rows = fx.photos.where("status <> 3").withColumn(
+        "root", F.when(F.col("root") != "/cards/c3", F.col("root"))
+    )
+    return views.ordered_view(rows, LABELED).select("root", "id", "pos")
+
+
+@both_regimes(
+    "lru_evict_null_tier",
+    _EVICT.format(part="PARTITION BY CASE kind WHEN 'thumb' THEN kind END").replace(
+        "SELECT id, kind, bytes", "SELECT id, CASE kind WHEN 'thumb' THEN kind END AS tier, bytes"
+    ),
+)
+def _(fx):
+    slots = fx.cache_files.select("id", "kind", "bytes", "last_used").withColumn(
+        "tier", F.when(F.col("kind") == "thumb", F.col("kind"))
+    )
+    return assets.lru_evict(slots, 1_000_000, ["tier"]).select("id", "tier", "bytes")
+
+
+@both_regimes(
+    "batch_accounting_sparse",
+    """SELECT b.job, b.generation, b.enqueued,
+         count(*) FILTER (WHERE j.fresh AND j.kind = 'Ingested') AS ingested,
+         count(*) FILTER (WHERE j.fresh AND j.kind = 'Failed') AS failed,
+         count(*) FILTER (WHERE NOT j.fresh) AS dropped,
+         count(j.event_id) = b.enqueued AS finished
+       FROM ingest_batches b LEFT JOIN judged j ON b.job = j.job AND b.generation = j.generation
+       GROUP BY b.job, b.generation, b.enqueued""",
+)
+def _(fx):
+    sparse = lambda name: (F.col(name) * 1000003).alias(name)
+    events = fx.ingest_events.withColumn("event_id", sparse("event_id"))
+    batches = fx.ingest_batches.withColumn("started_event_id", sparse("started_event_id"))
+    return stats.batch_accounting(events, batches)
+
+
 # --- sorts -------------------------------------------------------------------
 
 

@@ -156,13 +156,13 @@ def _fits_window(df: DataFrame, group: list) -> bool:
 
 
 def _placed(df: DataFrame, group: list, order: str) -> DataFrame:
-    """``df`` with ``_at``, the position of each row in its group by ``order``.
+    """``df`` with ``_place``, the position of each row in its group by ``order``.
 
     Blocks are ranges of positions, so sparse order values make no more of them.
     Written, since the block table and the rows both read it.
     """
-    ranked = rank_rows(df, group, [F.col(order)], pos="_at")
-    return stage(ranked, "placed").withColumn("_block", block_of(df.sparkSession, "_at"))
+    ranked = rank_rows(df, group, [F.col(order)], pos="_place")
+    return stage(ranked, "placed").withColumn("_block", block_of(df.sparkSession, "_place"))
 
 
 def following(df: DataFrame, group: list, order: str, value: Column, out: str, first: str) -> DataFrame:
@@ -183,7 +183,7 @@ def following(df: DataFrame, group: list, order: str, value: Column, out: str, f
         ).drop("_value")
     inside = (
         W.partitionBy(*group, "_block")
-        .orderBy(F.col("_at").desc())
+        .orderBy(F.col("_place").desc())
         .rowsBetween(W.unboundedPreceding, -1)
     )
     blocks = W.partitionBy(*group).orderBy(F.col("_block").desc())
@@ -192,7 +192,7 @@ def following(df: DataFrame, group: list, order: str, value: Column, out: str, f
     rows = _with_block_table(
         _placed(df, group, order),
         group,
-        [F.min_by("_value", F.when(F.col("_value").isNotNull(), F.col("_at"))).alias("_head")],
+        [F.min_by("_value", F.when(F.col("_value").isNotNull(), F.col("_place"))).alias("_head")],
         {
             "_later": F.last("_head", ignorenulls=True).over(later),
             first: F.last("_head", ignorenulls=True).over(every),
@@ -200,7 +200,7 @@ def following(df: DataFrame, group: list, order: str, value: Column, out: str, f
     )
     return rows.withColumn(
         out, F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_later"))
-    ).drop("_at", "_block", "_value", "_head", "_later")
+    ).drop("_place", "_block", "_value", "_head", "_later")
 
 
 def prior_sum(df: DataFrame, group: list, order: str, value, out: str, total: str) -> DataFrame:
@@ -214,7 +214,7 @@ def prior_sum(df: DataFrame, group: list, order: str, value, out: str, total: st
                 total: F.sum(value).over(W.partitionBy(*group)),
             }
         )
-    inside = W.partitionBy(*group, "_block").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*group, "_block").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
     earlier = W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     rows = _with_block_table(
         _placed(df, group, order),
@@ -227,7 +227,7 @@ def prior_sum(df: DataFrame, group: list, order: str, value, out: str, total: st
     )
     return rows.withColumn(
         out, F.col("_before") + F.coalesce(F.sum(value).over(inside), zero)
-    ).drop("_at", "_block", "_sum", "_before")
+    ).drop("_place", "_block", "_sum", "_before")
 
 
 def running_max(df: DataFrame, group: list, order: str, value: str, out: str) -> DataFrame:
@@ -235,7 +235,7 @@ def running_max(df: DataFrame, group: list, order: str, value: str, out: str) ->
     if _fits_window(df, group):
         upto = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(out, F.max(value).over(upto))
-    inside = W.partitionBy(*group, "_block").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*group, "_block").orderBy("_place").rowsBetween(W.unboundedPreceding, 0)
     earlier = W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     rows = _with_block_table(
         _placed(df, group, order),
@@ -245,4 +245,4 @@ def running_max(df: DataFrame, group: list, order: str, value: str, out: str) ->
     )
     return rows.withColumn(
         out, F.greatest(F.max(value).over(inside), F.col("_before"))
-    ).drop("_at", "_block", "_top", "_before")
+    ).drop("_place", "_block", "_top", "_before")

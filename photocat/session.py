@@ -81,12 +81,15 @@ CO_PARTITION_ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 @contextmanager
 def scoped_setting(spark: SparkSession, key: str, value: str):
     """Plans and runs what is inside with one session setting changed."""
-    before = spark.conf.get(key)
+    before = spark.conf.get(key, None)
     spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
