@@ -7,9 +7,10 @@ in the order of the sum of the two squared distances (multi-sequence traversal:
 a heap over the two sorted lists of code words) until the target recall is met;
 what they hold is verified by cosine in double precision.
 
-How far a traversal goes is learnt on a bounded sample: vectors at the threshold
-distance are made from sampled ones by a random turn, and the radius is the
-quantile of their distance in the grid that gives the target recall.  A traversal
+How far a traversal goes is learnt on a bounded sample: from vectors at the threshold
+distance, made by turning sampled ones at random, and from linked vectors within the
+sample.  The radius is the quantile of their distances in the grid that gives the
+target recall for both.  A traversal
 ends at the first cell beyond that radius, so its length follows the data, and no
 cell is cut off by a count.
 
@@ -38,6 +39,8 @@ from photocat.llm.common import Scratch, components
 # Vectors that the codebooks and the radius are fitted on, at most.
 SAMPLE_ROWS = 20_000
 TARGET_RECALL = 0.999
+# Sampled vectors whose links within the sample are looked up.
+FIT_QUERIES = 2_000
 # Code words of one half, at most; the grid has the square of that.
 MAX_WORDS = 256
 # Vectors of one cell that one block holds.
@@ -55,10 +58,24 @@ class Grid:
         self.books = [_codebook(h, words, rng) for h in self.halves(sample)]
         self.words = words
         turned = _turned(sample, cosine, rng)
-        away = self.distances(sample)
-        own = [d.argmin(1) for d in self.distances(turned)]
+        away, own = self._away(sample), self.own_words(turned)
         at = np.arange(len(sample))
-        self.radius = float(np.quantile(sum(d[at, w] - d.min(1) for d, w in zip(away, own)), recall))
+        needed = [away[0][at, own[0]] + away[1][at, own[1]]]
+        # Linked vectors of the sample itself: dense groups lie closer than the threshold.
+        own = self.own_words(sample)
+        for start in range(0, min(len(sample), FIT_QUERIES), 100):
+            some = slice(start, start + 100)
+            ask, hold = np.nonzero(sample[some] @ sample.T >= cosine)
+            needed.append(away[0][some][ask, own[0][hold]] + away[1][some][ask, own[1][hold]])
+        self.radius = max(float(np.quantile(needed[0], recall)), float(np.quantile(np.concatenate(needed[1:]), recall)))
+        self.radius += 1e-9  # for rounding
+
+    def _away(self, x: np.ndarray) -> list:
+        """Squared distances to the words beyond that of the nearest word."""
+        return [d - d.min(1)[:, None] for d in self.distances(x)]
+
+    def own_words(self, x: np.ndarray) -> list:
+        return [d.argmin(1) for d in self.distances(x)]
 
     def halves(self, x: np.ndarray) -> tuple:
         return x[:, : self.half], x[:, self.half :]

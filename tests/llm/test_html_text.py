@@ -27,26 +27,25 @@ TEXT = "The quick answer to all of this is that the people of the town were not
         (f"<p>{TEXT}<p>{TEXT}", f"{TEXT}\n{TEXT}"),
         ("<div hidden>secret of the page</div><p>shown to the people</p>", "shown to the people"),
         (f"<p>{TEXT} 1 < 2 & 3 > 2</p>", f"{TEXT} 1 < 2 & 3 > 2"),
-        ("<!-- <p>no</p> --><p title='a>b'>the rest of it</p><b", "the rest of it\n<b"),
+        ("<!-- <p>no</p> --><p title='a>b'>the rest of it</p><b", "the rest of it"),
         ("<script>never closed <p>of the text</p>", ""),
         (f"<ARTICLE><P>{TEXT}</P></ARTICLE>", TEXT),
     ],
 )
 def test_pages(page, text):
-    got = main_text(page)
-    assert got == text or page.endswith("<b") and got.replace("\n<b", "<b") == text.replace("\n<b", "<b")
+    assert main_text(page) == text
 
 
 def test_link_density_and_neighbours():
     links = "<p>" + "".join(f"<a href=/{i}>of the {i}</a> " for i in range(30)) + "</p>"
-    page = f"<p>{TEXT}</p><p>Ab</p>{links}<p>{TEXT}</p>"
+    page = f"<p>{TEXT}</p><p>Ab</p><p>Cd</p>{links}<p>{TEXT}</p>"
     assert main_text(page) == f"{TEXT}\nAb\n{TEXT}"
 
 
 def test_long_page_is_linear():
     page = "<div>" + "<p>the one of them and <b>more</b>" * 50_000
     assert len(blocks_of(page)) == 50_000
-    assert main_text("<" * 20_000) == "<" * 20_000
+    assert main_text("<" * 20_000) == ""
 
 
 def test_rows(spark):
