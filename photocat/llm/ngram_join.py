@@ -5,23 +5,24 @@ sizes a <= b reach the threshold exactly when they share o(a, b) shingles, so ea
 emits its subsets of that size under the key (a, b, subset), and meeting in a key
 *is* the link; nothing is verified.
 
-Heavy sets scan inverted lists.  Lists of single shingles would hold every text
-with a common passage, so a list here belongs to a *part*: a set is split by
-hash into K parts, and where two linked sets differ in at most d shingles, at
-least K - d parts agree in full.  So each set may leave out its K - d - 1 fullest
-lists, which are those of common passages, and linked sets still meet in one.
-What the other lists suggest is verified on the full sets.
+Heavy sets scan inverted lists, in two steps.  Lists of the shingles of all sets would
+move every shingle of the corpus, so first only sets that may have a partner are found:
+a set is split by hash into K parts, and where two linked sets differ in at most d
+shingles, at least K - d parts agree in full.  A set may leave out its K - d - 1 fullest
+parts, which are those of common passages, and linked sets still meet in one.  Then
+the shingles of the sets that met are counted, and each set scans the lists of its
+rarest ones: two sets that need an overlap o share one of the a - o + 1 and b - o + 1
+rarest.  What the lists suggest is verified on the full sets.
 
 The boundary is the largest size up to which enumerating costs no more keys than the
 lists, counting the shingles that verification has to move (``light_limit``).
 
-A list of m sets is not expanded into m^2 pairs.  Shingles that no other listed set
-holds bound the overlap of a set with any other; sets that cannot reach the threshold
-leave, and so do pairs.  The most central set of a list is tested against all others
-first; sets linked by then need no test among each other.  What is left is tested
-against more and more further pivots, until every two sets of a list are tested,
-ruled out or connected.  So no link between components is lost, whatever the size of
-a list, and equal sets take part once.
+A list of m sets is not expanded into m^2 pairs.  Before the scan, every set is tested
+against the most central set of one of its parts, and what is linked by then needs no
+test any more: a list is scanned only for pairs of different components, from the
+sets outside of its largest component.  Shingles that no other set holds bound the
+overlap with any other set and rule out more pairs.  No link between components is
+lost, whatever the size of a list, and equal sets take part once.
 
 Nulls, ties and the like
     A null or empty text, or one without words, has size 0, links with nothing and
@@ -44,8 +45,6 @@ from photocat.llm.shingles import BASE, mix, shingle_set
 
 # Sizes of a class of heavy sets span this factor; small sets need finer classes.
 CLASS_STEP, FINE_STEP, FINE_BELOW = 1.5, 1.2, 60
-# Pivots of a list grow by this factor from round to round.
-PIVOT_STEP = 64
 # Roles of rows: what a row of the input is about; and of keys: the smaller or equal side of a subset, the larger side, and from
 # PART on the class of a part.
 SET, LOW, HIGH, PART = 0, 1, 2, 10
@@ -320,12 +319,9 @@ def _links(texts, keys, distinct, k, t, largest, scratch) -> DataFrame:
     if members.limit(1).count() == 0:
         return light
     tokens = _tokens(texts, distinct, members, k, scratch)
-    members = scratch.save(
-        members.join(_capacities(tokens, scratch), "_sid").where(
-            F.col("_cap") * t.den >= F.col("_n") * t.num
-        ),
-        "able",
-    )
+    counted = _counted(tokens, scratch)
+    sizes = _capacities(tokens, counted, t, scratch)
+    members = scratch.save(members.join(sizes, "_sid"), "able")
     # The most central set of a list: the one whose lists are the fullest.
     fill = members.groupBy("_key").agg(F.count("*").alias("_fill"))
     central = scratch.save(
@@ -344,94 +340,90 @@ def _links(texts, keys, distinct, k, t, largest, scratch) -> DataFrame:
         .agg(F.count("*").alias("_shared"))
     )
     asked = asked.groupBy("_sid").agg(F.max_by("_pivot", F.struct("_shared", "_pivot")).alias("_pivot"))
-    edges = scratch.save(_verified(asked, tokens, t), "links0")
-    tested = None
-    step = 0
-    while True:
-        label = components(edges, scratch, f"comp{step}")
-        left = members.join(label.withColumnRenamed("node", "_sid"), "_sid", "left").withColumn(
-            "_comp", F.coalesce("component", "_sid")
-        ).drop("component")
-        if tested is not None:
-            left = left.join(tested, ["_key", "_sid"], "left_anti")
-        left = scratch.save(left, f"left{step}")
-        # Open: a set that may still be linked with a set of another component in its list.
-        sizes = left.groupBy(F.col("_key").alias("_in"), F.col("_n").alias("_other_n")).agg(
-            F.max("_cap").alias("_other_cap"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high")
-        )
-        other = (F.col("_comp") != F.col("_low")) | (F.col("_comp") != F.col("_high"))
-        rest = scratch.save(
-            left.join(
-                sizes,
-                (F.col("_key") == F.col("_in")) & other & _possible(t, "_n", "_cap", "_other_n", "_other_cap"),
-                "left_semi",
-            ),
-            f"open{step}",
-        )
-        # Pivots come from outside the largest component of a list, more of them each round.
-        main = rest.groupBy("_key", "_comp").agg(F.count("*").alias("_size")).groupBy("_key").agg(
+    central_links = scratch.save(_verified(asked, tokens, t), "links0")
+    label = components(central_links, scratch, "central")
+    known = sizes.join(label.withColumnRenamed("node", "_sid"), "_sid", "left").select(
+        "_sid", "_n", "_cap", F.coalesce("component", "_sid").alias("_comp")
+    )
+    asked = _scanned(tokens, counted, scratch.save(known, "known"), t, scratch)
+    list_links = scratch.save(_verified(asked, tokens, t), "links1")
+    return light.union(central_links).union(list_links)
+
+
+def _scanned(tokens, counted, known, t, scratch) -> DataFrame:
+    """Pairs of different components that the lists of rare shingles suggest."""
+    rarest = W.partitionBy("_sid").orderBy("_holders", "_token")
+    lists = (
+        tokens.join(known, "_sid")
+        .select("_sid", "_n", "_cap", "_comp", F.explode("_tokens").alias("_token"))
+        .join(counted.where("_holders > 1").select("_token", "_holders"), "_token")
+        # Shingles of no other set come first in the order and need no list.
+        .withColumn("_rank", F.row_number().over(rarest) + F.col("_n") - F.col("_cap"))
+        .where(F.col("_rank") <= F.col("_n") - _div(F.col("_n") * t.num + (t.den - 1), t.den) + 1)
+        .select("_token", "_sid", "_n", "_comp", "_rank")
+    )
+    lists = scratch.save(lists, "lists")
+    main = (
+        lists.groupBy("_token", "_comp")
+        .agg(F.count("*").alias("_size"))
+        .groupBy("_token")
+        .agg(
             F.max_by("_comp", F.struct("_size", "_comp")).alias("_main"),
             (F.sum("_size") - F.max("_size")).alias("_out"),
         )
-        outer = scratch.save(rest.join(main, "_key").where("_comp != _main"), f"outer{step}")
-        # Both sets of a pair that is left are open, so it has one outside of that component.
-        if not outer.limit(1).count():
-            return light.union(edges.select("a", "b"))
-        least = outer.groupBy("_key").agg(F.min("_sid").alias("_least"))
-        step += 1
-        share = F.pmod(F.xxhash64("_sid"), F.lit(1 << 30)) * F.col("_out") < F.lit(float(PIVOT_STEP**step << 30))
-        pivots = scratch.save(
-            outer.join(least, "_key").where(share | (F.col("_sid") == F.col("_least"))).select(
-                "_key",
-                F.col("_sid").alias("_pivot"),
-                F.col("_comp").alias("_pivot_comp"),
-                F.col("_n").alias("_pivot_n"),
-                F.col("_cap").alias("_pivot_cap"),
-            ),
-            f"pivots{step}",
-        )
-        asked = (
-            rest.withColumnRenamed("_key", "_in")
-            .join(
-                pivots,
-                (F.col("_in") == F.col("_key"))
-                & (F.col("_comp") != F.col("_pivot_comp"))
-                & _possible(t, "_n", "_cap", "_pivot_n", "_pivot_cap"),
-            )
-            .select(F.least("_sid", "_pivot").alias("_sid"), F.greatest("_sid", "_pivot").alias("_pivot"))
-            .distinct()
+        .where("_out > 0")
+    )
+    outer = lists.join(main.select("_token", "_main"), "_token").where("_comp != _main").drop("_main")
+    outer = scratch.save(outer.withColumnsRenamed({c: f"_outer{c}" for c in outer.columns}), "outer")
+    need = _need(t, "_n", "_outer_n")
+    return (
+        lists.join(
+            outer,
+            (F.col("_token") == F.col("_outer_token"))
+            & (F.col("_comp") != F.col("_outer_comp"))
+            & (F.col("_rank") + need <= F.col("_n") + 1)
+            & (F.col("_outer_rank") + need <= F.col("_outer_n") + 1),
         )
-        edges = edges.union(scratch.save(_verified(asked, tokens, t), f"links{step}"))
-        used = pivots.select("_key", F.col("_pivot").alias("_sid"))
-        tested = used if tested is None else tested.union(used)
+        .select(F.least("_sid", "_outer_sid").alias("_sid"), F.greatest("_sid", "_outer_sid").alias("_pivot"))
+        .distinct()
+    )
+
+
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b))
+
+
+def _need(t, n, other_n) -> Column:
+    """The overlap that sets of these sizes need."""
+    return _div((F.col(n) + F.col(other_n)) * t.num + (t.num + t.den - 1), t.num + t.den)
 
 
 def _possible(t, n, cap, other_n, other_cap) -> Column:
     """The overlap that two sets need is no more than each can have with any other set."""
-    whole = t.num + t.den
-    need = F.call_function("div", (F.col(n) + F.col(other_n)) * t.num + (whole - 1), F.lit(whole))
-    return need <= F.least(F.col(cap), F.col(other_cap))
+    return _need(t, n, other_n) <= F.least(F.col(cap), F.col(other_cap))
 
 
-def _capacities(tokens, scratch) -> DataFrame:
-    """``(_sid, _n, _cap)``: size, and how many shingles some other listed set holds too."""
-    lone = (
+def _counted(tokens, scratch) -> DataFrame:
+    """In how many of the listed sets a shingle is, and one of them."""
+    return scratch.save(
         tokens.select("_sid", F.explode("_tokens").alias("_token"))
         .groupBy("_token")
-        .agg(F.count("*").alias("_holders"), F.min("_sid").alias("_sid"))
-        .where("_holders = 1")
-        .groupBy("_sid")
-        .agg(F.count("*").alias("_lone"))
-    )
-    sizes = tokens.select("_sid", F.size("_tokens").cast("bigint").alias("_n"))
-    return scratch.save(
-        sizes.join(lone, "_sid", "left").select(
-            "_sid", "_n", (F.col("_n") - F.coalesce("_lone", F.lit(0))).alias("_cap")
-        ),
-        "capacities",
+        .agg(F.count("*").alias("_holders"), F.min("_sid").alias("_sid")),
+        "counted",
     )
 
 
+def _capacities(tokens, counted, t, scratch) -> DataFrame:
+    """``(_sid, _n, _cap)``: size, and how many shingles some other listed set holds too.
+
+    Sets that cannot reach the threshold with any other are left out.
+    """
+    lone = counted.where("_holders = 1").groupBy("_sid").agg(F.count("*").alias("_lone"))
+    sizes = tokens.select("_sid", F.size("_tokens").cast("bigint").alias("_n")).join(lone, "_sid", "left")
+    able = sizes.select("_sid", "_n", (F.col("_n") - F.coalesce("_lone", F.lit(0))).alias("_cap"))
+    return scratch.save(able.where(F.col("_cap") * t.den >= F.col("_n") * t.num), "capacities")
+
+
 def _tokens(texts, distinct, members, k, scratch) -> DataFrame:
     """Full sets of all members, from the text of one row each."""
     wanted = scratch.save(
