@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photocat.operators.ordering import block_of
+# Positions per join key; with very many sessions on one stretch of a root a key
+# still meets no more rows than these times the sessions.
+RANGE_BLOCK = 1000
 
 
 def select_all(view: DataFrame) -> DataFrame:
@@ -26,16 +28,20 @@ def range_select(view: DataFrame, cursors: DataFrame) -> DataFrame:
 
     ``cursors(root, session, anchor, clicked)``.  Each range is split into the
     position blocks it covers, so the join is an equi-join on (root, block) and
-    a large root is spread over its blocks.
+    a large root is spread over its blocks.  A plain shuffle on both sides lets
+    adaptive execution split a block on which very many sessions meet.
     """
-    spark = view.sparkSession
+
+    def block_of(pos):
+        return F.call_function("div", F.col(pos), F.lit(RANGE_BLOCK))
+
     low, high = F.least("anchor", "clicked"), F.greatest("anchor", "clicked")
     ranges = cursors.select(
         "root", "session", "anchor", "clicked", low.alias("_low"), high.alias("_high")
     ).withColumn(
-        "_block", F.explode(F.sequence(block_of(spark, "_low"), block_of(spark, "_high")))
+        "_block", F.explode(F.sequence(block_of("_low"), block_of("_high")))
     )
-    rows = view.select("root", "id", "pos").withColumn("_block", block_of(spark))
+    rows = view.select("root", "id", "pos").withColumn("_block", block_of("pos"))
     return (
         rows.join(ranges, ["root", "_block"])
         .where(F.col("pos").between(F.col("_low"), F.col("_high")))

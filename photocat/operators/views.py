@@ -8,7 +8,6 @@ from photocat.operators.edits import label_predicate
 from photocat.operators.joins import lookup
 from photocat.operators.ordering import following, rank_rows, shifted
 from photocat.schema import ERROR, MISSING, PENDING
-from photocat.session import as_small
 
 ENTRY_COLUMNS = [
     "id", "root", "rel_path", "label", "status", "width", "height", "orientation",
@@ -19,6 +18,8 @@ DETAIL_COLUMNS = [
     "aperture", "iso", "focal_mm",
 ]
 U32_MAX, U16_MAX = 4294967295, 65535
+# Roots that a filter names one by one.
+MAX_LISTED_ROOTS = 1000
 
 
 def validate_rows(photos: DataFrame) -> DataFrame:
@@ -82,14 +83,15 @@ def for_root(events: DataFrame, roots) -> DataFrame:
     """Rows of the served roots; works on streams too.
 
     ``roots`` is a list of roots or a DataFrame with a ``root`` column.  A short
-    list becomes a plain filter, which prunes partitions by root.
+    list becomes a plain filter, which prunes partitions by root; a longer one is
+    joined.
     """
     if not isinstance(roots, DataFrame):
         return events.where(F.col("root").isin(list(roots)))
-    small = as_small(roots)
-    if small is None:
-        return lookup(events, roots.select("root").distinct(), ["root"], "left_semi")
-    return events.where(F.col("root").isin([r.root for r in small.select("root").collect()]))
+    few = roots.select("root").distinct().limit(MAX_LISTED_ROOTS + 1).collect()
+    if len(few) <= MAX_LISTED_ROOTS:
+        return events.where(F.col("root").isin([r.root for r in few]))
+    return lookup(events, roots.select("root").distinct(), ["root"], "left_semi")
 
 
 def label_filter(df: DataFrame, mask: int) -> DataFrame:

@@ -4,6 +4,7 @@ import os
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 from test_scan_sync import index
 
 from photocat.operators.ingest import NO_PREVIEW, ingest_job
@@ -21,17 +22,17 @@ def touch(base, *names, text="x"):
         path.write_text(text)
 
 
-@pytest.mark.parametrize("split_depth", [0, 1, 3])
-def test_listing_walks_visible_files(spark, tmp_path, split_depth):
+@pytest.mark.parametrize("tasks", [1, 3, None])
+def test_listing_walks_visible_files(spark, tmp_path, tasks):
     touch(tmp_path, "IMG_1.CR3", "_MG_2.CR2", ".hidden.nef", ".trash/junk.dng", "sub/a.nef", "sub/deep/er/b.nef", "sub/.x/c.nef")
     touch(tmp_path, "empty.nef", text="")
     os.symlink(tmp_path / "IMG_1.CR3", tmp_path / "link.nef")
     os.utime(tmp_path / "IMG_1.CR3", ns=(1, 1700000000123456789))
     os.utime(tmp_path / "_MG_2.CR2", ns=(1, -1500))
     root = str(tmp_path)
-    flat = photo_listing(spark, [root], split_depth=split_depth)
+    flat = photo_listing(spark, [root], tasks=tasks)
     assert [r[1] for r in rows(flat)] == ["IMG_1.CR3", "_MG_2.CR2", "empty.nef"]
-    deep = photo_listing(spark, [root], recursive=True, split_depth=split_depth)
+    deep = photo_listing(spark, [root], recursive=True, tasks=tasks)
     found = {r[1]: r[2:] for r in rows(deep)}
     assert sorted(found) == ["IMG_1.CR3", "_MG_2.CR2", "empty.nef", "sub/a.nef", "sub/deep/er/b.nef"]
     assert found["IMG_1.CR3"] == (1700000000123456789, 1)
@@ -50,7 +51,7 @@ def test_listing_accepts_a_hidden_root_and_refuses_a_bad_one(spark, tmp_path):
     touch(tmp_path, ".card/a.nef")
     assert photo_listing(spark, [str(tmp_path / ".card")]).count() == 1
     for bad in ("none", ".card/a.nef"):
-        with pytest.raises(Exception, match="root `"):
+        with pytest.raises(Exception, match="cannot list"):
             photo_listing(spark, [str(tmp_path / bad)]).collect()
 
 
@@ -69,6 +70,20 @@ def test_asset_listing_and_collection(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.glob("*/*")) == ["keep1.jpg", "keep1.jpg", "notes.txt", "x.jpeg"]
 
 
+def test_listing_is_spread_over_tasks(spark, tmp_path):
+    """One deep folder chain and one flat folder still give many partitions of stat calls."""
+    deep = tmp_path / "card" / "DCIM" / "100"
+    deep.mkdir(parents=True)
+    for i in range(200):
+        (deep / f"IMG_{i:04}.NEF").write_bytes(b"x")
+    for listing in (
+        photo_listing(spark, [str(tmp_path / "card")], recursive=True, tasks=6),
+        photo_listing(spark, [str(deep)], tasks=6),
+    ):
+        used = listing.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert listing.count() == 200 and used >= 5
+
+
 def test_index_store_versions(spark, tmp_path):
     store = str(tmp_path / "store")
     assert index_store.read_index(spark, store).count() == 0
