@@ -127,6 +127,16 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return label
 
 
+def in_sample(hashed: Column, wanted: int, total: int) -> Column:
+    """True for about twice ``wanted`` of ``total`` rows, those with the smallest hashes.
+
+    A sort with a limit makes every partition send that many rows to the driver; on
+    what this lets through it sends a few each.  All rows pass where there are few.
+    """
+    share = min(1.0, 2 * wanted / max(total, 1))
+    return hashed.cast("double") <= (share - 0.5) * 2.0**64
+
+
 def utf8(text: Column) -> Column:
     """Bytes of a text; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from photocat.llm.common import in_sample
+
 BITS = 13
 BUCKETS = 1 << BITS
 ORDERS = (1, 2, 3)
@@ -191,7 +193,7 @@ def fit(
 ) -> Model:
     """A model from labelled rows for which ``teach`` holds.
 
-    At most ``per_language`` texts of each language reach the driver, each cut to
+    At most ``per_language`` different texts of each language reach the driver, each cut to
     ``SAMPLE_CHARS`` characters.
     """
     text, lang = F.col(text_col), F.col(lang_col)
@@ -202,8 +204,9 @@ def fit(
         lang.alias("_lang"), F.substring(text, 1, SAMPLE_CHARS).alias("_text"), F.xxhash64(text).alias("_order")
     )
     found = []
-    for (code,) in sorted(rows.select("_lang").distinct().collect()):
-        first = rows.where(F.col("_lang") == code).orderBy("_order", "_text").limit(per_language)
+    for code, n in sorted(rows.groupBy("_lang").count().collect()):
+        mine = rows.where((F.col("_lang") == code) & in_sample(F.col("_order"), per_language, n))
+        first = mine.select("_order", "_text").distinct().orderBy("_order", "_text").limit(per_language)
         found += [(r["_text"], code) for r in first.collect() if frequencies(r["_text"]).any()]
     return Model([t for t, _ in found], [v for _, v in found])
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photocat.llm.common import Scratch, components
+from photocat.llm.common import Scratch, components, in_sample
 
 # Vectors that the codebooks and the radius are fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -284,7 +284,9 @@ def near_groups(
 
 def _search(classes, n, kind, cosine, recall, scratch, name) -> DataFrame:
     """``(_a, _b, _links)``: partial link counts and connecting edges of vectors of one dimension."""
-    sample = classes.select("_vec").orderBy(F.xxhash64("_vec"), "_vec").limit(SAMPLE_ROWS).collect()
+    order = F.xxhash64("_vec")
+    some = classes.where(in_sample(order, SAMPLE_ROWS, n)).select("_vec")
+    sample = some.orderBy(order, "_vec").limit(SAMPLE_ROWS).collect()
     grid = Grid(_unpack([r[0] for r in sample], kind), n, cosine, recall)
     stored = classes.select("_cid", "_rows", "_vec")
     # One row per cell at most, so no more than MAX_WORDS squared.
