@@ -125,6 +125,17 @@ def test_each_batch_finishes_once(spark, tmp_path):
     assert rows(seen.where("done > 0"), "job", "generation") == want
 
 
+def test_redelivered_start_finishes_once(spark, tmp_path):
+    """Results before their start, and the same start in three micro-batches."""
+    logs = str(tmp_path / "logs")
+    start = (0, at(0), "j", 1, None, "Started", 2)
+    log = [(1, at(1), "j", 1, 5, "Ingested", None), start, (2, at(2), "j", 1, 6, "Failed", None), start, start]
+    write_parts(spark, log, INGEST_EVENT_SCHEMA, logs, 5)
+    stream = streaming.stream_batch_finished(ingest_event_source(spark, logs, maxFilesPerTrigger=1))
+    seen = updates(spark, stream, tmp_path)
+    assert rows(seen, "job", "generation", "done", "enqueued") == [("j", 1, 2, 2)]
+
+
 def test_progress_and_rate(spark, tmp_path):
     logs = str(tmp_path / "logs")
     ticks = [("j", 5), ("j", 3), ("k", 1), ("j", 9), ("j", 8), ("k", 4)]
