@@ -27,7 +27,7 @@ Nulls, ties and the like
 import heapq
 import re
 from array import array
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ NBEST = 3
 # Segments up to this length are solved together; longer ones one by one.
 WIDE = 32
 # Distinct segments a task remembers, and texts it splits at once.
-MEMORY, TEXTS, TOGETHER = 300_000, 200, 4_000
+MEMORY, TEXTS, TOGETHER = 400_000, 200, 4_000
 UNKNOWN_MALUS = 10.0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,10 +97,16 @@ class Pieces:
         """Byte pieces of a character without a piece (id 0 where the vocabulary has none)."""
         return [self.bytes_at.get(b, 0) for b in char.encode("utf-8", "replace")]
 
-    def decode(self, ids) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+    def raw_bytes(self, ids) -> bytes:
+        return b"".join([self.raw[i] for i in ids])
+
+    def readable(self, raw: bytes) -> str:
+        text = raw.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
+    def decode(self, ids) -> str:
+        return self.readable(self.raw_bytes(ids))
+
 
 def edges_of(segment: str, vocabulary: Pieces) -> list:
     """By end position: (start, score, ids) of every piece that ends there."""
@@ -140,83 +146,80 @@ def nbest_ways(segment: str, vocabulary: Pieces, n: int) -> list:
     return found
 
 
-def best_ways(segments: list, vocabulary: Pieces) -> list:
-    """(score, gap to the second way, ids) of each segment of at most ``WIDE`` characters."""
-    width = max(map(len, segments))
+def best_ways(segments: list, vocabulary: Pieces) -> tuple:
+    """(scores, gaps to the second ways, ids) of segments of at most ``WIDE`` characters.
+
+    All arrays have one row per position and one column per segment.
+    """
+    width, n = max(map(len, segments)), len(segments)
     sizes = np.array([len(s) for s in segments])
-    n = len(segments)
     flat = np.frombuffer("".join(segments).encode("utf-32-le", "replace"), np.uint32)
     points = np.zeros((n, width), np.uint64)
     points[np.arange(width)[None, :] < sizes[:, None]] = flat
+    points = np.ascontiguousarray(points.T)
     scores, ids = {}, {}
-    running = np.zeros((n, width), np.uint64)
+    running = np.zeros((width, n), np.uint64)
     for size in range(1, min(vocabulary.longest, width) + 1):
         starts = width - size + 1
-        running = mix(running[:, :starts] * _STEP + points[:, size - 1 :] + np.uint64(1))
+        running = mix(running[:starts] * _STEP + points[size - 1 :] + np.uint64(1))
         hashes, of = vocabulary.tables[size - 1]
-        hit = np.zeros((n, starts), bool)
-        inside = np.arange(starts)[None, :] + size <= sizes[:, None]
+        inside = np.arange(starts)[:, None] + size <= sizes[None, :]
+        piece = np.full((starts, n), -1, np.int32)
+        score = np.full((starts, n), -np.inf)
         if len(hashes):
             wanted = running[inside]
             at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-            hit[inside] = hashes[at] == wanted
-            piece = np.full((n, starts), -1, np.int64)
-            piece[inside] = np.where(hit[inside], of[at], -1)
-        else:
-            piece = np.full((n, starts), -1, np.int64)
-        score = np.where(hit, vocabulary.scores[piece], -np.inf)
+            hit = hashes[at] == wanted
+            found = np.where(hit, of[at], -1)
+            piece[inside] = found
+            score[inside] = np.where(hit, vocabulary.scores[found], -np.inf)
         if size == 1:
-            score = np.where(hit | ~inside, score, vocabulary.unknown)
-        elif not hit.any():
+            score[inside & (piece < 0)] = vocabulary.unknown
+        elif not (piece >= 0).any():
             continue
         scores[size], ids[size] = score, piece
     lengths = sorted(scores)
-    forward = np.full((n, width + 1), -np.inf)
-    forward[:, 0] = 0
-    step = np.zeros((n, width + 1), np.int64)
+    forward = np.full((width + 1, n), -np.inf)
+    forward[0] = 0
+    step = np.zeros((width + 1, n), np.int8)
     for end in range(1, width + 1):
         for size in lengths:
             if size > end:
                 break
-            total = forward[:, end - size] + scores[size][:, end - size]
-            better = total >= forward[:, end]
-            better &= total > -np.inf
-            forward[better, end] = total[better]
-            step[better, end] = size
-    backward = np.full((n, width + 1), -np.inf)
-    backward[np.arange(n), sizes] = 0
+            total = forward[end - size] + scores[size][end - size]
+            better = (total >= forward[end]) & (total > -np.inf)
+            np.copyto(forward[end], total, where=better)
+            step[end][better] = size
+    columns = np.arange(n)
+    backward = np.full((width + 1, n), -np.inf)
+    backward[sizes, columns] = 0
     for start in range(width - 1, -1, -1):
         for size in lengths:
             if start + size <= width:
-                np.maximum(
-                    backward[:, start],
-                    scores[size][:, start] + backward[:, start + size],
-                    out=backward[:, start],
-                )
+                np.maximum(backward[start], scores[size][start] + backward[start + size], out=backward[start])
     # Walk all segments back from their ends at once, noting the pieces on the way.
     used = {size: np.zeros(scores[size].shape, bool) for size in lengths}
-    rows, at = np.arange(n), sizes.copy()
+    left, at = columns, sizes.copy()
     taken = [[] for _ in range(n)]
-    while len(rows):
-        size_of = step[rows, at]
+    while len(left):
+        size_of = step[at, left]
         at = at - size_of
-        for size in np.unique(size_of):
+        for size in np.unique(size_of).tolist():
             here = size_of == size
-            used[size][rows[here], at[here]] = True
-            for row, start, piece in zip(rows[here].tolist(), at[here].tolist(), ids[size][rows[here], at[here]].tolist()):
-                taken[row].append([piece] if piece >= 0 else vocabulary.spelled(segments[row][start]))
-        left = at > 0
-        rows, at = rows[left], at[left]
+            column, start = left[here], at[here]
+            used[size][start, column] = True
+            for c, i, piece in zip(column.tolist(), start.tolist(), ids[size][start, column].tolist()):
+                taken[c].append((piece,) if piece >= 0 else vocabulary.spelled(segments[c][i]))
+        more = at > 0
+        left, at = left[more], at[more]
     second = np.full(n, -np.inf)
     for size in lengths:
-        starts = scores[size].shape[1]
-        through = forward[:, :starts] + scores[size] + backward[:, size : size + starts]
-        second = np.maximum(second, np.where(used[size], -np.inf, through).max(1))
-    best = forward[np.arange(n), sizes]
-    return [
-        (float(b), float(b - s), [i for part in reversed(t) for i in part])
-        for b, s, t in zip(best, second, taken)
-    ]
+        starts = scores[size].shape[0]
+        through = forward[:starts] + scores[size] + backward[size : size + starts]
+        through[used[size]] = -np.inf
+        np.maximum(second, through.max(0), out=second)
+    best = forward[sizes, columns]
+    return best.tolist(), (best - second).tolist(), [[i for part in reversed(t) for i in part] for t in taken]
 
 
 class Encoder:
@@ -228,13 +231,24 @@ class Encoder:
 
     def _forget(self):
         self.at, self.ways = {}, {}
-        self.ids, self.scores, self.gaps = [], array("d"), array("d")
-
-    def _remember(self, segment, score, gap, ids):
-        self.at[segment] = len(self.ids)
-        self.ids.append(ids)
-        self.scores.append(score)
-        self.gaps.append(gap)
+        # All ids in a row; ends of each segment's, its bytes as decoded from them.
+        self.ids, self.ends, self.raw = array("i"), array("q", [0]), []
+        self.scores, self.gaps = array("d"), array("d")
+
+    def _remember(self, segments, scores, gaps, ids):
+        self.at.update(zip(segments, range(len(self.raw), len(self.raw) + len(segments))))
+        self.ends.extend(accumulate(map(len, ids), initial=self.ends.pop()))
+        self.ids.extend(chain.from_iterable(ids))
+        self.raw.extend(map(self.vocabulary.raw_bytes, ids))
+        self.scores.extend(scores)
+        self.gaps.extend(gaps)
+
+    def ids_of(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the segments with these numbers, one after the other."""
+        ends = np.frombuffer(self.ends, np.int64)
+        first, sizes = ends[at], ends[at + 1] - ends[at]
+        shift = first - np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        return np.frombuffer(self.ids, np.int32)[np.repeat(shift, sizes) + np.arange(sizes.sum())]
 
     def learn(self, texts: list) -> list:
         """Segments of each text; afterwards all of them are known."""
@@ -245,35 +259,36 @@ class Encoder:
         short = sorted((s for s in new if len(s) <= WIDE), key=len)
         for at in range(0, len(short), TOGETHER):
             some = short[at : at + TOGETHER]
-            for segment, found in zip(some, best_ways(some, self.vocabulary)):
-                self._remember(segment, *found)
+            self._remember(some, *best_ways(some, self.vocabulary))
         for segment in new:
             if len(segment) > WIDE:
                 ways = nbest_ways(segment, self.vocabulary, max(self.n, 2))
                 gap = ways[0][0] - ways[1][0] if len(ways) > 1 else np.inf
-                self._remember(segment, ways[0][0], gap, ways[0][1])
+                self._remember([segment], [ways[0][0]], [gap], [ways[0][1]])
         return parts
 
     def encode(self, segments: list) -> tuple:
-        """(ids, best score, [(score, [(segment, ids)])] of the ways after the best)."""
-        at = np.fromiter(map(self.at.__getitem__, segments), np.int64, len(segments))
-        ids = list(chain.from_iterable(map(self.ids.__getitem__, at.tolist())))
-        if not len(at):
-            return ids, 0.0, []
+        """(ids, best score, [(score, [(segment, ids)])] of the ways after the best, decoded text)."""
+        numbers = [self.at[s] for s in segments]
+        if not numbers:
+            return np.empty(0, np.int32), 0.0, [], ""
+        at = np.array(numbers)
+        ids = self.ids_of(at)
+        text = self.vocabulary.readable(b"".join([self.raw[n] for n in numbers]))
         score = float(np.frombuffer(self.scores)[at].sum())
         gaps = np.frombuffer(self.gaps)[at]
-        near = np.flatnonzero(np.isfinite(gaps))
-        if len(near) > self.n - 1:
-            limit = np.partition(gaps[near], self.n - 2)[self.n - 2] if self.n > 1 else -1.0
-            near = near[gaps[near] <= limit]
+        near = np.arange(len(gaps))
+        if len(gaps) > self.n - 1:
+            limit = np.partition(gaps, self.n - 2)[self.n - 2] if self.n > 1 else -1.0
+            near = np.flatnonzero(gaps <= limit)
             near = near[np.argsort(gaps[near], kind="stable")[: self.n - 1]]
-        near = sorted(near.tolist())
+        near = sorted(near[np.isfinite(gaps[near])].tolist())
         ways = [self._ways(segments[i]) for i in near]
         others = []
         for loss, choice in _combined([[w[0][0] - v for v, _ in w] for w in ways], self.n)[1:]:
             changes = [(near[k], ways[k][c][1]) for k, c in enumerate(choice) if c]
             others.append((score - loss, changes))
-        return ids, score, others
+        return ids, score, others, text
 
     def _ways(self, segment: str) -> list:
         if segment not in self.ways:
@@ -341,11 +356,8 @@ def encode(
                 texts = [t.as_py() for t in part.column(1)]
                 ids, scores, others, restored = [], [], [], []
                 for text, segments in zip(texts, encoder.learn(texts)):
-                    if segments is None:
-                        found = None, None, None
-                    else:
-                        found = encoder.encode(segments)
-                    ids.append(None if found[0] is None else np.array(found[0], np.int32))
+                    found = (None,) * 4 if segments is None else encoder.encode(segments)
+                    ids.append(found[0])
                     scores.append(found[1])
                     others.append(
                         found[2]
@@ -356,7 +368,7 @@ def encode(
                         if found[2] is not None
                         else None
                     )
-                    restored.append(text is None or encoder.vocabulary.decode(found[0]) == text)
+                    restored.append(found[3] == text)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
