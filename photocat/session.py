@@ -96,14 +96,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and returns the table read back.
 
     Cuts lineage, survives executor loss, and lets every later branch prune
-    columns and skip row groups instead of recomputing ``df``.
+    columns and skip row groups instead of recomputing ``df``.  The table is deleted
+    when the application ends.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """An intermediate table goes with its application; plans may read it until then."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def as_small(df: DataFrame) -> DataFrame | None:
     """``df`` as a local table marked for broadcast, or None when it is not small.
 
