@@ -45,8 +45,8 @@ from photocat.llm.shingles import BASE, mix, shingle_set
 
 # Sizes of a class of heavy sets span this factor; small sets need finer classes.
 CLASS_STEP, FINE_STEP, FINE_BELOW = 1.5, 1.2, 60
-# Roles of rows: what a row of the input is about; and of keys: the smaller or equal side of a subset, the larger side, and from
-# PART on the class of a part.
+# Roles of rows: about the set of an input row; key of a subset on its smaller or equal
+# side, and on its larger side; from PART on key of a part, plus the class.
 SET, LOW, HIGH, PART = 0, 1, 2, 10
 OUT_ROWS = 100_000
 
