@@ -6,8 +6,8 @@ use the same features: frequencies of letter n-grams (n = 1 to 3, words padded b
 one space) over the whole text, hashed to ``BUCKETS`` numbers and scaled by how
 much they vary.  Every score is linear, so a text costs one pass over its letters.
 
-The models are fitted on at most ``per_language`` labelled texts of each language,
-those with the smallest hash of their text, and on their first ``SAMPLE_CHARS``
+The models are fitted on at most ``per_language`` different labelled texts of each
+language, those with the smallest hash of their text, and on their first ``SAMPLE_CHARS``
 characters.  Prediction reads whole texts and nothing but texts.
 
 Families follow ``FAMILIES``; a language that is not listed is a family of its own.
@@ -37,6 +37,8 @@ PER_LANGUAGE = 500
 SAMPLE_CHARS = 2000
 SLICE_CHARS = 1 << 18
 UNDETERMINED = "und"
+# Every text with a letter matches; code points that Java does not know may be letters to Python.
+MAY_HOLD_LETTER = "[\\p{L}\\p{Cn}]"
 # ISO 639-1 codes by family.
 FAMILIES = {
     "germanic": "en de nl sv da no is af",
@@ -197,17 +199,24 @@ def fit(
     ``SAMPLE_CHARS`` characters.
     """
     text, lang = F.col(text_col), F.col(lang_col)
-    rows = docs.where(text.isNotNull() & lang.isNotNull() & (F.length(text) > 0))
+    rows = docs.where(text.rlike(MAY_HOLD_LETTER) & lang.isNotNull())
     if teach is not None:
         rows = rows.where(F.coalesce(teach, F.lit(True)))
     rows = rows.select(
         lang.alias("_lang"), F.substring(text, 1, SAMPLE_CHARS).alias("_text"), F.xxhash64(text).alias("_order")
     )
+    # Copies count once: a share of all rows would leave few different texts, or none.
+    different = rows.groupBy("_lang", "_order").count().groupBy("_lang").agg(F.count("*"))
     found = []
-    for code, n in sorted(rows.groupBy("_lang").count().collect()):
-        mine = rows.where((F.col("_lang") == code) & in_sample(F.col("_order"), per_language, n))
-        first = mine.select("_order", "_text").distinct().orderBy("_order", "_text").limit(per_language)
-        found += [(r["_text"], code) for r in first.collect() if frequencies(r["_text"]).any()]
+    for code, n in sorted(different.collect()):
+        wanted = per_language
+        while True:
+            mine = rows.where((F.col("_lang") == code) & in_sample(F.col("_order"), wanted, n))
+            first = mine.select("_order", "_text").distinct().orderBy("_order", "_text").limit(per_language).collect()
+            if len(first) >= min(per_language, n) or 2 * wanted >= n:
+                break
+            wanted *= 4
+        found += [(r["_text"], code) for r in first if frequencies(r["_text"]).any()]
     return Model([t for t, _ in found], [v for _, v in found])
 
 

@@ -71,3 +71,26 @@ def test_held_out_accuracy(spark):
     model = L.fit(docs, teach=~L.held_out("doc_id"))
     held = L.predict(docs.where(L.held_out("doc_id")), model, ["lang"]).collect()
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.95
+
+
+@pytest.mark.parametrize("n", [12, 60])
+def test_copies_and_texts_without_letters_do_not_shrink_the_sample(spark, monkeypatch, n):
+    """All copies of a text count as one, so min(per_language, different texts) teach."""
+    kept = [(i, f"{text} {i}", lang) for i, text, lang in labelled(4 * n)]
+    copies = [(i, SAMPLES["en"], "en") for i in range(3000)] + [(i, f"{i} !", "de") for i in range(3000)]
+    df = spark.createDataFrame(kept + copies, "doc_id bigint, text string, lang string").repartition(4)
+    used = []
+
+    class Kept(L.Model):
+        def __init__(self, samples, labels, seed=5):
+            used.append(labels)
+            super().__init__(samples, labels, seed)
+
+    monkeypatch.setattr(L, "Model", Kept)
+    model = L.fit(df, per_language=20)
+    assert {v: used[0].count(v) for v in SAMPLES} == dict.fromkeys(SAMPLES, min(20, n)) | {"en": min(20, n + 1)}
+    assert {lang: model.predict(text)[0] for lang, text in SAMPLES.items()} == {v: v for v in SAMPLES}
+    # A share of the hashes that holds too few texts is widened.
+    monkeypatch.setattr(L, "in_sample", lambda hashed, wanted, total: hashed.isNotNull() & (2 * wanted >= total))
+    L.fit(df, per_language=20)
+    assert {v: used[1].count(v) for v in SAMPLES} == {v: used[0].count(v) for v in SAMPLES}
