@@ -7,8 +7,9 @@ one space) over the whole text, hashed to ``BUCKETS`` numbers and scaled by how
 much they vary.  Every score is linear, so a text costs one pass over its letters.
 
 The models are fitted on at most ``per_language`` different labelled texts of each
-language, those with the smallest hash of their text, and on their first ``SAMPLE_CHARS``
-characters.  Prediction reads whole texts and nothing but texts.
+language, those with the smallest hash of their text.  Tasks turn these texts, which are
+whole, into frequencies, so the driver gets ``BUCKETS`` numbers for each, however long
+it is.  Prediction reads whole texts too and nothing but texts.
 
 Families follow ``FAMILIES``; a language that is not listed is a family of its own.
 
@@ -34,7 +35,6 @@ BITS = 13
 BUCKETS = 1 << BITS
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 500
-SAMPLE_CHARS = 2000
 SLICE_CHARS = 1 << 18
 UNDETERMINED = "und"
 # Every text with a letter matches; code points that Java does not know may be letters to Python.
@@ -94,13 +94,14 @@ def frequencies(text: str) -> np.ndarray:
 class Model:
     """Weights of all linear scores side by side, so a text is scored in one product."""
 
-    def __init__(self, texts: list, labels: list, seed: int = 5):
+    def __init__(self, samples: list, labels: list, seed: int = 5):
+        """``samples`` are texts or their frequencies."""
         self.languages = sorted(set(labels))
-        x = np.zeros((len(texts), BUCKETS), np.float32)
-        for i, text in enumerate(texts):
-            x[i] = frequencies(text)
-        self.spread = x.std(0) + 1e-4 if texts else np.ones(BUCKETS)
-        self.center = x.mean(0) if texts else np.zeros(BUCKETS)
+        x = np.zeros((len(samples), BUCKETS), np.float32)
+        for i, sample in enumerate(samples):
+            x[i] = frequencies(sample) if isinstance(sample, str) else sample
+        self.spread = x.std(0) + 1e-4 if samples else np.ones(BUCKETS)
+        self.center = x.mean(0) if samples else np.zeros(BUCKETS)
         x -= self.center
         x /= self.spread
         x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
@@ -195,16 +196,13 @@ def fit(
 ) -> Model:
     """A model from labelled rows for which ``teach`` holds.
 
-    At most ``per_language`` different texts of each language reach the driver, each cut to
-    ``SAMPLE_CHARS`` characters.
+    The frequencies of at most ``per_language`` different texts of each language reach the driver.
     """
     text, lang = F.col(text_col), F.col(lang_col)
     rows = docs.where(text.rlike(MAY_HOLD_LETTER) & lang.isNotNull())
     if teach is not None:
         rows = rows.where(F.coalesce(teach, F.lit(True)))
-    rows = rows.select(
-        lang.alias("_lang"), F.substring(text, 1, SAMPLE_CHARS).alias("_text"), F.xxhash64(text).alias("_order")
-    )
+    rows = rows.select(lang.alias("_lang"), text.alias("_text"), F.xxhash64(text).alias("_order"))
     # Copies count once: a share of all rows would leave few different texts, or none.
     different = rows.groupBy("_lang", "_order").count().groupBy("_lang").agg(F.count("*"))
     found = []
@@ -212,12 +210,27 @@ def fit(
         wanted = per_language
         while True:
             mine = rows.where((F.col("_lang") == code) & in_sample(F.col("_order"), wanted, n))
-            first = mine.select("_order", "_text").distinct().orderBy("_order", "_text").limit(per_language).collect()
+            mine = mine.select("_order", F.sha2("_text", 256).alias("_tie"), "_text").distinct()
+            first = _with_frequencies(mine).orderBy("_order", "_tie").limit(per_language).collect()
             if len(first) >= min(per_language, n) or 2 * wanted >= n:
                 break
             wanted *= 4
-        found += [(r["_text"], code) for r in first if frequencies(r["_text"]).any()]
-    return Model([t for t, _ in found], [v for _, v in found])
+        vectors = (np.frombuffer(r["_found"], np.float32) for r in first)
+        found += [(v, code) for v in vectors if v.any()]
+    return Model([v for v, _ in found], [v for _, v in found])
+
+
+def _with_frequencies(texts: DataFrame) -> DataFrame:
+    """``(_order, _tie, _found)`` of ``(_order, _tie, _text)``: frequencies as bytes of 32-bit floats."""
+
+    def rows(batches):
+        for batch in batches:
+            found = [frequencies(t.as_py()).astype(np.float32).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["_order", "_tie", "_found"]
+            )
+
+    return texts.mapInArrow(rows, "_order bigint, _tie string, _found binary")
 
 
 def predict(docs: DataFrame, model: Model, columns: list, text_col: str = "text") -> DataFrame:

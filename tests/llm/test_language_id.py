@@ -94,3 +94,15 @@ def test_copies_and_texts_without_letters_do_not_shrink_the_sample(spark, monkey
     monkeypatch.setattr(L, "in_sample", lambda hashed, wanted, total: hashed.isNotNull() & (2 * wanted >= total))
     L.fit(df, per_language=20)
     assert {v: used[1].count(v) for v in SAMPLES} == {v: used[0].count(v) for v in SAMPLES}
+
+
+def test_training_reads_whole_texts(spark):
+    """Texts of both languages open with the same long passage; only what follows tells them apart."""
+    opening = "0xyz qwv " * 500
+    rows = [(i, opening + (text + " ") * 20, lang) for i, text, lang in labelled(80) if lang in ("en", "fr")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = L.fit(df)
+    assert [model.predict(t)[0] for _, t, _ in rows] == [lang for _, _, lang in rows]
+    assert {lang: model.predict(SAMPLES[lang])[0] for lang in ("en", "fr")} == {"en": "en", "fr": "fr"}
+    brute = L.Model([t for _, t, _ in rows], [lang for _, _, lang in rows])
+    assert np.allclose(model.center, brute.center, rtol=1e-4, atol=1e-9)
