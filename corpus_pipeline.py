@@ -11,7 +11,8 @@ from photocat.llm import exact_dedup, language_id, ngram_join, piece_lattice, so
 from photocat.llm.common import Scratch, read_table
 from photocat.llm.queries import PIECES
 
-# Texts whose language stays open: no letter, or a score below this.
+# Texts whose language stays open: no letter, or a score below this.  With two languages in a
+# family no score is below 0.25; only circular votes of three or more go lower.
 LEAST_SCORE = 0.2
 MIX = {"domain": {"src0": 4, "src1": 2}, "lang": {"en": 3, "de": 2}}
 MIX_SHARE, MIX_SEED = 0.75, 11

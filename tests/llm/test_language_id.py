@@ -106,3 +106,22 @@ def test_training_reads_whole_texts(spark):
     assert {lang: model.predict(SAMPLES[lang])[0] for lang in ("en", "fr")} == {"en": "en", "fr": "fr"}
     brute = L.Model([t for _, t, _ in rows], [lang for _, _, lang in rows])
     assert np.allclose(model.center, brute.center, rtol=1e-4, atol=1e-9)
+
+
+def test_least_score(spark):
+    """Two languages of a family score 0.25 at least; circular votes of three are rejected."""
+    from corpus_pipeline import LEAST_SCORE
+
+    rows = labelled(80)
+    model = L.Model([t for _, t, _ in rows], [v for _, _, v in rows])
+    rng = np.random.default_rng(3)
+    noise = ["".join(rng.choice(list("qxzjkvwy ñß"), 40)) for _ in range(200)]
+    assert min(model.predict(t)[1] for t in noise if t.strip()) >= 0.25 > LEAST_SCORE
+    circle = L.Model(["abc", "def", "ghi"], ["de", "en", "nl"])
+    circle.weights[:] = 0
+    for pair, margin in {("de", "en"): 1, ("en", "nl"): 1, ("de", "nl"): -0.5}.items():
+        circle.weights[-1, circle.pair_at[pair]] = margin
+    assert circle.predict("abc")[0] == "de" and circle.predict("abc")[1] < LEAST_SCORE
+    df = spark.createDataFrame([(1, "abc"), (2, "!")], "doc_id bigint, text string")
+    assert L.keep_known(df, circle, LEAST_SCORE).count() == 0
+    assert L.keep_known(df, circle, 0.0).count() == 1
