@@ -11,7 +11,10 @@ Nulls, ties and the like
     A null or empty page has an empty text, and so has one without any block of main
     text.  Unclosed and stray tags are tolerated; an unclosed script or style hides
     the rest, and an ``article`` or ``main`` ends whatever unclosed region it stands
-    in.  If the two nearest neighbours differ, the nearer one counts; at equal
+    in.  A head ends where text or an element of the body begins.  An ``article`` inside a
+    closed navigation, sidebar or the like belongs to that region (teaser cards), unless
+    the page leaves elements of that name unclosed or has no other main text.  Where an
+    ``article`` or ``main`` is left, text outside of it is no main text.  If the two nearest neighbours differ, the nearer one counts; at equal
     distance a block inside the article is kept and one outside is not.  Without
     decided neighbours a block inside the article is kept; outside, where the page
     has no article, it is kept if it reads like text.  Rows are independent, so
@@ -39,6 +42,7 @@ BLOCK = frozenset(
     pre section summary table tbody td tfoot th thead title tr ul""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEAD_CONTENT = frozenset("html head base basefont bgsound link meta".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
 NEVER = frozenset(
     "nav footer aside form menu dialog button select head object canvas audio video applet fieldset".split()
@@ -89,10 +93,11 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Block:
-    __slots__ = ("pieces", "links", "banned", "inside", "breaks")
+    __slots__ = ("pieces", "links", "banned", "inside", "breaks", "region", "card")
 
-    def __init__(self, banned, inside):
+    def __init__(self, banned, inside, region):
         self.pieces, self.links, self.banned, self.inside, self.breaks = [], 0, banned, inside, 0
+        self.region, self.card = region, False
 
 
 def _marks(tag: str, raw: str) -> tuple:
@@ -118,13 +123,15 @@ def blocks_of(page: str) -> list:
     found, stack = [], []
     banned = inside = comment = False
     link = 0
-    block = _Block(False, False)
+    # The region that an article stands in, by its place in the stack: name, closed or not.
+    region, regions, unclosed = None, {}, set()
+    block = _Block(False, False, None)
 
     def finish():
         nonlocal block
         if block.pieces:
             found.append(block)
-        block = _Block(banned, inside)
+        block = _Block(banned, inside, region)
 
     def add(text):
         if not text:
@@ -137,24 +144,31 @@ def blocks_of(page: str) -> list:
                 block.links += sum(map(len, words))
         block.pieces.append(text)
 
-    def close_to(at):
-        nonlocal banned, inside, comment, link
-        if any(e[0] in BLOCK for e in stack[at:]):
-            _, banned, inside, comment, link = stack[at]
-            del stack[at:]
+    def close_to(at, ended=False):
+        nonlocal banned, inside, comment, link, region
+        unclosed.update(e[0] for e in stack[at + ended :])
+        for i in [i for i in regions if i >= at]:
+            regions.pop(i)[1] = ended and i == at
+        blocks = any(e[0] in BLOCK for e in stack[at:])
+        _, banned, inside, comment, link, region = stack[at]
+        del stack[at:]
+        if blocks:
             finish()
-        else:
-            _, banned, inside, comment, link = stack[at]
-            del stack[at:]
+
+    def end_head():
+        if stack and stack[-1][0] == "head":
+            close_to(len(stack) - 1)
 
     at, size = 0, len(page)
     lower = None
     while at < size:
         m = _TOKEN.search(page, at)
+        stop = m.start() if m else size
+        if stack and stack[-1][0] == "head" and page[at:stop].strip():
+            end_head()
+        add(page[at:stop])
         if not m:
-            add(page[at:])
             break
-        add(page[at : m.start()])
         at = m.end()
         tag = m.group(2) or m.group(5)
         if not tag:
@@ -167,7 +181,7 @@ def blocks_of(page: str) -> list:
                 continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    close_to(i)
+                    close_to(i, ended=True)
                     break
                 # An inline end tag does not close blocks around it.
                 if tag not in BLOCK and stack[i][0] in BLOCK:
@@ -187,6 +201,8 @@ def blocks_of(page: str) -> list:
                 stop = page.find(">", end)
                 at = size if stop < 0 else stop + 1
             continue
+        if tag not in HEAD_CONTENT:
+            end_head()
         if tag == "br":
             block.breaks += 1
             if block.breaks > 1:
@@ -213,10 +229,16 @@ def blocks_of(page: str) -> list:
             if block_follows:
                 finish()
             continue
-        stack.append((tag, banned, inside, comment, link))
+        stack.append((tag, banned, inside, comment, link, region))
         marked, is_comment = _marks(tag, raw)
         comment = comment or is_comment
         if tag in ("article", "main") and not comment:
+            if tag == "main":
+                region = None
+            elif banned:
+                # The element that decided against what stands here.
+                at_region = next(i for i in range(len(stack) - 1, -1, -1) if not stack[i][1])
+                region = regions.setdefault(at_region, [stack[at_region][0], False])
             banned, inside = marked, True
         elif tag in NEVER or marked or comment or tag == "header" and not inside:
             banned = True
@@ -227,6 +249,9 @@ def blocks_of(page: str) -> list:
         elif banned != block.banned:
             finish()  # an inline element that is no main text
     finish()
+    unclosed.update(e[0] for e in stack)
+    for b in found:
+        b.card = b.region is not None and b.region[1] and b.region[0] not in unclosed
     return found
 
 
@@ -262,7 +287,12 @@ def main_text(page: str | None) -> str:
     for b in blocks_of(page):
         text = " ".join("".join(b.pieces).split())
         if text:
-            blocks.append((text, b.links, b.banned, b.inside))
+            blocks.append((text, b.links, b.banned, b.inside, b.card))
+    kept = _kept([(text, links, banned or card, inside and not card) for text, links, banned, inside, card in blocks])
+    return kept or _kept([b[:4] for b in blocks])
+
+
+def _kept(blocks: list) -> str:
     labels = _labels(blocks)
     has_article = any(inside for _, _, _, inside in blocks)
     final = list(labels)

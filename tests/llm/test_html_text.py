@@ -66,3 +66,25 @@ def test_given_pages(spark):
         inner = re.sub("</?b>", "", re.sub("<br>", " ", re.sub("</?(?:p|h1)>", "\n", inner)))
         lines = (" ".join(html.unescape(x).split()) for x in inner.split("\n"))
         assert r.main_text == "\n".join(x for x in lines if x)
+
+
+CARD = "<article><h3>Of the other</h3><p>The teaser of another page that is not the text of this one at all.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<html><head><title>t</title><meta a=b><body><p>{TEXT}</p>", TEXT),
+        (f"<head><title>t</title><link rel=x><p>{TEXT}</p>", TEXT),
+        (f"<head><style>p {{}}</style>{TEXT}", TEXT),
+        (f"<div><p>{TEXT}</p></div><aside>{CARD}{CARD}</aside>", TEXT),
+        (f"<div><p>{TEXT}</p></div><div class='related'><div>{CARD}</div>{CARD}</div>", TEXT),
+        (f"<article><p>{TEXT}</p></article><aside>{CARD}</aside>", TEXT),
+        # What is not closed is no region, and cards are all that a page may have.
+        (f"<div><div class='ad'><article><p>{TEXT}</p></article></div><p>{TEXT} Outside.</p>", TEXT),
+        (f"<aside><article><p>{TEXT}</p></article></aside>", TEXT),
+        (f"<aside>{CARD}<main><p>{TEXT}</p></main></aside>", TEXT),
+    ],
+)
+def test_open_heads_and_cards(page, text):
+    assert main_text(page) == text
