@@ -13,8 +13,6 @@ from photocat.session import (  # noqa: E402
     build_session,
 )
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -33,9 +31,3 @@ def tiny_limits(spark):
     yield
     for key, _ in values:
         spark.conf.unset(key)
-
-
-def rows(df, *columns):
-    """Rows as sorted tuples."""
-    found = [tuple(r) for r in df.select(*(columns or df.columns)).collect()]
-    return sorted(found, key=lambda r: tuple((v is not None, v) for v in r))

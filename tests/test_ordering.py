@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from photocat.operators import assets, ordering, selection, stats, views

@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import SF
+from support import SF
 
 from checks.compare import TABLES, compare
 from checks.queries import QUERIES, SQL

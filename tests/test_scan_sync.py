@@ -1,7 +1,7 @@
 """Scanning, diffing and syncing on hand-written rows."""
 
 import pytest
-from conftest import rows
+from support import rows
 
 from photocat.operators import scan as S
 from photocat.operators import sync as Y

@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 from test_scan_sync import index
 

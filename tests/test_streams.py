@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import rows
+from support import rows
 from test_scan_sync import index
 
 from photocat import streaming
