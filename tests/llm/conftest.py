@@ -7,7 +7,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 from photocat.session import build_session  # noqa: E402
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 

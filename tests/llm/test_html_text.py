@@ -59,7 +59,7 @@ def test_rows(spark):
 
 def test_given_pages(spark):
     """Against a plain reading of the given pages, whose articles hold h1, p, b and br only."""
-    from conftest import SF
+    from llm_support import SF
 
     for r in extract(spark.read.parquet(f"{SF}/pages.parquet")).collect():
         inner = re.search("<article>(.*?)</article>", r.html, re.S).group(1)

@@ -65,7 +65,7 @@ def test_odd_rows(odd_docs, no_docs):
 
 
 def test_held_out_accuracy(spark):
-    from conftest import SF
+    from llm_support import SF
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = L.fit(docs, teach=~L.held_out("doc_id"))

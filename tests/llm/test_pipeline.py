@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import SF
+from llm_support import SF
 from test_mixing import tree_budgets
 from test_ngram_join import brute as similar
 
