@@ -10,6 +10,7 @@ from photocat.llm import (
     hilbert_sharding,
     html_text,
     language_id,
+    learned_rules,
     multi_index,
     ngram_join,
     piece_lattice,
@@ -105,6 +106,12 @@ def op10_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.text_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_learned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = learned_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select(*base, "base_failed", "kept")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -118,6 +125,7 @@ QUERIES = {
         op8_hierarchical_language_id,
         op9_heavy_light_jaccard,
         op10_block_naming_dedup,
+        op11_learned_rules,
     )
 }
 
