@@ -15,6 +15,7 @@ from photocat.llm import (
     ngram_join,
     piece_lattice,
     preference_pairs,
+    prefix_trie,
     source_mixing,
     warc_archive,
 )
@@ -112,6 +113,12 @@ def op11_learned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*base, "base_failed", "kept")
 
 
+def op13_lcp_range_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.sequences(read_table(spark, sf_dir, "conversations"))
+    nodes = prefix_trie.trie(prefix_trie.with_shared_heads(convs))
+    return nodes.drop("first_row", "last_row")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -126,6 +133,7 @@ QUERIES = {
         op9_heavy_light_jaccard,
         op10_block_naming_dedup,
         op11_learned_rules,
+        op13_lcp_range_trie,
     )
 }
 
@@ -215,7 +223,55 @@ PAIR_SQL = """
                                ',' ORDER BY pos) FILTER (pos > n_common AND role = 'assistant'), '') AS rejected_spans
     FROM placed GROUP BY conv_id"""
 
+TRIE_SQL = """
+    WITH keyed AS (
+        SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS words,
+               sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), own AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos FROM keyed
+    ), ids AS (
+        SELECT conv_id, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT) AS codes
+        FROM (SELECT DISTINCT conv_id FROM own)
+    ), heads AS (
+        SELECT conv_id, xor(list_reduce([4294967295] || codes, lambda crc, code:
+                   list_reduce([xor(crc, code), 0, 0, 0, 0, 0, 0, 0, 0],
+                               lambda c, z: xor(c >> 1, (c & 1) * 3988292384))), 4294967295) % 4 AS h
+        FROM ids
+    ), built AS (
+        SELECT heads.conv_id, pos, k, words FROM heads JOIN own ON own.conv_id = heads.conv_id - heads.conv_id % 20 AND pos <= h
+        UNION ALL SELECT conv_id, pos, k, words FROM heads JOIN own USING (conv_id) WHERE pos > h
+    ), placed AS (
+        SELECT conv_id, k, words, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth FROM built
+    ), chain AS (
+        SELECT conv_id, depth, words,
+               string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS path
+        FROM placed UNION ALL SELECT conv_id, 0, 0, '' FROM heads
+    ), node AS (
+        SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM chain GROUP BY ALL
+    ), kids AS (
+        SELECT depth - 1 AS depth, left(path, (depth - 1) * 64) AS path, count(*) AS n_children FROM node WHERE depth > 0
+        GROUP BY ALL
+    ), full_node AS (
+        SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (depth, path)
+    ), above AS (
+        SELECT n_convs, words, n_children, path AS whole, unnest(range(0, depth + 1)) AS depth FROM full_node
+    ), sub AS (
+        SELECT depth, left(whole, depth * 64) AS path, sum((n_convs - 1) * words) AS saved_tokens,
+               count(CASE WHEN n_children = 0 THEN 1 END) AS n_leaves
+        FROM above GROUP BY ALL
+    ), ends AS (
+        SELECT depth, path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+        FROM chain JOIN (SELECT conv_id, max(depth) AS depth FROM chain GROUP BY conv_id) USING (conv_id, depth)
+        GROUP BY ALL
+    )
+    SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children::BIGINT AS n_children,
+           n_leaves, saved_tokens::BIGINT AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+    FROM full_node n JOIN sub USING (depth, path) LEFT JOIN ends USING (depth, path)
+    LEFT JOIN node up ON n.depth > 0 AND up.depth = n.depth - 1 AND up.path = left(n.path, (n.depth - 1) * 64)"""
+
 SQL = {
+    "op13_lcp_range_trie": TRIE_SQL,
     "op2_preference_format": PAIR_SQL,
     "op4_hierarchical_mixing": MIX_SQL,
     "op7_content_addressed_warc": f"""
