@@ -17,6 +17,7 @@ from photocat.llm import (
     preference_pairs,
     prefix_trie,
     source_mixing,
+    token_alignment,
     warc_archive,
 )
 from photocat.llm.common import Scratch, read_table
@@ -24,6 +25,7 @@ from photocat.llm.common import Scratch, read_table
 SHARDS = 24
 # The vocabulary file; any SentencePiece model does.
 PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+BYTE_LEVEL = os.environ.get("BYTE_LEVEL_MODEL", "/opt/tokenizers/byte_bpe_50k.json")
 MIX = {"domain": {"src0": 4, "src1": 2}, "lang": {"en": 3, "de": 2}}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 2, 7
 
@@ -113,6 +115,12 @@ def op11_learned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*base, "base_failed", "kept")
 
 
+def op12_identity_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    documents, _ = token_alignment.align(docs, BYTE_LEVEL, PIECES, columns=["doc_id"])
+    return documents
+
+
 def op13_lcp_range_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = prefix_trie.sequences(read_table(spark, sf_dir, "conversations"))
     nodes = prefix_trie.trie(prefix_trie.with_shared_heads(convs))
@@ -133,6 +141,7 @@ QUERIES = {
         op9_heavy_light_jaccard,
         op10_block_naming_dedup,
         op11_learned_rules,
+        op12_identity_alignment,
         op13_lcp_range_trie,
     )
 }
