@@ -1189,10 +1189,10 @@ def _(fx):
 # --- streams -------------------------------------------------------------------------
 
 
-def _replay(fx, frame, schema=None):
+def _replay(fx, frame, order="event_id"):
     """A stream over the rows of ``frame``, written as several files first."""
     logs = new_path(fx.spark, "log")
-    frame.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(logs)
+    frame.repartitionByRange(4, order).sortWithinPartitions(order).write.parquet(logs)
     return fx.spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 2).parquet(logs)
 
 
@@ -1250,9 +1250,9 @@ def _(fx):
        FROM judged WHERE fresh GROUP BY job, id""",
 )
 def _(fx):
-    state = new_path(fx.spark, "state")
-    _drain(streaming.stream_ingest_state(_replay(fx, ingest_log(fx)), state))
-    return streaming.ingest_state(fx.spark, state)
+    # In no order: results come before their start, and starts after those of later generations.
+    log = _replay(fx, ingest_log(fx), F.md5(F.concat_ws("-", "event_id", "kind")))
+    return streaming.latest_states(_updates(fx, streaming.stream_ingest_state(log)))
 
 
 @query(
@@ -1272,9 +1272,8 @@ def _(fx):
     ),
 )
 def _(fx):
-    state, photos = new_path(fx.spark, "state"), stage(fx.photos, "photos")
-    _drain(streaming.stream_tally(_replay(fx, fx.label_events), photos, state))
-    return streaming.tally_now(photos, state)
+    photos = stage(fx.photos, "photos")
+    return streaming.tally_now(photos, _updates(fx, streaming.stream_tally(_replay(fx, fx.label_events), photos)))
 
 
 @query("stream_sync_two", "SELECT root, rel_path, mtime_ns, size, jpeg_rel_path FROM scan_all")

@@ -1,15 +1,11 @@
 """Streaming twins of the batch operators."""
 
-from photocat.streaming.folds import (
+from photocat.streaming.arrivals import stream_sync
+from photocat.streaming.folds import stream_current_labels, stream_ingest_rate, stream_progress
+from photocat.streaming.keyed import (
+    latest_states,
     stream_batch_finished,
-    stream_current_labels,
-    stream_ingest_rate,
-    stream_progress,
-)
-from photocat.streaming.stateful import (
-    ingest_state,
     stream_ingest_state,
-    stream_sync,
     stream_tally,
     tally_now,
 )
@@ -19,7 +15,7 @@ __all__ = [
     "stream_current_labels",
     "stream_ingest_rate",
     "stream_progress",
-    "ingest_state",
+    "latest_states",
     "stream_ingest_state",
     "stream_sync",
     "stream_tally",

@@ -1,15 +1,11 @@
-"""Streams folded by Spark's own keyed state.
+"""Streams folded by Spark's built-in streaming aggregation.
 
 Rows are combined before the shuffle, so one hot photo or job does not load
 one task with all its events.
 """
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-STARTED = "Started"
 
 
 def stream_current_labels(label_events: DataFrame) -> DataFrame:
@@ -23,42 +19,6 @@ def stream_progress(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("job").agg(F.max("done").alias("done"))
 
 
-def stream_batch_finished(log: DataFrame) -> DataFrame:
-    """Batches whose last result arrived, each once; use update mode.
-
-    ``log`` carries ingest events and the ``Started`` rows with ``enqueued``, in any
-    order.  Processed and stale results both count.  State is kept per batch, so one
-    job's batches spread over the tasks.  Of a finished batch only that it finished is
-    kept, so a start that is delivered again changes nothing.
-    """
-    started = STARTED
-
-    def fold(key, batches, state):
-        done, enqueued, finished = state.get if state.exists else (0, None, False)
-        for pdf in batches:
-            starts = pdf["kind"] == started
-            done += int((~starts).sum())
-            announced = pdf.loc[starts, "enqueued"].dropna()
-            if len(announced):
-                enqueued = int(announced.max())
-        if enqueued is not None and done >= enqueued and not finished:
-            finished = True
-            yield pd.DataFrame([(*key, done, enqueued)], columns=["job", "generation", "done", "enqueued"])
-        state.update((0, None, True) if finished else (done, enqueued, False))
-
-    return (
-        log.select("job", "generation", "kind", "enqueued")
-        .groupBy("job", "generation")
-        .applyInPandasWithState(
-            fold,
-            "job string, generation bigint, done bigint, enqueued bigint",
-            "done bigint, enqueued bigint, finished boolean",
-            "update",
-            GroupStateTimeout.NoTimeout,
-        )
-    )
-
-
 def stream_ingest_rate(
     events: DataFrame, delay: str = "10 minutes", width: str = "1 minute"
 ) -> DataFrame:
