@@ -14,6 +14,7 @@ from photocat.functions import paths as P
 from photocat.operators import assets, edits, export, scan, selection, stats, sync, views
 from photocat.operators.ingest import ingest_job
 from photocat.operators.ordering import rank_rows
+from photocat.plans import publish
 from photocat.plans.cull import culled_view, edited_photos, planned_export
 from photocat.plans.rescan import rescan_summary, sync_roots
 from photocat.schema import PHOTOS_SCHEMA
@@ -400,6 +401,30 @@ def _(fx):
     return one.join(two, "id")
 
 
+@query(
+    "publish_labels",
+    """SELECT id, root, CAST(CASE WHEN id IN (SELECT id FROM selection) THEN 3 ELSE label END AS int) AS label,
+         rel_path, status FROM photos""",
+)
+def _(fx):
+    store = new_path(fx.spark, "index")
+    write_index(fx.photos, store)
+    publish.publish_labels(fx.spark, store, fx.selection, 3)
+    return read_index(fx.spark, store).select("id", "root", "label", "rel_path", "status")
+
+
+@query(
+    "publish_rotations",
+    """SELECT id, root, CAST(CASE WHEN id % 3 = 0 THEN (rot_cw + 3) % 4 ELSE rot_cw END AS int) AS rot_cw FROM photos""",
+)
+def _(fx):
+    store = new_path(fx.spark, "index")
+    write_index(fx.photos, store)
+    by = fx.photos.where("id % 3 = 0").selectExpr("id", "-1 AS delta")
+    publish.publish_rotations(fx.spark, store, by, delta="delta")
+    return read_index(fx.spark, store).select("id", "root", "rot_cw")
+
+
 def ingest_results(fx):
     clean = E.normalize_exif(fx.exif_raw, "id")
     text = F.col("id").cast("string")
@@ -438,6 +463,28 @@ def _(fx):
     return sync.record_ingest(fx.photos, ingest_results(fx))
 
 
+@query(
+    "publish_ingest",
+    "SELECT p.id, p.root, p.rel_path, p.mtime_ns, p.size, p.rot_cw, p.label, p.jpeg_rel_path, "
+    + ", ".join(
+        f"CASE WHEN k.id IS NULL THEN p.{c} ELSE k.{c} END AS {c}"
+        for c in (
+            "width height orientation camera lens taken_at shutter aperture iso focal_mm "
+            "preview_path thumb_path ingested_at"
+        ).split()
+    )
+    + """, CAST(CASE WHEN b.id IS NOT NULL THEN 2 WHEN k.id IS NOT NULL THEN 1 ELSE p.status END AS int) AS status,
+      CASE WHEN b.id IS NOT NULL THEN substring(b.err_msg, 1, 400) ELSE p.err_msg END AS err_msg
+      FROM photos p LEFT JOIN (SELECT * FROM results WHERE kind = 'ok') k ON p.id = k.id
+      LEFT JOIN (SELECT * FROM results WHERE kind = 'error') b ON p.id = b.id""",
+)
+def _(fx):
+    store = new_path(fx.spark, "index")
+    write_index(fx.photos, store)
+    publish.publish_ingest(fx.spark, store, ingest_results(fx))
+    return read_index(fx.spark, store)
+
+
 @query(
     "with_taken_at",
     "SELECT e.id, e.root, e.rel_path, x.taken_at FROM live e LEFT JOIN exif x ON e.id = x.id",

@@ -40,7 +40,7 @@ def sync_store(
     batch_id: int | None = None,
     stream: str = "",
 ) -> int:
-    """Syncs the scanned roots of a stored index and publishes the new version.
+    """Syncs the scanned roots of a stored index and publishes what changed.
 
     Only the scanned roots are read and only those with a change are written,
     however large the rest of the index is.

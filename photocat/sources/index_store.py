@@ -1,32 +1,23 @@
-"""Versioned index snapshots on any file system Spark can write.
+"""The index as an ordinary Parquet table, partitioned by root.
 
-``photos/data=D/root=R`` holds rows of root R as one publication D wrote them;
-``versions/version=N`` names, for every root of snapshot N, the publication that
-holds it.  A sync of one card therefore writes that card only, and the other
-roots stay where they are.
+``photos/root=R`` holds the rows of root R.  A sync or an edit replaces the partitions of the roots
+that it changes, by Spark's dynamic partition overwrite, and leaves the others alone; anything
+that reads Parquet reads the table.  ``published`` beside it gets one row per publication:
+which batch of which stream it was, and the highest id so far.
 
-A publication has a folder of its own, so two writers never write into each other's
-data; the manifest of a version is written once, and the second writer of the same
-version fails.
+One writer at a time.  Frames over partitions that were replaced since must be read anew.
 """
 
-import uuid
-
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from photocat.operators.sync import upgrade_index
 from photocat.schema import PHOTOS_SCHEMA, SCHEMA_VERSION
-from photocat.session import as_small
+from photocat.session import as_small, stage
 
-_MANIFEST = (
-    "schema_version int, stream string, batch_id bigint, highest_id bigint, "
-    "root string, data string, version bigint"
-)
-# More folders than this are pruned by a join instead of a list of names.
-MAX_LISTED_FOLDERS = 1000
+_PUBLISHED = "number int, schema_version int, stream string, batch_id bigint, highest_id bigint"
 
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -39,25 +30,25 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def _manifests(spark: SparkSession, store: str) -> DataFrame:
-    return _read(spark, f"{store}/versions", _MANIFEST)
-
-
-def _newest(spark: SparkSession, store: str) -> int:
-    """The newest published version, 0 before the first."""
-    return _manifests(spark, store).agg(F.coalesce(F.max("version"), F.lit(0))).head()[0]
+def publications(spark: SparkSession, store: str) -> DataFrame:
+    """One row per publication: number, schema_version, stream, batch_id, highest_id."""
+    return _read(spark, f"{store}/published", _PUBLISHED)
 
 
-def _published_row(spark, store, version):
-    """What a version says about itself: its manifest row without a root."""
-    rows = _manifests(spark, store).where((F.col("version") == version) & F.col("root").isNull())
-    return rows.head()
+def _known(spark: SparkSession, store: str, stream: str, batch_id: int | None):
+    """(last number, highest id, newest schema version, number of this batch)."""
+    mine = (F.col("batch_id") == batch_id) & (F.col("stream") == stream)
+    return publications(spark, store).agg(
+        F.coalesce(F.max("number"), F.lit(0)).alias("last"),
+        F.coalesce(F.max("highest_id"), F.lit(0)).alias("highest_id"),
+        F.max("schema_version").alias("schema_version"),
+        F.max(F.when(mine, F.col("number"))).alias("done"),
+    ).head()
 
 
 def highest_id(spark: SparkSession, store: str) -> int:
-    """The highest id that any published snapshot knew, without reading a snapshot."""
-    version = _newest(spark, store)
-    return (_published_row(spark, store, version).highest_id or 0) if version else 0
+    """The highest id that was ever published, without reading the index."""
+    return _known(spark, store, "", None).highest_id
 
 
 def write_index(
@@ -67,83 +58,54 @@ def write_index(
     changed_roots: DataFrame | None = None,
     stream: str = "",
 ) -> int:
-    """Publishes a snapshot and returns its version.
-
-    With ``changed_roots(root)`` only those roots are written and every other
-    root keeps the rows of the version before; ``photos`` may then leave the
-    others out.  The manifest is written last and in one commit, so readers see
-    the old or the new snapshot and nothing between.  With ``batch_id`` a
-    repeated batch of the same ``stream`` publishes nothing and returns the version it
-    already has.  Rows without a root are refused.  If another writer publishes
-    the same version first, this one fails and can be repeated.
+    """Publishes rows and returns the number of the publication.
+
+    With ``changed_roots(root)`` only those roots are replaced, by their rows in ``photos``; a root
+    without rows there keeps what it has.  Otherwise ``photos`` becomes the whole index.  With
+    ``batch_id`` a repeated batch of the same ``stream`` writes nothing and returns the number it
+    has.  If a writer is lost between the rows and their entry in ``published``, the batch runs again and
+    replaces the same partitions.  Rows without a root are refused.
     """
     spark = photos.sparkSession
-    if batch_id is not None:
-        mine = (F.col("batch_id") == batch_id) & (F.col("stream") == stream)
-        done = _manifests(spark, store).where(mine).agg(F.max("version")).head()[0]
-        if done is not None:
-            return done
-    before = _newest(spark, store)
-    version = before + 1
+    known = _known(spark, store, stream, batch_id)
+    if known.done is not None:
+        return known.done
     rows = photos.select(*PHOTOS_SCHEMA.names)
-    kept = _manifests(spark, store).where((F.col("version") == before) & F.col("root").isNotNull())
-    kept = kept.select("root", "data")
     if changed_roots is None:
-        kept = kept.limit(0)
+        # The table may be what ``photos`` is read from, and is emptied first.
+        rows = stage(rows, "index") if known.last else rows
     else:
         changed = changed_roots.select("root").distinct()
-        changed = as_small(changed) or changed
-        rows = rows.join(changed, "root", "left_semi")
-        kept = kept.join(changed, "root", "left_anti")
+        rows = rows.join(as_small(changed) or changed, "root", "left_semi")
+    nowhere = F.coalesce(F.col("root"), F.lit("")) == ""
+    rooted = F.when(nowhere, F.raise_error(F.lit("a photo without a root"))).otherwise(F.col("root"))
+    seen = Observation()
     # The rebalance hint lets Spark split a huge root over many writers and
     # merge small roots into few, by the sizes it sees at run time.
-    data = uuid.uuid4().hex
-    folder = f"{store}/photos/data={data}"
-    rooted = F.when(F.col("root").isNull(), F.raise_error(F.lit("a photo without a root")))
-    rows = rows.withColumn("root", rooted.otherwise(F.col("root")))
-    rows.hint("rebalance", "root").write.partitionBy("root").parquet(folder)
-    written = _read(spark, folder, PHOTOS_SCHEMA)
-    held = kept.unionByName(written.select("root").distinct().withColumn("data", F.lit(data)))
-    # Ids of roots that were not written are covered by the version before.
-    top = written.agg(F.coalesce(F.max("id"), F.lit(0))).head()[0]
-    if before:
-        top = max(top, _published_row(spark, store, before).highest_id or 0)
-    # A row without a root publishes the version itself, also when it is empty.
-    marker = spark.createDataFrame([(None, None)], "root string, data string")
-    held.unionByName(marker).select(
-        F.lit(SCHEMA_VERSION).alias("schema_version"),
-        F.lit(stream).alias("stream"),
-        F.lit(batch_id).cast("bigint").alias("batch_id"),
-        F.lit(top).cast("bigint").alias("highest_id"),
-        "root",
-        "data",
-    ).write.mode("error").parquet(f"{store}/versions/version={version}")
-    return version
-
-
-def read_index(spark: SparkSession, store: str, version: int | None = None) -> DataFrame:
-    """The current snapshot, or an older version; empty before the first one."""
-    number = _newest(spark, store) if version is None else version
-    about = _published_row(spark, store, number)
-    if about is None:
-        if version is not None:
-            raise ValueError(f"no version {version} in {store}")
-        return spark.createDataFrame([], PHOTOS_SCHEMA)
-    layout = T.StructType([*PHOTOS_SCHEMA, T.StructField("data", T.StringType())])
-    rows = _read(spark, f"{store}/photos", layout)
-    held = _manifests(spark, store).where((F.col("version") == number) & F.col("root").isNotNull())
-    held = held.select("root", "data")
-    # Over partition columns only, so folders are pruned before any task runs:
-    # few by name, many by the filter that the join derives at run time.
-    few = held.limit(MAX_LISTED_FOLDERS + 1).collect()
-    if len(few) <= MAX_LISTED_FOLDERS:
-        rows = rows.where(F.concat_ws("/", "data", "root").isin([f"{r.data}/{r.root}" for r in few]))
-    else:
-        rows = rows.join(held, ["root", "data"], "left_semi")
-    return upgrade_index(rows, about.schema_version)
+    (
+        rows.withColumn("root", rooted)
+        .observe(seen, F.max("id").alias("top"))
+        .hint("rebalance", "root")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static" if changed_roots is None else "dynamic")
+        .partitionBy("root")
+        .parquet(f"{store}/photos")
+    )
+    entry = (known.last + 1, SCHEMA_VERSION, stream, batch_id, max(known.highest_id, _observed(seen)))
+    spark.createDataFrame([entry], _PUBLISHED).coalesce(1).write.mode("append").parquet(f"{store}/published")
+    return entry[0]
+
+
+def _observed(seen: Observation) -> int:
+    try:
+        return seen.get["top"] or 0
+    except Py4JJavaError:  # Spark found the plan to be empty and dropped the observed step
+        return 0
 
 
-def versions(spark: SparkSession, store: str) -> DataFrame:
-    """One row per published version: version, schema_version, stream, batch_id."""
-    about = _manifests(spark, store).where(F.col("root").isNull())
-    return about.select("version", "schema_version", "stream", "batch_id")
+def read_index(spark: SparkSession, store: str) -> DataFrame:
+    """The index as it is now; empty before the first publication."""
+    known = _known(spark, store, "", None)
+    rows = _read(spark, f"{store}/photos", PHOTOS_SCHEMA)
+    # Partitions of an older schema lack columns, which read as null and get their defaults.
+    return upgrade_index(rows, known.schema_version or SCHEMA_VERSION)

@@ -10,6 +10,7 @@ from test_scan_sync import index
 from photocat.operators.ingest import NO_PREVIEW, ingest_job
 from photocat.operators.scan import scan
 from photocat.operators.views import pending_queue
+from photocat.plans import publish
 from photocat.plans.rescan import ingest_pending, sync_store
 from photocat.sources import index_store
 from photocat.sources.listing import asset_listing, delete_assets, photo_listing
@@ -84,19 +85,42 @@ def test_listing_is_spread_over_tasks(spark, tmp_path):
         assert listing.count() == 200 and used >= 5
 
 
-def test_index_store_versions(spark, tmp_path):
+def test_index_store_publications(spark, tmp_path):
     store = str(tmp_path / "store")
-    assert index_store.read_index(spark, store).count() == 0
-    first = index(spark, {"id": 1, "rel_path": "a.nef", "root": "/a b/c=1"}, {"id": 2, "rel_path": "b.nef", "root": "/r"})
+    assert index_store.read_index(spark, store).count() == 0 and index_store.highest_id(spark, store) == 0
+    first = index(spark, {"id": 5, "rel_path": "a.nef", "root": "/a b/c=1"}, {"id": 2, "rel_path": "b.nef", "root": "/r"})
     second = index(spark, {"id": 1, "rel_path": "a.nef", "root": "/a b/c=1", "label": 4})
     assert index_store.write_index(first, store) == 1
     assert rows(index_store.read_index(spark, store)) == rows(first)
     assert index_store.write_index(second, store, batch_id=7) == 2
+    # A repeated batch writes nothing; the same number of another stream is another batch.
     assert index_store.write_index(first, store, batch_id=7) == 2
     assert rows(index_store.read_index(spark, store)) == rows(second)
-    assert rows(index_store.read_index(spark, store, version=1)) == rows(first)
-    with pytest.raises(ValueError):
-        index_store.read_index(spark, store, version=9)
+    assert index_store.highest_id(spark, store) == 5
+    assert index_store.write_index(first, store, batch_id=7, stream="other") == 3
+    # The whole index may be replaced from itself.
+    index_store.write_index(index_store.read_index(spark, store).where("id = 5"), store)
+    assert [r.id for r in index_store.read_index(spark, store).collect()] == [5]
+    for nowhere in (None, ""):
+        with pytest.raises(Exception, match="without a root"):
+            index_store.write_index(index(spark, {"id": 1, "rel_path": "a.nef", "root": nowhere}), str(tmp_path / "none"))
+
+
+def test_partitions_of_an_older_schema_get_defaults(spark, tmp_path):
+    store = str(tmp_path / "store")
+    old = index(spark, {"id": 1, "rel_path": "a.nef", "root": "/r"}).drop("rot_cw", "jpeg_rel_path")
+    old.write.partitionBy("root").parquet(f"{store}/photos")
+    index_store.write_index(index(spark, {"id": 2, "rel_path": "b.nef", "root": "/s"}), store, changed_roots=roots_of(spark, "/s"))
+    assert rows(index_store.read_index(spark, store), "id", "rot_cw", "jpeg_rel_path") == [(1, 0, None), (2, 0, None)]
+
+
+def roots_of(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "root string")
+
+
+def files_of(store):
+    """Data files by root, with their times of writing."""
+    return {p.name: sorted((f.name, f.stat().st_mtime_ns) for f in p.glob("*.parquet")) for p in (store / "photos").glob("root=*")}
 
 
 def test_index_store_writes_changed_roots_only(spark, tmp_path):
@@ -110,22 +134,18 @@ def test_index_store_writes_changed_roots_only(spark, tmp_path):
         "root string, rel_path string, mtime_ns bigint, size bigint",
     )
     roots = spark.createDataFrame([("/r", True), ("/s", True)], "root string, recursive boolean")
+    before = files_of(tmp_path / "store")
     assert sync_store(files, store, roots) == 2
-    assert sorted(
-        sorted(p.name for p in data.iterdir() if p.is_dir())
-        for data in (tmp_path / "store" / "photos").iterdir()
-        if data.is_dir()
-    ).count(["root=%2Fs"]) == 1
+    after = files_of(tmp_path / "store")
+    assert {r for r in after if after[r] != before[r]} == {"root=%2Fs"}
     now = index_store.read_index(spark, store)
     assert rows(now, "id", "root", "rel_path") == [(1, "/r", "a.nef"), (2, "/s", "b.nef"), (3, "/t", "c.nef"), (4, "/s", "new.nef")]
-    assert sync_store(files, store, roots) == 3
-    assert rows(index_store.read_index(spark, store)) == rows(now)
+    assert sync_store(files, store, roots) == 3 and files_of(tmp_path / "store") == after
     # An emptied root stays, with its rows missing; nothing else is rewritten.
     gone = spark.createDataFrame([("/t", True)], "root string, recursive boolean")
     sync_store(files.limit(0), store, gone)
     after = index_store.read_index(spark, store)
     assert rows(after, "id", "status") == [(1, 0), (2, 0), (3, 3), (4, 0)]
-    assert rows(index_store.read_index(spark, store, version=2)) == rows(now)
 
 
 def test_index_reader_prunes_roots_and_columns(spark, tmp_path):
@@ -134,7 +154,7 @@ def test_index_reader_prunes_roots_and_columns(spark, tmp_path):
     df = index_store.read_index(spark, store).where("root = '/s' AND status = 0").select("id")
     plan = df._jdf.queryExecution().executedPlan().toString()
     partition_filters = plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
-    assert "isnotnull(root" in partition_filters and "concat_ws" in partition_filters
+    assert "isnotnull(root" in partition_filters and "= /s" in partition_filters
     assert "ReadSchema: struct<id:bigint,status:int>" in plan
     assert [r.id for r in df.collect()] == [2]
 
@@ -173,3 +193,48 @@ def test_ingest_job_isolates_rows(spark):
     after = ingest_pending(photos, *extractor())
     assert dict(rows(after, "id", "status")) == {1: 1, 2: 2, 3: 2, 4: 1, 5: 1, 6: 2, 9: 1}
     assert pending_queue(after).isEmpty()
+
+
+def test_edits_are_published_into_their_roots_only(spark, tmp_path):
+    store = str(tmp_path / "store")
+    index_store.write_index(
+        index(
+            spark, {"id": 1, "rel_path": "a.nef", "label": 2}, {"id": 2, "rel_path": "b.nef", "root": "/s", "rot_cw": 3},
+            {"id": 3, "rel_path": "c.nef", "root": "/t"}, {"id": 4, "rel_path": "d.nef", "root": "/t"},
+        ),
+        store,
+    )
+
+    def now(*columns):
+        return rows(index_store.read_index(spark, store), "id", *columns)
+
+    def written(call):
+        before = files_of(tmp_path / "store")
+        number = call()
+        after = files_of(tmp_path / "store")
+        return number, sorted(r for r in after if after[r] != before[r])
+
+    ids = spark.createDataFrame([(1,), (3,), (99,)], "id bigint")
+    # Photo 1 has the label, so its root is left alone.
+    assert written(lambda: publish.publish_labels(spark, store, ids, 2)) == (2, ["root=%2Ft"])
+    assert now("label") == [(1, 2), (2, 0), (3, 2), (4, 0)]
+    assert written(lambda: publish.publish_labels(spark, store, ids, 2)) == (None, [])
+    turns = spark.createDataFrame([(2, 2), (98, 1)], "id bigint, by int")
+    call = lambda: publish.publish_rotations(spark, store, turns, delta="by", batch_id=1, stream="turns")
+    assert written(call) == (3, ["root=%2Fs"])
+    assert written(call) == (3, [])
+    assert now("rot_cw") == [(1, 0), (2, 1), (3, 0), (4, 0)]
+
+    def read_header(root, rel_path):
+        if rel_path == "d.nef":
+            raise ValueError("no header")
+        return {"make": "Acme", "model": "One"}
+
+    before = now("status")
+    assert [s for _, s in before] == [0, 0, 0, 0]
+    number, _ = written(lambda: publish.ingest_store(spark, store, read_header, [lambda root, path: (6, 4)]))
+    assert number == 4
+    assert now("status", "camera", "err_msg", "label") == [
+        (1, 1, "Acme One", None, 2), (2, 1, "Acme One", None, 0), (3, 1, "Acme One", None, 2), (4, 2, None, "no header", 0),
+    ]
+    assert written(lambda: publish.ingest_store(spark, store, read_header, [])) == (None, [])

@@ -12,7 +12,7 @@ from photocat import streaming
 from photocat.operators import edits, stats
 from photocat.schema import INGEST_EVENT_SCHEMA, LABEL_EVENT_SCHEMA
 from photocat.sources.events import ingest_event_source, label_event_source
-from photocat.sources.index_store import read_index, versions
+from photocat.sources.index_store import publications, read_index
 
 START = dt.datetime(2024, 1, 1)
 
@@ -209,4 +209,4 @@ def test_sync_of_arriving_snapshots(spark, tmp_path):
         (1, "/r", "a.nef", 2, 0, "a.jpg"), (2, "/r", "b.nef", 1, 3, None), (3, "/s", "x.nef", 1, 3, None),
         (4, "/r", "c.nef", 1, 0, None),
     ]
-    assert sorted(v.batch_id for v in versions(spark, store).collect()) == [0, 1, 2]
+    assert sorted(v.batch_id for v in publications(spark, store).collect()) == [0, 1, 2]
