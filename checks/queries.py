@@ -21,7 +21,7 @@ from photocat.schema import PHOTOS_SCHEMA
 from photocat.session import new_path, scoped_setting, stage
 from photocat.sources import events as event_sources
 from photocat.sources.index_store import read_index, write_index
-from photocat.sources.listing import asset_listing, photo_listing
+from photocat.sources.listing import asset_listing, delete_assets, photo_listing
 from photocat import streaming
 
 QUERIES, SQL, ON_FIXTURES = {}, {}, {}
@@ -525,6 +525,24 @@ def _(fx):
     return assets.cache_gc(fx.cache_files, keep).select("hash", "id", "kind", "bytes")
 
 
+@query(
+    "delete_assets",
+    """SELECT kind, hash, (SELECT count(*) FROM cache_files WHERE hash NOT IN
+           (SELECT hash FROM cache_files WHERE keep = 1)) AS n_removed
+       FROM cache_files WHERE hash IN (SELECT hash FROM cache_files WHERE keep = 1)""",
+)
+def _(fx):
+    """Lists a cache, deletes what nobody keeps, and lists it again."""
+    folder = new_folder(fx.spark, "cache")
+    path = F.concat(F.lit(f"{folder}/"), "kind", F.lit("s/"), "hash", F.lit(".jpg"))
+    put_files(
+        fx.cache_files.select(path.alias("path"), F.col("bytes").alias("size"), F.col("last_used").alias("mtime_ns"))
+    )
+    doomed = assets.cache_gc(asset_listing(fx.spark, folder), fx.cache_files.where("keep = 1"))
+    removed = stage(delete_assets(doomed, folder), "removed").where("removed").count()
+    return asset_listing(fx.spark, folder).select("kind", "hash", F.lit(removed).cast("bigint").alias("n_removed"))
+
+
 @query(
     "retain_assets",
     "SELECT id, kind, bytes FROM cache_files WHERE id IN (SELECT id FROM selection)",

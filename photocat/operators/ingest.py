@@ -67,6 +67,7 @@ def ingest_job(
     stages: list,
     tasks: int | None = None,
     clock=time.time,
+    order: list | None = None,
 ) -> DataFrame:
     """Extracts every pending photo; one result row each, for ``record_ingest``.
 
@@ -75,13 +76,19 @@ def ingest_job(
     wins and a failing stage is skipped.  A file that raises, or that no stage
     can read, becomes an error row and the job goes on.  Headers are
     normalised by built-in expressions afterwards.
+
+    The queue is dealt in ``order``: each task has a run of it, and Spark starts low tasks
+    first.  Without ``order`` that is ``priority_pos`` of ``prioritize`` where the queue has it, and
+    else the order of ``pending_queue``.
     """
     spark = pending.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    files = pending.select("id", "root", "rel_path", "mtime_ns", "size")
-    raw = files.repartition(tasks, "id").mapInPandas(
-        _runner(read_header, stages, clock), _JOB_SCHEMA
-    )
+    if order is None:
+        order = ["priority_pos", "root", "rel_path"] if "priority_pos" in pending.columns else ["root", "rel_path"]
+    # The id breaks ties, so that equal positions are spread as well.
+    queue = pending.repartitionByRange(tasks, *order, "id").sortWithinPartitions(*order, "id")
+    files = queue.select("id", "root", "rel_path", "mtime_ns", "size")
+    raw = files.mapInPandas(_runner(read_header, stages, clock), _JOB_SCHEMA)
     keep = ["id", "failure", "ingested_at", "_hash"]
     hashed = raw.withColumn("_hash", P.asset_hash("root", "rel_path", "mtime_ns", "size"))
     clean = normalize_exif(hashed, *keep)

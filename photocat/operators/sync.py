@@ -150,14 +150,17 @@ def stage_changes(diff: DataFrame) -> DataFrame:
         return stage(changes, "changes")
 
 
-def apply_sync(diff: DataFrame) -> DataFrame:
+def apply_sync(diff: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """The next snapshot of the index, from a ``scan_diff`` of all of it.
 
+    With the ``index`` itself the diff is evaluated once; else kept rows come from it again.
+
     Reset rows return to pending with cleared ingest columns but keep id, label
     and rotation; reattached rows change only their pairing; missing rows only
     their status.  New rows get ids above the highest known one, in path order.
     """
-    index = diff.where("action <> 'insert'").select(*PHOTO_COLUMNS)
+    if index is None:
+        index = diff.where("action <> 'insert'").select(*PHOTO_COLUMNS)
     return apply_changes(index, stage_changes(diff))
 
 

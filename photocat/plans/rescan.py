@@ -69,9 +69,9 @@ def rescan_summary(
     pending = F.count_if(F.col("status") == PENDING).alias("n_pending")
     counts = photos.groupBy("root").agg(*tally_counts(), pending)
     names = [*LABEL_COUNTS.values(), "n_errors", "n_pending"]
-    zero = [F.lit(0).cast("bigint").alias(n) for n in names]
-    unseen = scanned_roots.join(counts.select("root"), "root", "left_anti").select("root", *zero)
-    return counts.unionByName(unseen)
+    # One pass: roots without photos come in by the outer side.
+    every = counts.join(scanned_roots.select("root").distinct(), "root", "full_outer")
+    return every.select("root", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
 
 
 def ingest_pending(photos: DataFrame, read_header, stages: list) -> DataFrame:

@@ -9,7 +9,6 @@ One writer at a time.  Frames over partitions that were replaced since must be r
 """
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +21,10 @@ _PUBLISHED = "number int, schema_version int, stream string, batch_id bigint, hi
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table at ``path``, empty when nothing was ever written there."""
-    try:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 def publications(spark: SparkSession, store: str) -> DataFrame:

@@ -9,7 +9,7 @@ from test_scan_sync import index
 
 from photocat.operators.ingest import NO_PREVIEW, ingest_job
 from photocat.operators.scan import scan
-from photocat.operators.views import pending_queue
+from photocat.operators.views import pending_queue, prioritize, queue_positions
 from photocat.plans import publish
 from photocat.plans.rescan import ingest_pending, sync_store
 from photocat.sources import index_store
@@ -238,3 +238,22 @@ def test_edits_are_published_into_their_roots_only(spark, tmp_path):
         (1, 1, "Acme One", None, 2), (2, 1, "Acme One", None, 0), (3, 1, "Acme One", None, 2), (4, 2, None, "no header", 0),
     ]
     assert written(lambda: publish.ingest_store(spark, store, read_header, [])) == (None, [])
+
+
+def test_ingest_starts_at_the_front_of_the_queue(spark, tmp_path):
+    """Tasks with low numbers hold the front, and each works in queue order."""
+    photos = index(spark, *[{"id": i, "rel_path": f"{(i * 37) % 100:03}.nef"} for i in range(1, 101)])
+    wanted = spark.createDataFrame([(i,) for i in range(90, 101)], "id bigint")
+    queue = prioritize(queue_positions(photos), wanted, ["root"]).join(photos.select("id", "mtime_ns", "size"), "id")
+
+    def started(pending):
+        begun = F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at")
+        done = ingest_job(pending, lambda root, path: {}, [lambda root, path: (1, 1)], tasks=8)
+        return [(r.task, r.id) for r in done.select("id", *begun).orderBy("at").collect()]
+
+    order = started(queue)
+    assert len({task for task, _ in order}) >= 6
+    assert [i for _, i in order] == [r.id for r in queue.orderBy("priority_pos").collect()]
+    assert {i for _, i in order[:11]} == set(range(90, 101))
+    plain = started(pending_queue(photos))
+    assert [i for _, i in plain] == [r.id for r in photos.orderBy("rel_path").collect()]
