@@ -8,7 +8,7 @@ much they vary.  Every score is linear, so a text costs one pass over its letter
 
 The models are fitted on at most ``per_language`` different labelled texts of each
 language, those with the smallest hash of their text.  Tasks turn these texts, which are
-whole, into frequencies, so the driver gets ``BUCKETS`` numbers for each, however long
+whole, into frequencies, so the driver gets ``BUCKETS`` numbers for each at most, however long
 it is.  Prediction reads whole texts too and nothing but texts.
 
 Families follow ``FAMILIES``; a language that is not listed is a family of its own.
@@ -26,6 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,16 +96,18 @@ class Model:
     """Weights of all linear scores side by side, so a text is scored in one product."""
 
     def __init__(self, samples: list, labels: list, seed: int = 5):
-        """``samples`` are texts or their frequencies."""
+        """``samples`` are texts, or a matrix of their frequencies, which is used up."""
         self.languages = sorted(set(labels))
-        x = np.zeros((len(samples), BUCKETS), np.float32)
-        for i, sample in enumerate(samples):
-            x[i] = frequencies(sample) if isinstance(sample, str) else sample
-        self.spread = x.std(0) + 1e-4 if samples else np.ones(BUCKETS)
-        self.center = x.mean(0) if samples else np.zeros(BUCKETS)
+        x = samples
+        if not isinstance(samples, np.ndarray):
+            x = np.zeros((len(samples), BUCKETS), np.float32)
+            for i, sample in enumerate(samples):
+                x[i] = frequencies(sample)
+        self.spread = x.std(0) + 1e-4 if len(x) else np.ones(BUCKETS)
+        self.center = x.mean(0) if len(x) else np.zeros(BUCKETS)
         x -= self.center
         x /= self.spread
-        x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
         y = np.array(labels)
         family = np.array([FAMILY_OF.get(v, v) for v in labels])
         self.families = sorted(set(family.tolist()))
@@ -166,7 +169,7 @@ def svm(x: np.ndarray, y: np.ndarray, seed: int, cost: float = 1.0, rounds: int
     share = np.where(y > 0, n / (2 * max((y > 0).sum(), 1)), n / (2 * max((y < 0).sum(), 1)))
     bound = cost * share
     alpha, w = np.zeros(n), np.zeros(x.shape[1] + 1)
-    norm = (x * x).sum(1) + 1.0
+    norm = np.einsum("ij,ij->i", x, x) + 1.0
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(n):
@@ -205,32 +208,51 @@ def fit(
     rows = rows.select(lang.alias("_lang"), text.alias("_text"), F.xxhash64(text).alias("_order"))
     # Copies count once: a share of all rows would leave few different texts, or none.
     different = rows.groupBy("_lang", "_order").count().groupBy("_lang").agg(F.count("*"))
-    found = []
-    for code, n in sorted(different.collect()):
-        wanted = per_language
-        while True:
-            mine = rows.where((F.col("_lang") == code) & in_sample(F.col("_order"), wanted, n))
-            mine = mine.select("_order", F.sha2("_text", 256).alias("_tie"), "_text").distinct()
-            first = _with_frequencies(mine).orderBy("_order", "_tie").limit(per_language).collect()
-            if len(first) >= min(per_language, n) or 2 * wanted >= n:
-                break
-            wanted *= 4
-        vectors = (np.frombuffer(r["_found"], np.float32) for r in first)
-        found += [(v, code) for v in vectors if v.any()]
-    return Model([v for v, _ in found], [v for _, v in found])
+    total = dict(sorted(tuple(r) for r in different.collect()))
+    found: dict = {}
+    wanted = dict.fromkeys(total, per_language)
+    # One scan serves all languages; another one those of which equal hashes left too few.
+    while wanted:
+        first = W.partitionBy("_lang").orderBy("_order", "_tie")
+        sampled = F.lit(False)
+        for code, share in wanted.items():
+            sampled = sampled | ((F.col("_lang") == code) & in_sample(F.col("_order"), share, total[code]))
+        mine = rows.where(sampled).select("_lang", "_order", F.sha2("_text", 256).alias("_tie"), "_text").distinct()
+        mine = mine.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= per_language)
+        taken = _with_frequencies(mine.select("_lang", "_place", "_text")).collect()
+        for code in wanted:
+            found[code] = [r for r in taken if r["_lang"] == code]
+        wanted = {
+            code: 4 * share
+            for code, share in wanted.items()
+            if len(found[code]) < min(per_language, total[code]) and 2 * share < total[code]
+        }
+    kept = [r for code in total for r in sorted(found[code], key=lambda r: r["_place"]) if r["_at"]]
+    vectors = np.zeros((len(kept), BUCKETS), np.float32)
+    for vector, r in zip(vectors, kept, strict=True):
+        vector[np.frombuffer(r["_at"], np.uint16)] = np.frombuffer(r["_found"], np.float32)
+    labels = [r["_lang"] for r in kept]
+    return Model(vectors, labels) if labels else Model([], [])
 
 
 def _with_frequencies(texts: DataFrame) -> DataFrame:
-    """``(_order, _tie, _found)`` of ``(_order, _tie, _text)``: frequencies as bytes of 32-bit floats."""
+    """``(_lang, _place, _at, _found)`` of ``(_lang, _place, _text)``: buckets that are not 0, as 16-bit numbers, and
+    their frequencies as 32-bit floats."""
 
     def rows(batches):
         for batch in batches:
-            found = [frequencies(t.as_py()).astype(np.float32).tobytes() for t in batch.column(2)]
+            at, found = [], []
+            for text in batch.column(2):
+                vector = frequencies(text.as_py()).astype(np.float32)
+                used = np.flatnonzero(vector)
+                at.append(used.astype(np.uint16).tobytes())
+                found.append(vector[used].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["_order", "_tie", "_found"]
+                [batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(found, pa.binary())],
+                names=["_lang", "_place", "_at", "_found"],
             )
 
-    return texts.mapInArrow(rows, "_order bigint, _tie string, _found binary")
+    return texts.mapInArrow(rows, "_lang string, _place int, _at binary, _found binary")
 
 
 def predict(docs: DataFrame, model: Model, columns: list, text_col: str = "text") -> DataFrame:

@@ -272,14 +272,31 @@ def jaccard_groups(
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kinds) -> DataFrame:
-    """The rows of ``docs`` whose id names its component, with all their columns.
+    """One row of ``docs`` of each component, with all its columns; rows without words all stay.
 
-    Rows of equal id stay or go together; rows with a null id stay.
+    The smallest id stays, a null id only if there is no other.  Rows are told apart by id and text, so
+    rows that share an id, or have none, are decided one by one.  Of rows with equal id and text the
+    one stays that is smallest by its other columns.
     """
-    groups = jaccard_groups(docs, id_col, text_col, **kinds)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    packed = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"))
-    return packed.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_doc.*")
+    scratch = Scratch(docs.sparkSession, "keep")
+    missing = F.col(id_col).isNull()
+    text_hash = F.coalesce(F.xxhash64(F.coalesce(text_col, F.lit(""))), F.lit(0))
+    row = F.struct(missing.alias("missing"), F.col(id_col).alias("id"), text_hash.alias("text"))
+    keyed = docs.select(row.alias("_row"), F.col(text_col).alias("_text"))
+    groups = jaccard_groups(keyed, "_row", "_text", **kinds)
+    groups = scratch.save(groups.where(F.col("n_shingles") > 0).select("_row", "component_id"), "groups")
+    gone = groups.where(~F.col("_row").eqNullSafe(F.col("component_id"))).select(F.col("_row").alias("_gone")).distinct()
+    packed = docs.select(F.struct("*").alias("_doc"), row.alias("_row"))
+    stay = packed.join(gone, F.col("_row").eqNullSafe(F.col("_gone")), "left_anti")
+    twice = groups.groupBy("_row").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_row").alias("_twice"))
+    twice = scratch.save(twice, "twice")
+    if twice.limit(1).count() == 0:
+        return stay.select("_doc.*")
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    again = W.partitionBy("_row").orderBy(F.to_json(F.struct(F.lit(0), *[F.col("_doc")[c].alias(c) for c in others])))
+    same = F.col("_row").eqNullSafe(F.col("_twice"))
+    one = stay.join(twice, same, "left_semi").withColumn("_place", F.row_number().over(again)).where("_place = 1")
+    return stay.join(twice, same, "left_anti").select("_doc.*").union(one.select("_doc.*"))
 
 
 def _links(texts, keys, distinct, k, t, largest, scratch) -> DataFrame:
@@ -316,12 +333,14 @@ def _links(texts, keys, distinct, k, t, largest, scratch) -> DataFrame:
         .select("_key", "_sid"),
         "members",
     )
+    scratch.drop("met", "real")
     if members.limit(1).count() == 0:
         return light
     tokens = _tokens(texts, distinct, members, k, scratch)
     counted = _counted(tokens, scratch)
     sizes = _capacities(tokens, counted, t, scratch)
     members = scratch.save(members.join(sizes, "_sid"), "able")
+    scratch.drop("members")
     # The most central set of a list: the one whose lists are the fullest.
     fill = members.groupBy("_key").agg(F.count("*").alias("_fill"))
     central = scratch.save(
