@@ -1,11 +1,17 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at its block elements.  First pass: regions that are never
-main text (navigation, page headers and footers, sidebars, notices, adverts, forms,
-comments, hidden parts) are decided against by their marks, and every other block by
-its link density, length and stop-word density.  Short blocks stay ambiguous.  Second
-pass: an ambiguous block inherits the label of its nearest decided neighbours of the
-same region (inside or outside of the article element).
+A page is cut into blocks at its block elements.  Regions that are never main text
+(navigation, page headers and footers, sidebars, notices, adverts, forms, comments,
+hidden parts) are decided against by their marks.  First pass: every other block is
+decided by its link density, its length and its stop-word density.  Short blocks, and
+longer ones that do not read like text, stay ambiguous; outside of an article, long blocks
+that do not read like text are decided against.  Second pass: an ambiguous block inherits
+the label of its nearest decided neighbours of the same region (inside or outside of the
+article element).
+
+Stop words are known for four languages.  What they cannot judge is never dropped for
+lack of them: a text mostly in letters beyond the Latin script, or one of two sentences or
+more, reads like text as well.
 
 Nulls, ties and the like
     A null or empty page has an empty text, and so has one without any block of main
@@ -14,7 +20,9 @@ Nulls, ties and the like
     in.  A head ends where text or an element of the body begins.  An ``article`` inside a
     closed navigation, sidebar or the like belongs to that region (teaser cards), unless
     the page leaves elements of that name unclosed or has no other main text.  Where an
-    ``article`` or ``main`` is left, text outside of it is no main text.  If the two nearest neighbours differ, the nearer one counts; at equal
+    ``article`` or ``main`` is left, text outside of it is no main text, unless it is the
+    longer by far: then the articles are teasers of a page whose text stands elsewhere.  If
+    the two nearest neighbours differ, the nearer one counts; at equal
     distance a block inside the article is kept and one outside is not.  Without
     decided neighbours a block inside the article is kept; outside, where the page
     has no article, it is kept if it reads like text.  Rows are independent, so
@@ -34,6 +42,8 @@ MAX_LINK_DENSITY = 0.33
 SHORT_CHARS = 80
 LONG_CHARS = 200
 LOW_STOP, HIGH_STOP = 0.1, 0.25
+# Decided text outside of the articles that makes them teasers: characters, and times their text.
+TEASER_CHARS, TEASER_TIMES = 400, 3
 
 # Elements of HTML, by what they mean for the main text.
 BLOCK = frozenset(
@@ -63,13 +73,16 @@ ROLES = frozenset(
 )
 MARKS = frozenset(
     """nav navbar navigation menu sidebar sidebars footer masthead ad ads advert adverts advertisement advertising
-    banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay
+    adsbygoogle adslot adbox adunit adblock adwrapper banner sponsor sponsored promo promotion cookie cookies consent
+    gdpr notice notices alert popup modal overlay
     share sharing social related recommended recommendations comment comments reply replies respond disqus
     discussion breadcrumb breadcrumbs pagination pager newsletter subscribe subscription signup login toolbar
     widget widgets copyright skip""".split()
 )
 COMMENT_MARKS = frozenset("comment comments reply replies respond disqus discussion".split())
-CONTENT_MARKS = frozenset("article content post entry story main page body text wrapper container".split())
+# Words of class names that tell of a region elsewhere ("has-sidebar"), or of a state ("comments-enabled").
+ABOUT_MARKS = frozenset("has have with without no show hide is".split())
+STATE_MARKS = frozenset("enabled disabled open closed free".split())
 STOP_WORDS = frozenset(
     """the a an and or but of to in on at for with by from as is are was were be been it its this that these those
     he she they we you i his her their our your not have has had will would can could there which who what when
@@ -89,6 +102,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WORD = re.compile(r"\w+")
+_SENTENCE_END = re.compile(r"""[.!?\u2026\u061f\u06d4\u0964][)"'\u00bb\u201d]*(?:\s|\Z)|[\u3002\uff01\uff1f]""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -111,11 +125,22 @@ def _marks(tag: str, raw: str) -> tuple:
         return tag not in ("html", "body"), False
     if names.get("role", "").lower() in ROLES:
         return True, False
-    parts = {p.lower() for k in ("class", "id") for p in _NAME_PARTS.findall(names.get(k, ""))}
-    comment = bool(parts & COMMENT_MARKS)
+    tokens = [[p.lower() for p in _NAME_PARTS.findall(t)] for k in ("class", "id") for t in names.get(k, "").split()]
+    found = set().union(*map(_marks_of_name, tokens))
+    comment = bool(found & COMMENT_MARKS)
     if tag in ("html", "body", "main") or tag == "article" and not comment:
         return False, False
-    return bool(parts & MARKS) and (comment or not parts & CONTENT_MARKS), comment
+    return bool(found), comment
+
+
+def _marks_of_name(parts: list) -> set:
+    """Marks that a class name or id starts or ends with, as in sidebar-content and main-nav."""
+    if not parts or parts[0] in ABOUT_MARKS or len(parts) == 2 and parts[1] in STATE_MARKS:
+        return set()
+    ends = {parts[0]}
+    if len(parts) < 2 or parts[-2] not in ABOUT_MARKS:
+        ends.add(parts[-1])
+    return ends & MARKS
 
 
 def blocks_of(page: str) -> list:
@@ -264,14 +289,10 @@ def _labels(blocks: list) -> list:
             out.append(False)
         elif size < SHORT_CHARS:
             out.append(None)
-        elif inside:
+        elif _reads_like_text(text):
             out.append(True)
         else:
-            stop = _stop_density(text)
-            if stop >= HIGH_STOP or stop >= LOW_STOP and size >= LONG_CHARS:
-                out.append(True)
-            else:
-                out.append(False if size >= LONG_CHARS else None)
+            out.append(None if inside or size < LONG_CHARS else False)
     return out
 
 
@@ -280,6 +301,23 @@ def _stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
 
 
+def _reads_like_text(text: str) -> bool:
+    stop = _stop_density(text)
+    if stop >= HIGH_STOP:
+        return True
+    if len(text) < LONG_CHARS:
+        return False
+    return stop >= LOW_STOP or _beyond_lists(text, 2)
+
+
+def _beyond_lists(text: str, sentences: int) -> bool:
+    """Whether stop words say nothing of a text, but its script or its sentences do."""
+    letters = sum(c.isalpha() for c in text)
+    if 2 * sum(c.isalpha() and c > "\u024f" for c in text) > letters:
+        return True
+    return len(_SENTENCE_END.findall(text)) >= sentences
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -295,6 +333,11 @@ def main_text(page: str | None) -> str:
 def _kept(blocks: list) -> str:
     labels = _labels(blocks)
     has_article = any(inside for _, _, _, inside in blocks)
+    if has_article:
+        elsewhere = sum(len(b[0]) for b, good in zip(blocks, labels) if good and not b[3])
+        within = sum(len(b[0]) for b in blocks if b[3] and not b[2])
+        if elsewhere >= TEASER_CHARS and elsewhere > TEASER_TIMES * within:
+            return _kept([(text, links, banned or inside, False) for text, links, banned, inside in blocks])
     final = list(labels)
     for inside in (True, False):
         # What stands in a marked region says nothing about the text around it.
@@ -321,7 +364,7 @@ def _inherited(near: list, inside: bool, has_article: bool, text: str) -> bool:
     if not near:
         if inside or has_article:
             return inside
-        return _stop_density(text) >= LOW_STOP
+        return _stop_density(text) >= LOW_STOP or _beyond_lists(text, 1)
     if len(near) == 2 and near[0][1] != near[1][1]:
         return inside if near[0][0] == near[1][0] else min(near)[1]
     return near[0][1]

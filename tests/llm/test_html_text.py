@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from photocat.llm import html_text
 from photocat.llm.html_text import blocks_of, extract, main_text
 
 TEXT = "The quick answer to all of this is that the people of the town were not in the house when it fell."
@@ -88,3 +89,58 @@ CARD = "<article><h3>Of the other</h3><p>The teaser of another page that is not
 )
 def test_open_heads_and_cards(page, text):
     assert main_text(page) == text
+
+
+RUSSIAN = "Жители города собрались на площади и долго ждали вестей от тех кто ушёл за реку " * 6
+JAPANESE = "町の人々は広場に集まり川の向こうへ行った者たちの知らせを長いあいだ待っていた" * 8
+POLISH = "Mieszkańcy miasta czekali długo na wieści zza rzeki. Nikt jednak nie wrócił przed zmierzchem. " * 4
+CLOUD = "Lamps Chairs Tables Shelves Sofas Beds Carpets Mirrors Curtains Pillows Blankets Candles " * 4
+
+
+@pytest.mark.parametrize("text", [RUSSIAN, JAPANESE, POLISH, RUSSIAN[:60], JAPANESE[:30], JAPANESE[:100]])
+def test_languages_without_stop_words(text):
+    text = text.strip()
+    assert main_text(f"<div><p>{text}</p></div>") == text
+    assert main_text(f"<nav>x</nav><article><h1>A</h1><p>{text}</p></article><p>{TEXT}</p>") == f"A\n{text}"
+
+
+@pytest.mark.parametrize(
+    "name", ["ad-container", "cookie-text", "sidebar-content", "adsbygoogle", "main-nav", "story-ads", "postComments"]
+)
+def test_marked_regions_have_no_exemption(name):
+    assert main_text(f"<div class='x {name}'><p>{TEXT}</p></div><p>{TEXT} Main.</p>") == f"{TEXT} Main."
+    page = f"<article><p>{TEXT}</p><div class='{name}'>{TEXT}</div></article>"
+    assert main_text(page) == TEXT
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "page-with-sidebar", "no-ads", "comments-enabled", "shadow", "adapter"])
+def test_names_about_other_regions(name):
+    assert main_text(f"<div class='{name}'><p>{TEXT}</p></div>") == TEXT
+
+
+def test_teasers_beside_the_story():
+    story = "".join(f"<p>{TEXT} {i} of it, as the rest of them was in the end.</p>" for i in range(12))
+    text = main_text(f"<div>{story}</div><article><h3>Other</h3><p>{TEXT}</p></article>")
+    assert text.count("\n") == 11 and "Other" not in text
+    assert main_text(f"<article>{story}</article><p>{TEXT}</p>").count("\n") == 11
+
+
+def test_every_density_decides(monkeypatch):
+    links = "<p>" + "".join(f"<a href=/{i}>of the {i}</a> " for i in range(30)) + "</p>"
+    page = f"<p>{TEXT}</p><p>Ab</p><p>{TEXT}</p><p>{CLOUD}</p>{links}<p>Cd</p>"
+    assert main_text(page) == f"{TEXT}\nAb\n{TEXT}"
+    monkeypatch.setattr(html_text, "MAX_LINK_DENSITY", 1.0)
+    assert "of the 7" in main_text(page)
+    monkeypatch.undo()
+    monkeypatch.setattr(html_text, "_stop_density", lambda text: 1.0)
+    assert "Lamps" in main_text(page)
+    monkeypatch.undo()
+    monkeypatch.setattr(html_text, "_inherited", lambda *_: False)
+    assert main_text(page) == f"{TEXT}\n{TEXT}"
+
+
+def test_ambiguous_blocks_in_articles():
+    """Next to link lists of an article, a list of names goes with them; next to its text it stays."""
+    links = "<p>" + "".join(f"<a href=/{i}>of the {i}</a> " for i in range(30)) + "</p>"
+    page = f"<article><p>{TEXT}</p><p>{CLOUD}</p><p>{TEXT}</p>{links}<p>{CLOUD}</p>{links}</article>"
+    assert main_text(page) == f"{TEXT}\n{CLOUD.strip()}\n{TEXT}"
