@@ -14,6 +14,10 @@ target recall for both.  A traversal
 ends at the first cell beyond that radius, so its length follows the data, and no
 cell is cut off by a count.
 
+A link is counted for both of its vectors, also if only one traversal finds it: the stored
+vector is credited along with the asking one unless its own traversal reaches the asking
+vector's cell, where it is credited by itself.
+
 Equal vectors (after scaling, bit for bit) are one class; links of its members among
 each other and with other classes are counted by multiplicity, never expanded.
 Near classes in a full cell are compared block by block.
@@ -41,8 +45,8 @@ SAMPLE_ROWS = 20_000
 TARGET_RECALL = 0.999
 # Sampled vectors whose links within the sample are looked up.
 FIT_QUERIES = 2_000
-# Code words of one half, at most; the grid has the square of that.
-MAX_WORDS = 256
+# Code words of one half, at most; the grid, whose counts are broadcast, has the square of that.
+MAX_WORDS = 512
 # Vectors of one cell that one block holds.
 BLOCK = 512
 OUT_ROWS = 2_000
@@ -66,8 +70,11 @@ class Grid:
         for start in range(0, min(len(sample), FIT_QUERIES), 100):
             some = slice(start, start + 100)
             ask, hold = np.nonzero(sample[some] @ sample.T >= cosine)
+            other = hold != ask + start
+            ask, hold = ask[other], hold[other]
             needed.append(away[0][some][ask, own[0][hold]] + away[1][some][ask, own[1][hold]])
-        self.radius = max(float(np.quantile(needed[0], recall)), float(np.quantile(np.concatenate(needed[1:]), recall)))
+        found = [n for n in (needed[0], np.concatenate(needed[1:])) if len(n)]
+        self.radius = max(float(np.quantile(n, recall)) for n in found)
         self.radius += 1e-9  # for rounding
 
     def _away(self, x: np.ndarray) -> list:
@@ -88,6 +95,11 @@ class Grid:
         first, second = (d.argmin(1) for d in distances)
         return first * self.words + second
 
+    def reached(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Whether the traversal from each of ``x`` (columns) visits each of ``cells`` (rows)."""
+        first, second = self._away(x)
+        return (first[:, cells // self.words] + second[:, cells % self.words]).T <= self.radius
+
     def visited(self, first: np.ndarray, second: np.ndarray) -> list:
         """Cells from the nearest on, up to the radius beyond the nearest."""
         a, b = first.argsort(kind="stable"), second.argsort(kind="stable")
@@ -161,7 +173,7 @@ def _pack(kind):
 
 def _entries(grid: Grid, kind, with_vectors: bool):
     """A vector's own cell (side 0) and the cells that its search visits (side 1)."""
-    names = ["_cell", "_side", "_cid", "_rows"] + ["_vec"] * with_vectors
+    names = ["_cell", "_side", "_cid", "_rows"] + ["_home", "_vec"] * with_vectors
 
     def rows(batches):
         for batch in batches:
@@ -184,16 +196,17 @@ def _entries(grid: Grid, kind, with_vectors: bool):
                         part.column(1).take(take),
                     ]
                     if with_vectors:
-                        columns.append(part.column(2).take(take))
+                        columns += [pa.array(own, pa.int32()).take(take), part.column(2).take(take)]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows
 
 
-def _compare(cosine, kind):
+def _compare(grid, cosine, kind):
     """Links between the searching and the stored vectors of one pair of blocks.
 
-    Gives each vector its number of links there and the smallest vector that it is
+    Gives each vector its number of links there (the stored one those that its own search
+    does not meet) and the smallest vector that it is
     connected with inside the pair of blocks, so a block of any density gives no
     more rows than it has vectors.
     """
@@ -213,6 +226,9 @@ def _compare(cosine, kind):
         ask, hold = at[asks], at[holds]
         links = np.zeros(len(nodes), np.int64)
         np.add.at(links, ask, linked @ rows[holds])
+        some = linked.any(0)
+        unmet = linked[:, some] & ~grid.reached(x[holds[some]], pdf["_home"].to_numpy()[asks])
+        np.add.at(links, hold[some], unmet.T @ rows[asks])
         label, before = np.arange(len(nodes)), None
         while before is None or (label != before).any():
             before = label.copy()
@@ -299,7 +315,7 @@ def _search(classes, n, kind, cosine, recall, scratch, name) -> DataFrame:
     )
     cells = scratch.save(cells, f"{name}_cells")
     entries = stored.mapInArrow(
-        _entries(grid, kind, True), "_cell int, _side int, _cid bigint, _rows bigint, _vec binary"
+        _entries(grid, kind, True), "_cell int, _side int, _cid bigint, _rows bigint, _home int, _vec binary"
     ).join(F.broadcast(cells), "_cell")
     held = F.col("_side") == 0
     own = F.pmod(F.xxhash64("_cid"), F.when(held, F.col("_held")).otherwise(F.col("_asked"))).cast("int")
@@ -312,9 +328,10 @@ def _search(classes, n, kind, cosine, recall, scratch, name) -> DataFrame:
         "_side",
         "_cid",
         "_rows",
+        "_home",
         "_vec",
     )
     found = pairs.groupBy("_cell", "_hold_block", "_ask_block").applyInPandas(
-        _compare(cosine, kind), "_a bigint, _b bigint, _links bigint"
+        _compare(grid, cosine, kind), "_a bigint, _b bigint, _links bigint"
     )
     return scratch.save(found, name)

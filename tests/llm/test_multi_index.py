@@ -91,3 +91,28 @@ def test_traversal_is_in_order():
     assert cost == sorted(cost) and len(set(cells)) == len(cells)
     every = (first[:, None] + second[None, :]) - first.min() - second.min()
     assert len(cells) == (every <= grid.radius).sum()
+
+
+def test_links_count_for_both_sides_and_recall_of_a_small_sample(spark, monkeypatch):
+    """Pairs apart in one shared direction, where the two traversals of a link often differ."""
+    monkeypatch.setattr(M, "SAMPLE_ROWS", 400)
+    monkeypatch.setattr(M, "FIT_QUERIES", 100)
+    rng = np.random.default_rng(8)
+    n, dim = 4000, 32
+    base = rng.normal(size=(n // 2, dim))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    way = rng.normal(size=dim)
+    side = way - (base @ way)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    x = np.stack([base, 0.9505 * base + np.sqrt(1 - 0.9505**2) * side], 1).reshape(n, dim).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0) for i, v in enumerate(x)], SCHEMA)
+    got = sorted(found(M.near_groups(df)))
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    linked = y @ y.T >= 0.95
+    np.fill_diagonal(linked, False)
+    links = np.array([g[1] for g in got])
+    assert (links <= linked.sum(1)).all()
+    assert links.sum() >= 0.97 * linked.sum()
+    alone = (linked.sum(1) == 1).reshape(-1, 2).all(1)
+    assert alone.sum() > 1900
+    assert (links.reshape(-1, 2)[alone, 0] == links.reshape(-1, 2)[alone, 1]).all()
