@@ -47,8 +47,11 @@ TARGET_RECALL = 0.999
 FIT_QUERIES = 2_000
 # Code words of one half, at most; the grid, whose counts are broadcast, has the square of that.
 MAX_WORDS = 512
+# Square root of the rows to one code word.  An entry in one more cell costs as much as hundreds of
+# products of vectors, so cells are held large: the fewer are visited.
+ROWS_ROOT = 24
 # Vectors of one cell that one block holds.
-BLOCK = 512
+BLOCK = 2048
 OUT_ROWS = 2_000
 
 
@@ -58,7 +61,7 @@ class Grid:
     def __init__(self, sample: np.ndarray, rows: int, cosine: float, recall: float, seed: int = 17):
         rng = np.random.default_rng(seed)
         self.half = sample.shape[1] // 2
-        words = min(max(4, int(rows**0.5 / 4)), MAX_WORDS, len(sample))
+        words = min(max(4, int(rows**0.5 / ROWS_ROOT)), MAX_WORDS, len(sample))
         self.books = [_codebook(h, words, rng) for h in self.halves(sample)]
         self.words = words
         turned = _turned(sample, cosine, rng)
