@@ -21,6 +21,7 @@ from photocat.schema import PHOTOS_SCHEMA
 from photocat.session import new_path, scoped_setting, stage
 from photocat.sources import events as event_sources
 from photocat.sources.index_store import read_index, write_index
+from photocat.sources.listing_format import load_listing
 from photocat.sources.listing import asset_listing, delete_assets, photo_listing
 from photocat import streaming
 
@@ -71,6 +72,20 @@ def _(fx):
     return found.withColumn("root", F.substring("root", len(folder) + 1, 1000))
 
 
+@query(
+    "photo_listing_format",
+    """SELECT root, rel_path, mtime_ns, size FROM listing
+       WHERE NOT (rel_path LIKE '.%' OR rel_path LIKE '%/.%') AND rel_path LIKE '%.NEF'""",
+)
+def _(fx):
+    folder = new_folder(fx.spark, "cards")
+    path = F.concat(F.lit(folder), "root", F.lit("/"), "rel_path")
+    put_files(fx.listing.select(path.alias("path"), "size", "mtime_ns"))
+    roots = [f"{folder}/cards/{name}" for name in os.listdir(f"{folder}/cards")]
+    found = load_listing(fx.spark, roots, recursive=True).where(F.col("rel_path").endswith(".NEF"))
+    return found.withColumn("root", F.substring("root", len(folder) + 1, 1000))
+
+
 @query(
     "asset_listing",
     "SELECT kind, hash, kind || 's/' || hash || '.jpg' AS path, bytes, last_used FROM cache_files WHERE id % 4 <> 2",

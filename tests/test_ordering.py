@@ -98,6 +98,23 @@ def test_lru_evict_matches_a_loop(spark, regime, budget):
     assert rows(assets.lru_evict(df, budget, ["kind"]), "id", "kind") == sorted(tiers)
 
 
+def test_lru_evict_of_null_tiers_equal_times_and_extra_columns(spark, regime):
+    slots = [(i, "thumb", 10, (None, 7, 7, 7, -(10**15))[i % 5], None if i % 2 else "t", i) for i in range(100)]
+    df = spark.createDataFrame(
+        slots, "id bigint, kind string, bytes bigint, last_used bigint, tier string, _tier bigint"
+    ).withColumnRenamed("_tier", "total")
+    got = assets.lru_evict(df, 400, ["tier"])
+    assert got.columns == df.columns
+    want = []
+    for tier in (None, "t"):
+        mine = [s for s in slots if s[4] == tier]
+        mine.sort(key=lambda s: (s[3] is not None, s[3] or 0, s[0]))
+        want += [(s[0],) for s in mine[:20]]
+    assert rows(got, "id") == sorted(want)
+    assert assets.lru_evict(df.limit(0), 400).count() == 0
+    assert assets.lru_evict(df.where("last_used = 7"), 400).count() == 30
+
+
 def test_progress_never_rewinds(spark, regime):
     rng = random.Random(1)
     ticks = [(rng.choice("aab"), i, rng.randrange(i + 5)) for i in range(200)]

@@ -13,6 +13,7 @@ from photocat.operators.views import pending_queue, prioritize, queue_positions
 from photocat.plans import publish
 from photocat.plans.rescan import ingest_pending, sync_store
 from photocat.sources import index_store
+from photocat.sources.listing_format import load_listing
 from photocat.sources.listing import asset_listing, delete_assets, photo_listing
 
 
@@ -56,6 +57,37 @@ def test_listing_accepts_a_hidden_root_and_refuses_a_bad_one(spark, tmp_path):
             photo_listing(spark, [str(tmp_path / bad)]).collect()
 
 
+@pytest.mark.parametrize("tasks", [1, 3, 40])
+def test_listing_format_gives_the_rows_of_the_listing(spark, tmp_path, tasks):
+    touch(tmp_path, *[f"a/{d}/IMG_{i}.{e}" for d in ("x", "y/z") for i in range(9) for e in ("nef", "jpg")])
+    touch(tmp_path, "a/.trash/junk.nef", "a/.h.nef", "a/_M.nef", "b/y.nef", "b/x.NEF")
+    os.symlink(tmp_path / "a/_M.nef", tmp_path / "a/link.nef")
+    roots = [str(tmp_path / "a"), str(tmp_path / "b")]
+    for recursive in (False, True):
+        found = load_listing(spark, roots, recursive, tasks)
+        assert found.columns == ["root", "rel_path", "mtime_ns", "size"]
+        assert rows(found) == rows(photo_listing(spark, roots, recursive))
+    deep = load_listing(spark, roots, True, tasks)
+    assert deep.select(F.spark_partition_id().alias("p")).distinct().count() >= min(tasks, 10)
+    raws = deep.where((F.col("root") == roots[0]) & F.col("rel_path").endswith(".nef"))
+    assert len(rows(raws)) == 19
+    assert rows(deep.where(F.col("root").isin("/none", roots[1])), "rel_path") == [("x.NEF",), ("y.nef",)]
+    assert rows(deep.where("root = '/none'")) == []
+
+
+def test_listing_format_pushes_filters(spark, tmp_path):
+    touch(tmp_path, "a/x.nef", "b/y.nef")
+    found = load_listing(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).where(
+        (F.col("root") == str(tmp_path / "a")) & F.col("rel_path").endswith(".nef") & (F.col("size") > 0)
+    )
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter (" in line]
+    assert all("size" in f and "EndsWith" not in f and "root" not in f for f in filters)
+    assert rows(found, "rel_path") == [("x.nef",)]
+    with pytest.raises(Exception, match="cannot list"):
+        load_listing(spark, [str(tmp_path / "none")]).collect()
+
+
 def test_asset_listing_and_collection(spark, tmp_path):
     assert asset_listing(spark, str(tmp_path)).count() == 0
     touch(tmp_path, "previews/keep1.jpg", "previews/stale1.JPG", "previews/notes.txt", "previews/x.jpeg", "thumbs/keep1.jpg", "thumbs/stale2.jpg")
