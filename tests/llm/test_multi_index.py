@@ -97,6 +97,7 @@ def test_links_count_for_both_sides_and_recall_of_a_small_sample(spark, monkeypa
     """Pairs apart in one shared direction, where the two traversals of a link often differ."""
     monkeypatch.setattr(M, "SAMPLE_ROWS", 400)
     monkeypatch.setattr(M, "FIT_QUERIES", 100)
+    monkeypatch.setattr(M, "ROWS_ROOT", 4)  # a fine grid, in which traversals end early
     rng = np.random.default_rng(8)
     n, dim = 4000, 32
     base = rng.normal(size=(n // 2, dim))
