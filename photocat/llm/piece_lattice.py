@@ -27,6 +27,7 @@ Nulls, ties and the like
 import heapq
 import re
 from array import array
+from bisect import bisect_left
 from itertools import accumulate, chain
 
 import numpy as np
@@ -41,8 +42,12 @@ MARK = "▁"
 NBEST = 3
 # Segments up to this length are solved together; longer ones one by one.
 WIDE = 32
+# Segments solved together are of similar length: arrays are as high as the longest one.
+BANDS = (5, 7, 9, 11, 14, 20, WIDE)
 # Distinct segments a task remembers, and texts it splits at once.
 MEMORY, TEXTS, TOGETHER = 400_000, 200, 4_000
+# A table of this many bits tells most strings apart from the pieces of their length.
+SIEVE = 18
 UNKNOWN_MALUS = 10.0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,7 +78,7 @@ class Pieces:
             bytes([int(p[3:5], 16)]) if kind == "byte" else b"" if kind == "other" else p.encode()
             for p, _, kind in pieces
         ]
-        # By length: sorted hashes of the pieces, and their ids.
+        # By length: sorted hashes of the pieces, their ids, and which leading bits of a hash occur.
         self.tables = []
         for size in range(1, self.longest + 1):
             found = [(p, i) for p, _, i in normal if len(p) == size]
@@ -82,7 +87,9 @@ class Pieces:
             for k in range(size):
                 hashes = mix(hashes * _STEP + points[:, k] + np.uint64(1))
             order = hashes.argsort()
-            self.tables.append((hashes[order], np.array([i for _, i in found], np.int64)[order]))
+            sieve = np.zeros(1 << SIEVE, bool)
+            sieve[hashes >> np.uint64(64 - SIEVE)] = True
+            self.tables.append((hashes[order], np.array([i for _, i in found], np.int64)[order], sieve))
         joined = "".join(p for p in self.ids if len(p) > 1)
         alone = "".join(c for c in "\n\r\t" if c not in joined)
         inner = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
@@ -157,28 +164,29 @@ def best_ways(segments: list, vocabulary: Pieces) -> tuple:
     points = np.zeros((n, width), np.uint64)
     points[np.arange(width)[None, :] < sizes[:, None]] = flat
     points = np.ascontiguousarray(points.T)
-    scores, ids = {}, {}
+    lengths = []
+    scores = np.full((min(vocabulary.longest, width), width, n), -np.inf)
+    pieces = np.full(scores.shape, -1, np.int32)
     running = np.zeros((width, n), np.uint64)
-    for size in range(1, min(vocabulary.longest, width) + 1):
+    for size in range(1, len(scores) + 1):
         starts = width - size + 1
         running = mix(running[:starts] * _STEP + points[size - 1 :] + np.uint64(1))
-        hashes, of = vocabulary.tables[size - 1]
+        hashes, of, sieve = vocabulary.tables[size - 1]
         inside = np.arange(starts)[:, None] + size <= sizes[None, :]
-        piece = np.full((starts, n), -1, np.int32)
-        score = np.full((starts, n), -np.inf)
+        score, hit = scores[size - 1], ()
         if len(hashes):
-            wanted = running[inside]
+            likely = np.flatnonzero(inside & sieve[running >> np.uint64(64 - SIEVE)])
+            wanted = running.ravel()[likely]
             at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
             hit = hashes[at] == wanted
-            found = np.where(hit, of[at], -1)
-            piece[inside] = found
-            score[inside] = np.where(hit, vocabulary.scores[found], -np.inf)
+            likely, found = likely[hit], of[at[hit]]
+            pieces[size - 1].ravel()[likely] = found
+            score.ravel()[likely] = vocabulary.scores[found]
         if size == 1:
-            score[inside & (piece < 0)] = vocabulary.unknown
-        elif not (piece >= 0).any():
-            continue
-        scores[size], ids[size] = score, piece
-    lengths = sorted(scores)
+            score[inside & (pieces[0] < 0)] = vocabulary.unknown
+        if size == 1 or len(hit) and hit.any():
+            lengths.append(size)
+    # Every character has an edge of its own, so each prefix of a segment is reached.
     forward = np.full((width + 1, n), -np.inf)
     forward[0] = 0
     step = np.zeros((width + 1, n), np.int8)
@@ -186,40 +194,48 @@ def best_ways(segments: list, vocabulary: Pieces) -> tuple:
         for size in lengths:
             if size > end:
                 break
-            total = forward[end - size] + scores[size][end - size]
-            better = (total >= forward[end]) & (total > -np.inf)
+            total = forward[end - size] + scores[size - 1, end - size]
+            better = total >= forward[end]
             np.copyto(forward[end], total, where=better)
-            step[end][better] = size
+            np.copyto(step[end], size, where=better)
     columns = np.arange(n)
     backward = np.full((width + 1, n), -np.inf)
     backward[sizes, columns] = 0
     for start in range(width - 1, -1, -1):
         for size in lengths:
             if start + size <= width:
-                np.maximum(backward[start], scores[size][start] + backward[start + size], out=backward[start])
+                np.maximum(backward[start], scores[size - 1, start] + backward[start + size], out=backward[start])
     # Walk all segments back from their ends at once, noting the pieces on the way.
-    used = {size: np.zeros(scores[size].shape, bool) for size in lengths}
-    left, at = columns, sizes.copy()
-    taken = [[] for _ in range(n)]
+    used = np.zeros(scores.shape, bool)
+    left, at, walked = columns, sizes.copy(), []
     while len(left):
-        size_of = step[at, left]
+        size_of = step[at, left].astype(np.int64)
         at = at - size_of
-        for size in np.unique(size_of).tolist():
-            here = size_of == size
-            column, start = left[here], at[here]
-            used[size][start, column] = True
-            for c, i, piece in zip(column.tolist(), start.tolist(), ids[size][start, column].tolist()):
-                taken[c].append((piece,) if piece >= 0 else vocabulary.spelled(segments[c][i]))
+        used[size_of - 1, at, left] = True
+        walked.append((left, at, pieces[size_of - 1, at, left]))
         more = at > 0
         left, at = left[more], at[more]
     second = np.full(n, -np.inf)
     for size in lengths:
-        starts = scores[size].shape[0]
-        through = forward[:starts] + scores[size] + backward[size : size + starts]
-        through[used[size]] = -np.inf
+        starts = width - size + 1
+        through = forward[:starts] + scores[size - 1, :starts] + backward[size:]
+        through[used[size - 1, :starts]] = -np.inf
         np.maximum(second, through.max(0), out=second)
     best = forward[sizes, columns]
-    return best.tolist(), (best - second).tolist(), [[i for part in reversed(t) for i in part] for t in taken]
+    return best.tolist(), (best - second).tolist(), _in_order(segments, vocabulary, *map(np.concatenate, zip(*walked)))
+
+
+def _in_order(segments: list, vocabulary: Pieces, column, start, piece) -> list:
+    """Ids of each segment from its pieces' columns and starts; -1 is a character to be spelled."""
+    order = np.lexsort((start, column))
+    ends = np.cumsum(np.bincount(column, minlength=len(segments))).tolist()
+    flat = piece[order].tolist()
+    ids = [flat[a:b] for a, b in zip([0, *ends], ends)]
+    for c in np.unique(column[piece < 0]).tolist():
+        places = start[order][ends[c] - len(ids[c]) : ends[c]].tolist()
+        spelled = ([i] if i >= 0 else vocabulary.spelled(segments[c][at]) for i, at in zip(ids[c], places))
+        ids[c] = list(chain.from_iterable(spelled))
+    return ids
 
 
 class Encoder:
@@ -255,11 +271,15 @@ class Encoder:
         if len(self.at) > MEMORY:
             self._forget()
         parts = [self.vocabulary.split(t) if t is not None else None for t in texts]
-        new = set().union(*[p for p in parts if p]) - self.at.keys()
-        short = sorted((s for s in new if len(s) <= WIDE), key=len)
-        for at in range(0, len(short), TOGETHER):
-            some = short[at : at + TOGETHER]
-            self._remember(some, *best_ways(some, self.vocabulary))
+        new = [s for s in set().union(*[p for p in parts if p]) if s not in self.at]
+        bands = [[] for _ in BANDS]
+        for segment in new:
+            if len(segment) <= WIDE:
+                bands[bisect_left(BANDS, len(segment))].append(segment)
+        for band in bands:
+            for at in range(0, len(band), TOGETHER):
+                some = band[at : at + TOGETHER]
+                self._remember(some, *best_ways(some, self.vocabulary))
         for segment in new:
             if len(segment) > WIDE:
                 ways = nbest_ways(segment, self.vocabulary, max(self.n, 2))
@@ -269,12 +289,12 @@ class Encoder:
 
     def encode(self, segments: list) -> tuple:
         """(ids, best score, [(score, [(segment, ids)])] of the ways after the best, decoded text)."""
-        numbers = [self.at[s] for s in segments]
+        numbers = list(map(self.at.__getitem__, segments))
         if not numbers:
             return np.empty(0, np.int32), 0.0, [], ""
         at = np.array(numbers)
         ids = self.ids_of(at)
-        text = self.vocabulary.readable(b"".join([self.raw[n] for n in numbers]))
+        text = self.vocabulary.readable(b"".join(map(self.raw.__getitem__, numbers)))
         score = float(np.frombuffer(self.scores)[at].sum())
         gaps = np.frombuffer(self.gaps)[at]
         near = np.arange(len(gaps))
