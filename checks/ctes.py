@@ -311,6 +311,23 @@ SELECT e.*, coalesce(e.event_id >= s.started_event_id AND (s.until_event_id IS N
 FROM ingest_events e LEFT JOIN spans s ON e.job = s.job AND e.generation = s.generation
 """
 
+# Every third generation is cancelled while it runs.
+CTES["cancels"] = "SELECT job, started_event_id + 40 AS event_id FROM ingest_batches WHERE generation % 3 = 1"
+
+CTES["cancel_spans"] = r"""
+SELECT * FROM (
+  SELECT job, generation, mark AS started_event_id, lead(mark) OVER w AS until_event_id,
+         coalesce(lead(generation IS NULL) OVER w, false) AS ended
+  FROM (SELECT job, generation, started_event_id AS mark FROM ingest_batches UNION ALL SELECT job, NULL, event_id FROM cancels) m
+  WINDOW w AS (PARTITION BY job ORDER BY mark)
+) x WHERE generation IS NOT NULL
+"""
+
+CTES["cancel_judged"] = r"""
+SELECT e.*, coalesce(e.event_id >= s.started_event_id AND (s.until_event_id IS NULL OR e.event_id < s.until_event_id), false) AS fresh
+FROM ingest_events e LEFT JOIN cancel_spans s ON e.job = s.job AND e.generation = s.generation
+"""
+
 CTES["labels_now"] = "SELECT id, arg_max(label, (ts, event_id)) AS label FROM label_events GROUP BY id"
 
 

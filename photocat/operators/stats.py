@@ -54,21 +54,41 @@ def export_count(scope: DataFrame, mode: str = "all") -> DataFrame:
     return scope.groupBy("root").agg(F.count_if(counts).alias("n"))
 
 
-def fresh_events(events: DataFrame, batches: DataFrame) -> DataFrame:
-    """Events with ``fresh``: their generation was the job's active one.
+def active_spans(batches: DataFrame, cancels: DataFrame | None = None) -> DataFrame:
+    """When each generation was active: ``started_event_id``, ``_until`` (null: still) and ``_cancelled``.
 
-    A generation is active from its own start until the job's next start, so
-    one equi-join to the event's own batch decides.  Events of a generation
-    that never started are not fresh.
+    A generation ends at the job's next start, or before it at a row of
+    ``cancels(job, event_id)``.  Cancels of a job that runs nothing change
+    nothing; one at the very event of a start ends what ran before.
     """
-    spans = following(
-        batches.select("job", "generation", "started_event_id"),
-        ["job"],
+    marks = batches.select("job", "generation", "started_event_id")
+    if cancels is not None:
+        kind = batches.schema["generation"].dataType
+        stops = cancels.select(
+            "job", F.lit(None).cast(kind).alias("generation"), F.col("event_id").alias("started_event_id")
+        )
+        marks = marks.unionByName(stops).groupBy("job", "started_event_id").agg(F.max("generation").alias("generation"))
+    mark = F.struct("started_event_id", F.col("generation").isNull().alias("stop"))
+    spans = following(marks, ["job"], "started_event_id", mark, "_next", "_first")
+    if cancels is not None:
+        spans = spans.where(F.col("generation").isNotNull())
+    return spans.select(
+        "job",
+        "generation",
         "started_event_id",
-        F.col("started_event_id"),
-        "_until",
-        "_first",
-    ).drop("_first")
+        F.col("_next.started_event_id").alias("_until"),
+        (F.lit(cancels is not None) & F.coalesce(F.col("_next.stop"), F.lit(False))).alias("_cancelled"),
+    )
+
+
+def fresh_events(events: DataFrame, batches: DataFrame, cancels: DataFrame | None = None) -> DataFrame:
+    """Events with ``fresh``: their generation was the job's active one.
+
+    A generation is active from its own start until the job's next start or
+    cancel, so one equi-join to the event's own batch decides.  Events of a
+    generation that never started are not fresh.
+    """
+    spans = active_spans(batches, cancels).drop("_cancelled")
     joined = lookup(events, spans, ["job", "generation"])
     fresh = (F.col("event_id") >= F.col("started_event_id")) & (
         F.col("_until").isNull() | (F.col("event_id") < F.col("_until"))
@@ -78,11 +98,14 @@ def fresh_events(events: DataFrame, batches: DataFrame) -> DataFrame:
     )
 
 
-def batch_accounting(events: DataFrame, batches: DataFrame) -> DataFrame:
-    """Per batch: enqueued, ingested, failed, dropped as stale, and finished."""
+def batch_accounting(events: DataFrame, batches: DataFrame, cancels: DataFrame | None = None) -> DataFrame:
+    """Per batch: enqueued, ingested, failed, dropped as stale, and finished.
+
+    A batch that a cancel ended is finished: what it still had queued counts as dropped.
+    """
     fresh = F.col("fresh")
     done = (
-        fresh_events(events.select("job", "generation", "event_id", "kind"), batches)
+        fresh_events(events.select("job", "generation", "event_id", "kind"), batches, cancels)
         .groupBy("job", "generation")
         .agg(
             F.count_if(fresh & (F.col("kind") == "Ingested")).alias("ingested"),
@@ -97,15 +120,29 @@ def batch_accounting(events: DataFrame, batches: DataFrame) -> DataFrame:
     out = out.withColumns(
         {c: F.coalesce(F.col(c), zero) for c in ("ingested", "failed", "dropped")}
     )
-    return out.withColumn(
+    out = out.withColumn(
         "finished",
         F.col("ingested") + F.col("failed") + F.col("dropped") == F.col("enqueued"),
     )
+    if cancels is None:
+        return out
+    ended = active_spans(batches, cancels).where("_cancelled").select("job", "generation", "_cancelled")
+    left = F.col("enqueued") - F.col("ingested") - F.col("failed")
+    return (
+        out.join(ended, ["job", "generation"], "left")
+        .withColumns(
+            {
+                "dropped": F.when(F.col("_cancelled"), F.greatest("dropped", left)).otherwise(F.col("dropped")),
+                "finished": F.coalesce(F.col("_cancelled"), F.col("finished")),
+            }
+        )
+        .drop("_cancelled")
+    )
 
 
-def latest_ingest_status(events: DataFrame, batches: DataFrame) -> DataFrame:
-    """Latest outcome per (job, photo), ignoring events of superseded batches."""
-    fresh = fresh_events(events.select("job", "generation", "event_id", "id", "kind"), batches)
+def latest_ingest_status(events: DataFrame, batches: DataFrame, cancels: DataFrame | None = None) -> DataFrame:
+    """Latest outcome per (job, photo), ignoring events of superseded or cancelled batches."""
+    fresh = fresh_events(events.select("job", "generation", "event_id", "id", "kind"), batches, cancels)
     return (
         fresh.where("fresh")
         .groupBy("job", "id")

@@ -8,6 +8,7 @@ from photocat.operators.edits import label_predicate
 from photocat.operators.joins import lookup
 from photocat.operators.ordering import following, rank_rows, shifted
 from photocat.schema import ERROR, MISSING, PENDING
+from photocat.session import stage
 
 ENTRY_COLUMNS = [
     "id", "root", "rel_path", "label", "status", "width", "height", "orientation",
@@ -155,11 +156,13 @@ def advance_target(view: DataFrame) -> DataFrame:
 
 
 def next_error(view: DataFrame) -> DataFrame:
-    """The next failed photo after each row, wrapping; null when nothing failed."""
+    """The next failed photo after each row, wrapping; null when nothing failed.
+
+    The view is written once; its group sizes and the result come from that table.
+    """
     failed = F.when(F.col("status") == ERROR, F.col("id"))
-    rows = following(
-        view.select("root", "id", "pos", "status"), ["root"], "pos", failed, "_next", "_first"
-    )
+    shown = stage(view.select("root", "id", "pos", "status"), "shown")
+    rows = following(shown, ["root"], "pos", failed, "_next", "_first")
     return rows.withColumn(
         "next_error_id", F.coalesce(F.col("_next"), F.col("_first"))
     ).drop("_next", "_first")

@@ -150,11 +150,12 @@ def test_names_preview(spark):
     }
 
 
-def accounting(starts, events):
+def accounting(starts, events, cancels=()):
     """Events one by one, as the pipeline sees them."""
     out = {s[:2]: [0, 0, 0] for s in starts}
+    marks = [(at, j, g) for j, g, at in starts] + [(at, j, None) for j, at in cancels]
     for event, job, generation, kind in sorted(events):
-        active = [g for j, g, at in sorted(starts, key=lambda s: s[2]) if j == job and at <= event]
+        active = [g for at, j, g in sorted(marks, key=lambda m: m[0]) if j == job and at <= event]
         if not active or active[-1] != generation:
             slot = 2
         else:
@@ -164,20 +165,50 @@ def accounting(starts, events):
     return out
 
 
-def test_batch_accounting_matches_a_loop(spark, regime):
-    rng = random.Random(3)
+BATCHES = "job string, generation bigint, started_event_id bigint, enqueued bigint"
+LOG = "event_id bigint, job string, generation bigint, kind string"
+
+
+def ingest_run(seed):
+    rng = random.Random(seed)
     starts = [(j, g, g * 20 + k) for k, j in enumerate("ab") for g in range(1, 12)]
     events = [
         (e, rng.choice("aaab"), max(0, e // 20 - (rng.random() < 0.2)), rng.choice(["Ingested", "Failed"]))
         for e in range(20, 260)
     ]
+    return starts, events
+
+
+def test_batch_accounting_matches_a_loop(spark, regime):
+    starts, events = ingest_run(3)
     want = accounting(starts, events)
-    batches = spark.createDataFrame(
-        [(j, g, at, sum(want[j, g]) + g % 2) for j, g, at in starts],
-        "job string, generation bigint, started_event_id bigint, enqueued bigint",
-    )
-    log = spark.createDataFrame(events, "event_id bigint, job string, generation bigint, kind string")
-    got = stats.batch_accounting(log, batches)
+    batches = spark.createDataFrame([(j, g, at, sum(want[j, g]) + g % 2) for j, g, at in starts], BATCHES)
+    got = stats.batch_accounting(spark.createDataFrame(events, LOG), batches)
     assert rows(got, "job", "generation", "ingested", "failed", "dropped", "finished") == sorted(
         (j, g, *n, g % 2 == 0) for (j, g), n in want.items()
     )
+
+
+def test_a_cancelled_batch_is_finished_and_later_ones_run(spark, regime):
+    starts, events = ingest_run(5)
+    # While generations 3 and 7 of a run; twice in generation 5; before the first start; at the start of 9.
+    cancels = [("a", 69), ("a", 147), ("a", 105), ("a", 111), ("a", 2), ("b", 181), ("c", 50)]
+    ended = {("a", 3), ("a", 5), ("a", 7)}
+    want = accounting(starts, events, [c for c in cancels if c != ("b", 181)])
+    batches = spark.createDataFrame([(j, g, at, sum(want[j, g]) + 3) for j, g, at in starts], BATCHES)
+    stops = spark.createDataFrame(cancels, "job string, event_id bigint")
+    log = spark.createDataFrame(events, LOG)
+    got = stats.batch_accounting(log, batches, stops)
+    for r in got.collect():
+        n = want[r.job, r.generation]
+        over = (r.job, r.generation) in ended
+        assert (r.ingested, r.failed, r.dropped, r.finished) == (n[0], n[1], n[2] + 3 * over, over)
+    none = stats.batch_accounting(log, batches, stops.limit(0))
+    assert rows(none) == rows(stats.batch_accounting(log, batches))
+
+
+def test_next_error_computes_its_view_once(spark):
+    data = [("r", i, i, 2 if i == 3 else 1) for i in range(6)]
+    plan = views.next_error(spark.createDataFrame(data, "root string, id bigint, pos bigint, status int"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in text and "LogicalRDD" not in text and "LocalRelation" not in text
