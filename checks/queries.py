@@ -704,6 +704,36 @@ def _(fx):
     return stats.batch_accounting(fx.ingest_events, fx.ingest_batches)
 
 
+def cancels(fx):
+    return fx.ingest_batches.where("generation % 3 = 1").selectExpr("job", "started_event_id + 40 AS event_id")
+
+
+@query(
+    "batch_accounting_cancelled",
+    """SELECT job, generation, enqueued, ingested, failed,
+         CASE WHEN ended THEN greatest(stale, enqueued - ingested - failed) ELSE stale END AS dropped,
+         ended OR ingested + failed + stale = enqueued AS finished
+       FROM (SELECT b.job, b.generation, b.enqueued, s.ended,
+               count(*) FILTER (WHERE j.fresh AND j.kind = 'Ingested') AS ingested,
+               count(*) FILTER (WHERE j.fresh AND j.kind = 'Failed') AS failed,
+               count(*) FILTER (WHERE NOT j.fresh) AS stale
+             FROM ingest_batches b JOIN cancel_spans s ON b.job = s.job AND b.generation = s.generation
+             LEFT JOIN cancel_judged j ON b.job = j.job AND b.generation = j.generation
+             GROUP BY b.job, b.generation, b.enqueued, s.ended) c""",
+)
+def _(fx):
+    return stats.batch_accounting(fx.ingest_events, fx.ingest_batches, cancels(fx))
+
+
+@query(
+    "latest_ingest_status_cancelled",
+    """SELECT job, id, arg_max(kind, event_id) AS kind, max(event_id) AS event_id
+       FROM cancel_judged WHERE fresh GROUP BY job, id""",
+)
+def _(fx):
+    return stats.latest_ingest_status(fx.ingest_events, fx.ingest_batches, cancels(fx))
+
+
 @query(
     "ingest_rate",
     """SELECT job, generation, count(*) AS done,
@@ -1356,6 +1386,31 @@ def _(fx):
     return streaming.tally_now(photos, _updates(fx, streaming.stream_tally(_replay(fx, fx.label_events), photos)))
 
 
+# The index ends as after the batch operator.
+SQL["stream_publish_ingest"] = SQL["record_ingest"]
+
+
+@query("stream_publish_ingest")
+def _(fx):
+    """All results of a photo arrive in one micro-batch."""
+    store = new_path(fx.spark, "index")
+    write_index(fx.photos, store)
+    _drain(streaming.stream_publish_ingest(_replay(fx, ingest_results(fx), "id"), store, store + "-checkpoint"))
+    return read_index(fx.spark, store)
+
+
+@query(
+    "stream_publish_labels",
+    """SELECT p.id, p.root, p.rel_path, CAST(coalesce(l.label, p.label) AS int) AS label
+       FROM photos p LEFT JOIN labels_now l ON p.id = l.id""",
+)
+def _(fx):
+    store = new_path(fx.spark, "index")
+    write_index(fx.photos, store)
+    _drain(streaming.stream_publish_labels(_replay(fx, fx.label_events, "id"), store, store + "-checkpoint"))
+    return read_index(fx.spark, store).select("id", "root", "rel_path", "label")
+
+
 @query("stream_sync_two", "SELECT root, rel_path, mtime_ns, size, jpeg_rel_path FROM scan_all")
 def _(fx):
     """Two streams, each with its own checkpoint, publish into one store."""

@@ -6,7 +6,7 @@ Only the roots that hold a changed photo are read and replaced.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photocat.operators.edits import set_labels, set_rotations
+from photocat.operators.edits import apply_labels, current_labels, set_labels, set_rotations
 from photocat.operators.ingest import ingest_job
 from photocat.operators.joins import lookup
 from photocat.operators.sync import record_ingest
@@ -36,6 +36,12 @@ def publish_labels(spark: SparkSession, store: str, ids: DataFrame, label: int,
     return _publish(spark, store, changed, lambda mine: set_labels(mine, changed, label), **batch)
 
 
+def publish_label_events(spark: SparkSession, store: str, events: DataFrame, **batch) -> int | None:
+    """Applies a label log: the last event of each photo."""
+    labels = stage(current_labels(events.where("id IS NOT NULL")), "labels")
+    return _publish(spark, store, labels, lambda mine: apply_labels(mine, labels), **batch)
+
+
 def publish_rotations(
     spark: SparkSession, store: str, updates: DataFrame, turns: str | None = None, delta: str | None = None, **batch
 ) -> int | None:

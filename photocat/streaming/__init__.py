@@ -1,6 +1,6 @@
 """Streaming twins of the batch operators."""
 
-from photocat.streaming.arrivals import stream_sync
+from photocat.streaming.arrivals import stream_publish_ingest, stream_publish_labels, stream_sync
 from photocat.streaming.folds import stream_current_labels, stream_ingest_rate, stream_progress
 from photocat.streaming.keyed import (
     latest_states,
@@ -17,6 +17,8 @@ __all__ = [
     "stream_progress",
     "latest_states",
     "stream_ingest_state",
+    "stream_publish_ingest",
+    "stream_publish_labels",
     "stream_sync",
     "stream_tally",
     "tally_now",

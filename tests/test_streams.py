@@ -210,3 +210,52 @@ def test_sync_of_arriving_snapshots(spark, tmp_path):
         (4, "/r", "c.nef", 1, 0, None),
     ]
     assert sorted(v.batch_id for v in publications(spark, store).collect()) == [0, 1, 2]
+
+
+def test_half_a_listing_is_refused(spark, tmp_path):
+    arrivals, store = str(tmp_path / "arrivals"), str(tmp_path / "store")
+    schema = "root string, rel_path string, mtime_ns bigint, size bigint, n_files bigint"
+    whole = [("/r", "a.nef", 1, 1, 2), ("/r", "b.nef", 1, 1, 2), ("/s", None, None, None, 0)]
+    for snapshot, message in ((whole, None), (whole[:1], "/r has 1 of 2 files")):
+        spark.createDataFrame(snapshot, schema).coalesce(1).write.mode("append").parquet(arrivals)
+        listings = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
+        writer = streaming.stream_sync(listings, store, str(tmp_path / "cp"))
+        if message is None:
+            drain(writer)
+        else:
+            with pytest.raises(Exception, match=message):
+                drain(writer)
+    assert rows(read_index(spark, store), "rel_path", "status") == [("a.nef", 0), ("b.nef", 0)]
+
+
+def test_results_and_relabels_are_published_as_they_arrive(spark, tmp_path):
+    from photocat.operators.sync import record_ingest
+    from photocat.sources.index_store import write_index
+    from test_scan_sync import results
+
+    store, logs, cards = str(tmp_path / "store"), str(tmp_path / "logs"), str(tmp_path / "cards")
+    photos = index(
+        spark, {"id": 1, "rel_path": "a.nef"}, {"id": 2, "rel_path": "b.nef", "label": 4},
+        {"id": 3, "rel_path": "c.nef", "root": "/s"},
+    )
+    write_index(photos, store)
+    found = results(
+        spark, {"id": 1, "kind": "error", "err_msg": "first", "ingested_at": 1},
+        {"id": 1, "kind": "ok", "width": 6, "height": 4, "orientation": 6, "camera": "c", "ingested_at": 2},
+        {"id": 2, "kind": "error", "err_msg": "bad", "ingested_at": 3},
+        {"id": 99, "kind": "error", "err_msg": "unknown", "ingested_at": 1}, {"kind": "ok", "ingested_at": 5},
+    )
+    found.coalesce(1).write.parquet(logs)
+    for _ in range(2):  # the second run finds nothing new
+        arriving = spark.readStream.schema(found.schema).parquet(logs)
+        drain(streaming.stream_publish_ingest(arriving, store, str(tmp_path / "cp")))
+    assert rows(read_index(spark, store)) == rows(record_ingest(photos, found.where("id IS NOT NULL")))
+    # The same micro-batch under a fresh checkpoint, as after a lost acknowledgement.
+    before = publications(spark, store).count()
+    again = spark.readStream.schema(found.schema).parquet(logs)
+    drain(streaming.stream_publish_ingest(again, store, str(tmp_path / "cp2"), stream=str(tmp_path / "cp")))
+    assert publications(spark, store).count() == before == 2
+    events = [(1, at(1), 1, 2), (2, at(3), 1, 5), (3, at(2), 1, 3), (4, at(4), 3, 1), (5, at(5), 99, 1), (6, at(6), None, 1)]
+    spark.createDataFrame(events, LABEL_EVENT_SCHEMA).coalesce(1).write.parquet(cards)
+    drain(streaming.stream_publish_labels(label_event_source(spark, cards), store, str(tmp_path / "cp3")))
+    assert rows(read_index(spark, store), "id", "label") == [(1, 5), (2, 4), (3, 1)]
