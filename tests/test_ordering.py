@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from photocat.operators import assets, ordering, selection, stats, views
 from photocat.operators.joins import lookup
+from photocat.session import stage
 
 
 def hot_groups(n=400, seed=5):
@@ -142,6 +143,16 @@ def test_lookup_keeps_every_row_of_a_hot_key(spark, regime):
     assert lookup(big, small, ["k"], "left_anti").count() == sum(v is None for _, v in want)
 
 
+@pytest.mark.parametrize("hot", [True, False])
+def test_lookup_broadcasts_no_table_that_only_looks_small(spark, tiny_limits, hot):
+    """A few KB of Parquet, which Spark by itself would broadcast."""
+    small = stage(spark.range(50_000).selectExpr("id AS k", "repeat('x', 500) AS v"), "small")
+    big = stage(spark.range(200).selectExpr("id AS k", "id AS i"), "big")
+    found = lookup(big, small, ["k"], hot=hot)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("length(v) = 500").count() == 200
+
+
 def test_names_preview(spark):
     data = [("a", i, f"n{i}") for i in range(6)] + [("b", i, f"m{i}") for i in range(4)] + [("c", 0, "x")]
     df = spark.createDataFrame(data, "root string, ordinal bigint, name string")
