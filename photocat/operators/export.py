@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photocat.functions.paths import file_name
-from photocat.operators.joins import lookup
+from photocat.operators.joins import lookup, merged
 from photocat.session import stage
 
 MODES = ("all", "raw", "jpeg")
@@ -83,7 +83,7 @@ def export_plan(files: DataFrame, dest_files: DataFrame, dest: str) -> DataFrame
     wins = export_winner(files).select("root", "ordinal", F.lit(True).alias("_wins"))
     there = dest_files.select("name").distinct().withColumn("_there", F.lit(True))
     target = F.concat(F.lit(dest.rstrip("/") + "/"), F.col("name"))
-    planned = lookup(files, there, ["name"]).join(wins, ["root", "ordinal"], "left")
+    planned = merged(lookup(files, there, ["name"]), wins, ["root", "ordinal"])
     action = (
         F.when(F.col("_there") & (F.col("source") == target), "skip_same")
         .when(F.col("_there"), "overwrite")
@@ -193,7 +193,7 @@ def export_files(plan: DataFrame, dest: str, tasks: int | None = None) -> DataFr
     while True:
         tried = results.where("ok")
         if open_names is not None:
-            tried = tried.join(open_names, "dest_path", "left_semi")
+            tried = lookup(tried, open_names, ["dest_path"], "left_semi")
         best = tried.groupBy("dest_path").agg(
             F.max(F.struct("root", "ordinal", "source", "same")).alias("_b")
         ).select("_b.*", "dest_path")
@@ -208,7 +208,7 @@ def export_files(plan: DataFrame, dest: str, tasks: int | None = None) -> DataFr
             break
         why = failed.select("root", "ordinal", F.col("reason").alias("_why"))
         results = stage(
-            results.join(why, ["root", "ordinal"], "left")
+            merged(results, why, ["root", "ordinal"])
             .withColumn("ok", F.col("ok") & F.col("_why").isNull())
             .withColumn("reason", F.coalesce("_why", "reason"))
             .drop("_why"),
@@ -216,7 +216,7 @@ def export_files(plan: DataFrame, dest: str, tasks: int | None = None) -> DataFr
         )
         open_names = failed.select("dest_path")
     times = done.groupBy("root", "ordinal").agg(F.count("*").alias("copies"))
-    return results.join(times, ["root", "ordinal"], "left").select(
+    return merged(results, times, ["root", "ordinal"]).select(
         "root",
         "ordinal",
         "source",
