@@ -18,7 +18,7 @@ from photocat.sources.index_store import read_index, write_index
 def _publish(spark: SparkSession, store: str, ids: DataFrame, change, **batch) -> int | None:
     """Replaces the roots of ``ids`` by ``change`` of their rows; None if no photo is known."""
     index = read_index(spark, store)
-    held = lookup(index.select("id", "root"), ids.select("id").distinct(), ["id"], "left_semi")
+    held = lookup(index.select("id", "root"), ids.select("id").distinct(), ["id"], "left_semi", hot=False)
     roots = stage(held.select("root").distinct(), "roots")
     if roots.isEmpty():
         return None
@@ -31,7 +31,8 @@ def publish_labels(spark: SparkSession, store: str, ids: DataFrame, label: int,
     ``batch`` may hold ``batch_id`` and ``stream``, as for ``write_index``.  Returns the
     publication's number, None if nothing changes.
     """
-    differs = lookup(read_index(spark, store).where(~F.col("label").eqNullSafe(label)), ids.select("id").distinct(), ["id"], "left_semi")
+    others = read_index(spark, store).where(~F.col("label").eqNullSafe(label))
+    differs = lookup(others.select("id"), ids.select("id").distinct(), ["id"], "left_semi", hot=False)
     changed = stage(differs.select("id"), "relabelled")
     return _publish(spark, store, changed, lambda mine: set_labels(mine, changed, label), **batch)
 

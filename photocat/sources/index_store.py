@@ -12,9 +12,10 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from photocat.operators.joins import lookup
 from photocat.operators.sync import upgrade_index
 from photocat.schema import PHOTOS_SCHEMA, SCHEMA_VERSION
-from photocat.session import as_small, stage
+from photocat.session import stage
 
 _PUBLISHED = "number int, schema_version int, stream string, batch_id bigint, highest_id bigint"
 
@@ -72,8 +73,7 @@ def write_index(
         # The table may be what ``photos`` is read from, and is emptied first.
         rows = stage(rows, "index") if known.last else rows
     else:
-        changed = changed_roots.select("root").distinct()
-        rows = rows.join(as_small(changed) or changed, "root", "left_semi")
+        rows = lookup(rows, changed_roots.select("root").distinct(), ["root"], "left_semi")
     nowhere = F.coalesce(F.col("root"), F.lit("")) == ""
     rooted = F.when(nowhere, F.raise_error(F.lit("a photo without a root"))).otherwise(F.col("root"))
     seen = Observation()
