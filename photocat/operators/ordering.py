@@ -20,6 +20,10 @@ from photocat.session import (
 )
 
 
+# Most range partitions of one sort, unless ``spark.sql.shuffle.partitions`` asks for more.
+MAX_RANGES = 1_000
+
+
 def group_sizes(df: DataFrame, group: list) -> tuple:
     """(groups, rows in the largest group, rows in all)."""
     counts = df.groupBy(*group).agg(F.count("*").alias("n"))
@@ -68,8 +72,10 @@ def number_rows(df: DataFrame, order: list, rows: int, pos: str = "pos") -> Data
 
 def _rank_by_range(df, group, order, pos, total, groups, rows) -> DataFrame:
     spark = df.sparkSession
+    # Spark samples up to 300 keys per range to the driver, so their number is bounded; a
+    # range that outgrows memory spills while it is sorted.
     parts = max(
-        rows // setting(spark, RANGE_ROWS) + 1,
+        min(rows // setting(spark, RANGE_ROWS) + 1, MAX_RANGES),
         int(spark.conf.get("spark.sql.shuffle.partitions")),
     )
     keys = [F.col(c).asc() for c in group] + list(order)
@@ -93,10 +99,9 @@ def _rank_by_range(df, group, order, pos, total, groups, rows) -> DataFrame:
         slices = slices.withColumn(total, F.sum("_n").over(whole))
     slices = slices.drop("_n")
     # At most one slice per partition plus one per group.
-    if parts + groups <= setting(spark, MAX_BROADCAST_ROWS):
-        slices = F.broadcast(slices)
+    how = "broadcast" if parts + groups <= setting(spark, MAX_BROADCAST_ROWS) else "merge"
     return (
-        join_null_safe(table, slices, [*group, "_part"])
+        join_null_safe(table, slices.hint(how), [*group, "_part"])
         .withColumn(pos, F.col("_base") + F.col("_at") - F.col("_first"))
         .drop("_part", "_at", "_first", "_base")
     )
@@ -142,26 +147,30 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list) -> DataFrame:
     return left.join(right.withColumnsRenamed(names), condition).drop(*names.values())
 
 
-def _with_block_table(df, group, aggs, carries) -> DataFrame:
+def _with_block_table(df, group, sizes, aggs, carries) -> DataFrame:
     """Joins one row per (group, block), extended by ``carries``, to every row."""
+    spark = df.sparkSession
     table = df.groupBy(*group, "_block").agg(*aggs)
     for name, column in carries.items():
         table = table.withColumn(name, column)
-    return join_null_safe(df, table, [*group, "_block"])
+    # At most one block per full range of positions plus one per group.
+    blocks = sizes[2] // setting(spark, BLOCK_ROWS) + sizes[0]
+    how = "broadcast" if blocks <= setting(spark, MAX_BROADCAST_ROWS) else "merge"
+    return join_null_safe(df, table.hint(how), [*group, "_block"])
 
 
-def _fits_window(df: DataFrame, group: list) -> bool:
+def _fits_window(df: DataFrame, sizes: tuple) -> bool:
     """The largest group may be handled by one window."""
-    return group_sizes(df, group)[1] <= setting(df.sparkSession, MAX_WINDOW_ROWS)
+    return sizes[1] <= setting(df.sparkSession, MAX_WINDOW_ROWS)
 
 
-def _placed(df: DataFrame, group: list, order: str) -> DataFrame:
+def _placed(df: DataFrame, group: list, order: str, sizes: tuple) -> DataFrame:
     """``df`` with ``_place``, the position of each row in its group by ``order``.
 
     Blocks are ranges of positions, so sparse order values make no more of them.
     Written, since the block table and the rows both read it.
     """
-    ranked = rank_rows(df, group, [F.col(order)], pos="_place")
+    ranked = rank_rows(df, group, [F.col(order)], pos="_place", sizes=sizes)
     return stage(ranked, "placed").withColumn("_block", block_of(df.sparkSession, "_place"))
 
 
@@ -172,7 +181,8 @@ def following(df: DataFrame, group: list, order: str, value: Column, out: str, f
     """
     df = df.withColumn("_value", value)
     whole = W.partitionBy(*group).orderBy(F.col(order).desc())
-    if _fits_window(df, group):
+    sizes = group_sizes(df, group)
+    if _fits_window(df, sizes):
         past = whole.rowsBetween(W.unboundedPreceding, -1)
         every = whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         return df.withColumns(
@@ -190,8 +200,9 @@ def following(df: DataFrame, group: list, order: str, value: Column, out: str, f
     later = blocks.rowsBetween(W.unboundedPreceding, -1)
     every = blocks.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     rows = _with_block_table(
-        _placed(df, group, order),
+        _placed(df, group, order, sizes),
         group,
+        sizes,
         [F.min_by("_value", F.when(F.col("_value").isNotNull(), F.col("_place"))).alias("_head")],
         {
             "_later": F.last("_head", ignorenulls=True).over(later),
@@ -206,7 +217,8 @@ def following(df: DataFrame, group: list, order: str, value: Column, out: str, f
 def prior_sum(df: DataFrame, group: list, order: str, value, out: str, total: str) -> DataFrame:
     """Adds the sum of ``value`` over earlier rows of the group, and over all."""
     zero = F.lit(0)
-    if _fits_window(df, group):
+    sizes = group_sizes(df, group)
+    if _fits_window(df, sizes):
         past = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
         return df.withColumns(
             {
@@ -217,8 +229,9 @@ def prior_sum(df: DataFrame, group: list, order: str, value, out: str, total: st
     inside = W.partitionBy(*group, "_block").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
     earlier = W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     rows = _with_block_table(
-        _placed(df, group, order),
+        _placed(df, group, order, sizes),
         group,
+        sizes,
         [F.sum(value).alias("_sum")],
         {
             "_before": F.coalesce(F.sum("_sum").over(earlier), zero),
@@ -232,14 +245,16 @@ def prior_sum(df: DataFrame, group: list, order: str, value, out: str, total: st
 
 def running_max(df: DataFrame, group: list, order: str, value: str, out: str) -> DataFrame:
     """Adds the largest ``value`` up to and including each row; ``order`` is unique in a group."""
-    if _fits_window(df, group):
+    sizes = group_sizes(df, group)
+    if _fits_window(df, sizes):
         upto = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(out, F.max(value).over(upto))
     inside = W.partitionBy(*group, "_block").orderBy("_place").rowsBetween(W.unboundedPreceding, 0)
     earlier = W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     rows = _with_block_table(
-        _placed(df, group, order),
+        _placed(df, group, order, sizes),
         group,
+        sizes,
         [F.max(value).alias("_top")],
         {"_before": F.max("_top").over(earlier)},
     )

@@ -1,6 +1,7 @@
 """Order-dependent operators against brute force, in both size regimes."""
 
 import random
+import re
 
 import pytest
 from support import rows
@@ -153,6 +154,22 @@ def test_lookup_broadcasts_no_table_that_only_looks_small(spark, tiny_limits, ho
     assert found.where("length(v) = 500").count() == 200
 
 
+def test_ranges_do_not_grow_without_bound(spark, tiny_limits, monkeypatch):
+    """Spark samples the keys of every range to the driver."""
+    spark.conf.set("photocat.rangeRows", "1")
+    plans = []
+    monkeypatch.setattr(ordering, "stage", lambda df, _: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    ordering.rank_rows(spark.range(5_000).selectExpr("id % 3 AS g", "id"), ["g"], [F.col("id")])
+    assert re.findall(r"rangepartitioning.*, (\d+)\)", plans[0]) == ["1000"]
+
+
+def test_a_long_block_table_is_not_broadcast(spark, tiny_limits):
+    ticks = stage(spark.range(20_000).selectExpr("'j' AS job", "id AS event_id", "id % 7 AS done"), "ticks")
+    shown = stats.progress_monotonic(ticks)
+    assert "BroadcastHashJoin" not in shown._jdf.queryExecution().executedPlan().toString()
+    assert shown.where("shown = least(event_id, 6)").count() == 20_000
+
+
 def test_names_preview(spark):
     data = [("a", i, f"n{i}") for i in range(6)] + [("b", i, f"m{i}") for i in range(4)] + [("c", 0, "x")]
     df = spark.createDataFrame(data, "root string, ordinal bigint, name string")
