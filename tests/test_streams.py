@@ -127,6 +127,18 @@ def test_late_start_takes_back_an_outcome(spark, tmp_path):
     assert rows(streaming.latest_states(seen)) == []
 
 
+def test_late_start_gives_back_the_outcome_before(spark, tmp_path):
+    """A result that is stale as a late start shows must not have ended the one before it."""
+    logs = str(tmp_path / "logs")
+    log = [
+        (1, None, "j", 1, None, "Started", 1), (5, at(5), "j", 1, 9, "Failed", None), (6, None, "j", 2, None, "Started", 1),
+        (20, at(20), "j", 2, 9, "Ingested", None), (15, None, "j", 3, None, "Started", 1),
+    ]
+    write_parts(spark, log, INGEST_EVENT_SCHEMA, logs, 5)
+    seen = updates(spark, streaming.stream_ingest_state(ingest_event_source(spark, logs, maxFilesPerTrigger=1)), tmp_path)
+    assert rows(streaming.latest_states(seen)) == [("j", 9, "Failed", 5)]
+
+
 def test_each_batch_finishes_once(spark, tmp_path):
     logs = str(tmp_path / "logs")
     log = ingest_log()
