@@ -289,3 +289,19 @@ def test_ingest_starts_at_the_front_of_the_queue(spark, tmp_path):
     assert {i for _, i in order[:11]} == set(range(90, 101))
     plain = started(pending_queue(photos))
     assert [i for _, i in plain] == [r.id for r in photos.orderBy("rel_path").collect()]
+
+
+def test_a_long_folder_is_listed_in_chunks(tmp_path):
+    """A task holds few names at once, however many the folder has."""
+    import pandas as pd
+
+    from photocat.sources import listing
+
+    for i in range(listing.NAMES_AT_ONCE + 5):
+        (tmp_path / f"{i}.nef").touch()
+    names, _ = listing._walkers()
+    root = os.fsencode(str(tmp_path))
+    start = pd.DataFrame([("r", root, b"", True)], columns=["root", "raw_root", "raw_path", "folder"])
+    found = list(names([start]))
+    assert max(map(len, found)) <= listing.NAMES_AT_ONCE
+    assert len(set(pd.concat(found)["raw_path"])) == listing.NAMES_AT_ONCE + 5
