@@ -22,7 +22,8 @@ def stream_sync(
     batch numbers it qualifies; by default it is the checkpoint's path.
 
     A micro-batch must hold the whole listing of each root it mentions, for
-    example one file per snapshot with ``maxFilesPerTrigger=1``.  A row with a
+    example one file per snapshot with ``maxFilesPerTrigger=1``, or all files of a snapshot, however
+    many, in a run that starts once they are there.  A row with a
     null path says that its root was scanned, which is how an empty root
     reports itself.  A repeated micro-batch publishes nothing new.
 
