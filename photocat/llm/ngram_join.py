@@ -49,6 +49,8 @@ CLASS_STEP, FINE_STEP, FINE_BELOW = 1.5, 1.2, 60
 # side, and on its larger side; from PART on key of a part, plus the class.
 SET, LOW, HIGH, PART = 0, 1, 2, 10
 OUT_ROWS = 100_000
+# Keys are matched in so many turns; Spark frees what one turn shuffled before the next.
+KEY_TURNS = 4
 
 
 class Threshold:
@@ -225,7 +227,7 @@ def jaccard_groups(
     den: int = 100,
 ) -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row of ``docs``."""
-    scratch = Scratch(docs.sparkSession, "ngram")
+    scratch = Scratch(docs.sparkSession, "ngram", free_shuffles=True)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type = texts.schema["_id"].dataType.simpleString()
     t = Threshold(num, den)
@@ -278,7 +280,7 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows that share an id, or have none, are decided one by one.  Of rows with equal id and text the
     one stays that is smallest by its other columns.
     """
-    scratch = Scratch(docs.sparkSession, "keep")
+    scratch = Scratch(docs.sparkSession, "keep", free_shuffles=True)
     missing = F.col(id_col).isNull()
     text_hash = F.coalesce(F.xxhash64(F.coalesce(text_col, F.lit(""))), F.lit(0))
     row = F.struct(missing.alias("missing"), F.col(id_col).alias("id"), text_hash.alias("text"))
@@ -301,10 +303,7 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _links(texts, keys, distinct, k, t, largest, scratch) -> DataFrame:
     """Edges between distinct sets that connect whatever is linked."""
-    crowded = keys.groupBy("_key").agg(F.count("*").alias("_rows")).where("_rows > 1").select("_key")
-    # Copies of a set fall together before the second aggregation finds real meetings.
-    met = scratch.save(keys.join(crowded, "_key").groupBy("_key", "_sid", "_role").agg(F.lit(1).alias("_one")), "met")
-    met = met.drop("_one")
+    met = _met(keys, scratch)
     scratch.drop("rows")
     real = scratch.save(
         met.groupBy("_key").agg(
@@ -369,6 +368,22 @@ def _links(texts, keys, distinct, k, t, largest, scratch) -> DataFrame:
     return light.union(central_links).union(list_links)
 
 
+def _met(keys, scratch) -> DataFrame:
+    """The distinct rows of all keys that several rows have.
+
+    Every row is shuffled twice for this, which is the most that the join has on disk at
+    one time; so a part of the keys takes its turn after the other.
+    """
+    for turn in range(KEY_TURNS):
+        some = keys.where(F.pmod("_key", F.lit(KEY_TURNS)) == turn)
+        crowded = some.groupBy("_key").agg(F.count("*").alias("_rows")).where("_rows > 1").select("_key")
+        # Copies of a set fall together before the second aggregation finds real meetings.
+        once = some.join(crowded, "_key").groupBy("_key", "_sid", "_role").agg(F.lit(1).alias("_one"))
+        schema = scratch.save(once, f"met/{turn}").schema
+    paths = [scratch.path(f"met/{turn}") for turn in range(KEY_TURNS)]
+    return scratch.spark.read.schema(schema).parquet(*paths).drop("_one")
+
+
 def _scanned(tokens, counted, known, t, scratch) -> DataFrame:
     """Pairs of different components that the lists of rare shingles suggest."""
     rarest = W.partitionBy("_sid").orderBy("_holders", "_token")

@@ -1,11 +1,13 @@
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
 from photocat.llm import ngram_join as J
-from photocat.llm.common import Scratch, components
+from photocat.llm.common import FREE_SHUFFLES, Scratch, components
 from photocat.llm.shingles import shingle_set, word_hashes
 
 
@@ -95,6 +97,45 @@ def test_each_component_keeps_one_row_whatever_the_ids(spark):
     assert [r[1] in (third, third + " z") for r in kept if r[0] is None] == [True]
 
 
+def shuffle_files(spark):
+    """Bytes of each shuffle file that Spark holds on this machine."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    paths = [f"{d}/{f}" for top in folders for d, _, names in os.walk(top) for f in names if f.startswith("shuffle_")]
+    return {path: os.path.getsize(path) for path in paths if os.path.exists(path)}
+
+
+def test_shuffles_go_with_the_table_they_were_for(spark, monkeypatch):
+    df = spark.createDataFrame(near_copies(7), "doc_id bigint, text string").repartition(3)
+    before, left, save = set(shuffle_files(spark)), {}, Scratch.save
+
+    def measured(self, frame, name):
+        table = save(self, frame, name)
+        deadline = time.time() + 10  # Spark deletes them in the background
+        while True:
+            left[name] = sum(n for path, n in shuffle_files(spark).items() if path not in before)
+            if left[name] < 5_000 or time.time() > deadline:
+                return table
+            time.sleep(0.1)
+
+    monkeypatch.setattr(Scratch, "save", measured)
+    assert J.keep_one_each(df).count() > 0
+    assert len(left) > 20 and max(left.values()) < 5_000, left
+    assert spark.conf.get(FREE_SHUFFLES, "false") == "false"
+
+
+def test_keys_are_met_in_turns(spark):
+    """Each turn moves its own part of the keys, and together they miss and repeat none."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(-400, 400), rng.randrange(50), rng.choice([J.LOW, J.HIGH, J.PART])) for _ in range(900)]
+    rows += [(1000, 7, J.PART), (1001, 7, J.PART), (1001, 7, J.PART)] + [(2002, i, J.PART) for i in range(3000)]
+    held = {key for key, _, _ in rows if sum(key == other for other, _, _ in rows) > 1}
+    scratch = Scratch(spark, "test")
+    met = J._met(spark.createDataFrame(rows, "_key bigint, _sid bigint, _role smallint"), scratch)
+    assert sorted(map(tuple, met.collect())) == sorted({r for r in rows if r[0] in held})
+    turns = [{r[0] % J.KEY_TURNS for r in spark.read.parquet(scratch.path(f"met/{i}")).collect()} for i in range(J.KEY_TURNS)]
+    assert turns == [{i} for i in range(J.KEY_TURNS)]
+
+
 def test_empty(no_docs):
     assert J.jaccard_groups(no_docs).count() == 0
     assert J.keep_one_each(no_docs).count() == 0
