@@ -139,6 +139,36 @@ def test_late_start_gives_back_the_outcome_before(spark, tmp_path):
     assert rows(streaming.latest_states(seen)) == [("j", 9, "Failed", 5)]
 
 
+def test_ingest_state_of_many_generations(spark, tmp_path):
+    """The next start is looked up, not searched among all starts of the job for every result."""
+    logs, n = str(tmp_path / "logs"), 60_000
+    numbers = spark.range(n).selectExpr("id * 10 AS event_id", "id AS generation", "id % 50 AS photo")
+    columns = "event_id {}, CAST(NULL AS timestamp) AS ts, 'j' AS job, generation, {} AS id, '{}' AS kind, 1L AS enqueued"
+    starts = numbers.selectExpr(*columns.format("", "CAST(NULL AS bigint)", "Started").split(", "))
+    results = numbers.selectExpr(*columns.format("+ 5 AS event_id", "photo", "Ingested").split(", "))
+    starts.unionByName(results).coalesce(1).write.parquet(logs)
+    stream = streaming.stream_ingest_state(ingest_event_source(spark, logs), buckets=1)
+    began = time.time()
+    seen = updates(spark, stream, tmp_path)
+    assert time.time() - began < 100
+    want = [("j", photo, "Ingested", (n - 50 + photo) * 10 + 5) for photo in range(50)]
+    assert rows(streaming.latest_states(seen)) == want
+
+
+def test_long_numbers_stay_whole_and_rows_without_event_are_ignored(spark, tmp_path):
+    logs, far = str(tmp_path / "logs"), 1 << 60
+    log = [
+        (far + 1, None, "j", 1, None, "Started", 1), (far + 5, at(5), "j", 1, far + 9, "Ingested", None),
+        (None, None, "j", 1, None, "Started", 1), (None, at(6), "j", 1, far + 9, "Failed", None),
+        (far + 4, None, "j", 2, None, "Started", 1), (far + 7, at(7), "j", 2, far + 11, "Failed", None),
+    ]
+    write_parts(spark, log, INGEST_EVENT_SCHEMA, logs, 2)
+    stream = streaming.stream_ingest_state(ingest_event_source(spark, logs, maxFilesPerTrigger=1), buckets=1)
+    assert rows(updates(spark, stream, tmp_path)) == [
+        ("j", far + 9, None, None, 1), ("j", far + 9, "Ingested", far + 5, 0), ("j", far + 11, "Failed", far + 7, 1)
+    ]
+
+
 def test_each_batch_finishes_once(spark, tmp_path):
     logs = str(tmp_path / "logs")
     log = ingest_log()
